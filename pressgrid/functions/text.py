@@ -105,8 +105,12 @@ def trim_middle(text: Column, front: int = K.TRIM_FRONT, tail: int = K.TRIM_TAIL
 
 
 def trim_sentences(text: Column, limit: int) -> Column:
-    """The first sentences of a text; the whole text when it has no more than ``limit``."""
-    found = F.regexp_extract_all(text, F.lit(r"([^.!?]+[.!?]+(\s+|\z))"), 1)
+    """The first sentences of a text; the whole text when it has no more than ``limit``.
+
+    A sentence can only start at the end of the one before or after a stop mark, which the
+    pattern says outright so that long runs without a stop mark are scanned once.
+    """
+    found = F.regexp_extract_all(text, F.lit(r"((?:\G|(?<=[.!?]))[^.!?]++[.!?]+(?:\s+|\z))"), 1)
     few = (F.size(found) <= limit)
     strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
     return F.when(few, strip(text)).otherwise(strip(F.array_join(F.slice(found, 1, limit), "")))

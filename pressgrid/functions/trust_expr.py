@@ -53,7 +53,7 @@ def weighted_score(scores: list[Column], weights: list[Column] | list[float]) ->
     evidence, style = scores[1], scores[2]
     score = F.when((style < 4) & (evidence < 4), score - 10.0).otherwise(score)
     score = F.when(evidence < 4, F.least(score, F.lit(69.0))).otherwise(score)
-    return clamp(score, 0.0, 100.0).cast("int")
+    return F.when(score.isNotNull(), clamp(score, 0.0, 100.0).cast("int"))
 
 
 def trust_score(scores: list[Column]) -> Column:
