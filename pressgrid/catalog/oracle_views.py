@@ -93,7 +93,7 @@ FROM benchmark b LEFT JOIN article_vectors v ON CAST(b.item_id AS VARCHAR) = v.a
 def _answers() -> str:
     cols, q = [], 0
     for name, count in K.QUESTION_COUNTS.items():
-        words = [f"['yes', 'no', 'uncertain'][(i * 7 + {(q + j) * 13} + i // 3) % 3 + 1]" for j in range(count)]
+        words = [f"['yes', 'no', 'uncertain'][(i * 7 + {(q + j) * 13} + i // {q + j + 2}) % 3 + 1]" for j in range(count)]
         q += count
         cols.append(f"CASE WHEN i % 29 <> 0 THEN [{', '.join(words)}] END AS {name}")
     return ("SELECT article_id, title, source, full_text, " + ", ".join(cols)

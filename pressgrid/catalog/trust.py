@@ -186,8 +186,8 @@ def _(spark, d):
     return T.extreme_auc(labelled(spark, d)).withColumn("extreme_auc", F.round("extreme_auc", 6))
 
 
-@query("binary_metrics", f"""SELECT n_extreme, tp, tn, fp, fn, round((tp + tn) / CAST(n_extreme AS DOUBLE), 6) AS accuracy, round(tp / CAST(tp + fp AS DOUBLE), 6) AS "precision",
-  round(tp / CAST(tp + fn AS DOUBLE), 6) AS recall, round(2 * (tp / CAST(tp + fp AS DOUBLE)) * (tp / CAST(tp + fn AS DOUBLE)) / (tp / CAST(tp + fp AS DOUBLE) + tp / CAST(tp + fn AS DOUBLE)), 6) AS f1,
+@query("binary_metrics", f"""SELECT n_extreme, tp, tn, fp, fn, round((tp + tn) / CAST(n_extreme AS DOUBLE), 6) AS accuracy, coalesce(round(tp / CAST(nullif(tp + fp, 0) AS DOUBLE), 6), 0) AS "precision",
+  coalesce(round(tp / CAST(nullif(tp + fn, 0) AS DOUBLE), 6), 0) AS recall, coalesce(round(2 * tp / CAST(nullif(2 * tp + fp + fn, 0) AS DOUBLE), 6), 0) AS f1,
   round(hi, 6) AS high_label_mean, round(lo, 6) AS low_label_mean, n_valid, round(auc, 6) AS roc_auc, round(rho, 6) AS spearman_rho FROM
   (SELECT count(*) AS n_extreme, count(*) FILTER (label >= 0.75 AND score >= 70) AS tp, count(*) FILTER (label < 0.75 AND score < 70) AS tn, count(*) FILTER (label < 0.75 AND score >= 70) AS fp,
     count(*) FILTER (label >= 0.75 AND score < 70) AS fn, avg(CASE WHEN label >= 0.75 THEN score END) AS hi, avg(CASE WHEN label < 0.75 THEN score END) AS lo, {AUC_SQL} AS auc FROM ext),
@@ -275,9 +275,9 @@ def _(spark, d):
 
 
 @query("blend_out_of_fold", f"""SELECT n, round(rho, 6) AS spearman_rho, extreme_n, round(auc, 6) AS extreme_auc FROM
-  (SELECT count(*) AS n, corr(rs, rl) AS rho FROM (SELECT {rank_sql('score')} AS rs, {rank_sql('label')} AS rl FROM held)),
-  (SELECT count(*) AS extreme_n, {AUC_SQL} AS auc FROM (SELECT *, {rank_sql('score')} AS r FROM held WHERE label <= 0.25 OR label >= 0.75))""",
-       {**GROUND, "held": "SELECT f.label, round((1 - c.alpha) * base_score + c.alpha * fact_score, 9) AS score FROM folded f JOIN chosen c ON f.fold = c.fold"})
+  (SELECT count(*) AS n, corr(rs, rl) AS rho FROM (SELECT {rank_sql('score')} AS rs, {rank_sql('label')} AS rl FROM held_rows)),
+  (SELECT count(*) AS extreme_n, {AUC_SQL} AS auc FROM (SELECT *, {rank_sql('score')} AS r FROM held_rows WHERE label <= 0.25 OR label >= 0.75))""",
+       {**GROUND, "held_rows": "SELECT f.label, round((1 - c.alpha) * base_score + c.alpha * fact_score, 9) AS score FROM folded f JOIN chosen c ON f.fold = c.fold"})
 def _(spark, d):
     _, held_out = T.blend_cross_validation(T.stratified_folds(grounded(spark, d)))
     return T.rank_metrics(held_out, "prediction", "label").withColumns({c: F.round(c, 6) for c in ("spearman_rho", "extreme_auc")})

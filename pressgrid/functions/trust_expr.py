@@ -39,21 +39,35 @@ def parse_criterion(item: Column) -> Column:
                     F.when(is_object, reason).otherwise("").alias("reason"), (~is_object).alias("parse_failed"))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def weighted_score(scores: list[Column], weights: list[Column] | list[float]) -> Column:
-    """0-100 score: weighted sum over the largest reachable sum, cross penalty, evidence cap, truncation."""
+    """0-100 score: weighted sum over the largest reachable sum, cross penalty, evidence cap, truncation.
+
+    Null when a criterion has no score.
+    """
     as_col = lambda w: w if isinstance(w, Column) else F.lit(float(w))
     w = [as_col(x) for x in weights]
-    raw = scores[0] * w[0]
-    for s, x in zip(scores[1:], w[1:]):
-        raw = raw + s * x
     top = F.lit(0.0)
     for x in w:
         top = top + F.when(x > 0, x).otherwise(F.lit(0.0))
-    score = raw / (top * 10) * 100
-    evidence, style = scores[1], scores[2]
-    score = F.when((style < 4) & (evidence < 4), score - 10.0).otherwise(score)
-    score = F.when(evidence < 4, F.least(score, F.lit(69.0))).otherwise(score)
-    return F.when(score.isNotNull(), clamp(score, 0.0, 100.0).cast("int"))
+
+    def body(c):
+        raw = c["s0"] * w[0]
+        for i in range(1, 5):
+            raw = raw + c[f"s{i}"] * w[i]
+        penalty = F.when((c["s2"] < 4) & (c["s1"] < 4), 10.0).otherwise(0.0)
+        cap = F.when(c["s1"] < 4, 69.0).otherwise(100.0)
+        score = F.greatest(F.lit(0.0), F.least(cap, raw / (top * 10) * 100 - penalty)).cast("int")
+        known = c["s0"].isNotNull()
+        for i in range(1, 5):
+            known = known & c[f"s{i}"].isNotNull()
+        return F.when(known, score)
+
+    return let(F.struct(*[s.alias(f"s{i}") for i, s in enumerate(scores)]), body)
 
 
 def trust_score(scores: list[Column]) -> Column:

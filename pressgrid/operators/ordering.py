@@ -22,8 +22,8 @@ def splitters(df: DataFrame, key: str, parts: int | None = None) -> list:
     picked = (df.select(F.col(key).alias("v")).where("v is not null").distinct()
               .orderBy(F.xxhash64("v")).limit(want).collect())
     values = sorted(r["v"] for r in picked)
-    if len(values) < parts:
-        return values[1:]
+    if len(values) < want:
+        return []  # that few distinct values fit one range
     step = len(values) / parts
     return [values[int(i * step)] for i in range(1, parts)]
 

@@ -1,9 +1,28 @@
 """Raw pages to curated articles."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from ..operators.near_dup import greedy_dropped
 
 
 def blank_title_chunks(chunks: DataFrame) -> DataFrame:
     """Title-only chunks show no text.  The pattern's underscore is a wildcard, as in the stored statement."""
     return chunks.withColumn("chunk_text", F.when(F.col("chunk_id").like("%_title"), "").otherwise(F.col("chunk_text")))
+
+
+def near_dup_in_store(articles: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """(article_id): stored rows to delete; newest first, later similar titles go."""
+    order = [_descending_text(F.coalesce("published_at", F.lit("")))]
+    return greedy_dropped(articles, "article_id", F.coalesce("title", F.lit("")), order, threshold).withColumnRenamed("id", "article_id")
+
+
+def near_dup_in_batch(articles: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """(article_id): batch rows to drop; longest body first."""
+    order = [-F.char_length("content")]
+    return greedy_dropped(articles, "article_id", F.coalesce("title", F.lit("")), order, threshold).withColumnRenamed("id", "article_id")
+
+
+def _descending_text(value: Column) -> Column:
+    """A key whose ascending order is the descending order of the text: its hex digits mirrored."""
+    return F.concat(F.translate(F.hex(value), "0123456789ABCDEF", "FEDCBA9876543210"), F.lit("~"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .. import constants as K
 from ..functions import trust_expr as X
 from ..operators import ordering as O
+from ..session import cut_lineage
 
 ANSWERED = K.CRITERIA[1:]
 
@@ -102,21 +103,23 @@ def invariant_pass_rate(results: DataFrame, with_failed_ids: bool = True) -> Dat
 
 # ---- evaluation against labels -----------------------------------------------------------
 
-def spearman(rows: DataFrame, score: str = "score", label: str = "label", by: list[str] = ()) -> DataFrame:
-    """Pearson correlation of average ranks (nulls dropped), one row per group.
+def _cells(rows: DataFrame, score: str, label: str, by: list[str]) -> DataFrame:
+    """Counts of distinct (group, score, label) values, combined map-side and written once.
 
-    Works on the counts of distinct (score, label) values, never on one sorted partition.
+    Everything after this works on the distinct values only.
     """
-    by = list(by)
-    cells = (rows.where(F.col(score).isNotNull() & F.col(label).isNotNull())
-             .groupBy(*by, F.col(score).cast("double").alias("s"), F.col(label).cast("double").alias("l"))
-             .agg(F.count("*").alias("n")))
+    return cut_lineage(rows.where(F.col(score).isNotNull() & F.col(label).isNotNull())
+                       .groupBy(*by, F.col(score).cast("double").alias("s"), F.col(label).cast("double").alias("l"))
+                       .agg(F.count("*").alias("n")))
+
+
+def _spearman(cells: DataFrame, by: list[str]) -> DataFrame:
     rs = O.average_ranks(cells, by, "s", "n").withColumnRenamed("avg_rank", "rs")
     rl = O.average_ranks(cells, by, "l", "n").withColumnRenamed("avg_rank", "rl")
     j = cells.join(rs, [*by, "s"]).join(rl, [*by, "l"])
-    n, w = F.sum("n"), F.col("n")
+    w = F.col("n")
     total = lambda c: F.sum(w * c)
-    sums = j.groupBy(*by).agg(n.alias("n"), total(F.col("rs")).alias("x"), total(F.col("rl")).alias("y"),
+    sums = j.groupBy(*by).agg(F.sum("n").alias("n"), total(F.col("rs")).alias("x"), total(F.col("rl")).alias("y"),
                               total(F.col("rs") * F.col("rl")).alias("xy"), total(F.col("rs") ** 2).alias("xx"),
                               total(F.col("rl") ** 2).alias("yy"))
     cov = F.col("xy") - F.col("x") * F.col("y") / F.col("n")
@@ -124,25 +127,35 @@ def spearman(rows: DataFrame, score: str = "score", label: str = "label", by: li
     return sums.select(*by, "n", F.when((vx > 1e-9) & (vy > 1e-9), cov / F.sqrt(vx * vy)).alias("spearman_rho"))
 
 
-def extreme_auc(rows: DataFrame, score: str = "score", label: str = "label", by: list[str] = ()) -> DataFrame:
-    """Rank-sum AUC over the rows with an extreme label (<= 0.25 or >= 0.75); null when one side is missing."""
-    by = list(by)
-    l = F.col(label)
-    cells = (rows.where(F.col(score).isNotNull() & ((l <= 0.25) | (l >= 0.75)))
-             .groupBy(*by, F.col(score).cast("double").alias("s"))
-             .agg(F.count("*").alias("n"), F.sum((l >= 0.75).cast("bigint")).alias("pos")))
-    ranks = O.average_ranks(cells, by, "s", "n")
-    g = cells.join(ranks, [*by, "s"]).groupBy(*by).agg(
+def _auc(cells: DataFrame, by: list[str]) -> DataFrame:
+    l = F.col("l")
+    ext = cells.where((l <= 0.25) | (l >= 0.75)).groupBy(*by, "s").agg(
+        F.sum("n").alias("n"), F.sum(F.when(l >= 0.75, F.col("n")).otherwise(0)).alias("pos"))
+    ranks = O.average_ranks(ext, by, "s", "n")
+    g = ext.join(ranks, [*by, "s"]).groupBy(*by).agg(
         F.sum("n").alias("extreme_n"), F.sum("pos").alias("p"), F.sum(F.col("pos") * F.col("avg_rank")).alias("rank_sum"))
     p, neg = F.col("p"), F.col("extreme_n") - F.col("p")
     auc = F.when((p > 0) & (neg > 0), (F.col("rank_sum") - p * (p + 1) / 2) / (p * neg))
     return g.select(*by, "extreme_n", auc.alias("extreme_auc"))
 
 
+def spearman(rows: DataFrame, score: str = "score", label: str = "label", by: list[str] = ()) -> DataFrame:
+    """Pearson correlation of average ranks (nulls dropped), one row per group."""
+    by = list(by)
+    return _spearman(_cells(rows, score, label, by), by)
+
+
+def extreme_auc(rows: DataFrame, score: str = "score", label: str = "label", by: list[str] = ()) -> DataFrame:
+    """Rank-sum AUC over the rows with an extreme label (<= 0.25 or >= 0.75); null when one side is missing."""
+    by = list(by)
+    return _auc(_cells(rows, score, label, by), by)
+
+
 def rank_metrics(rows: DataFrame, score: str = "score", label: str = "label", by: list[str] = ()) -> DataFrame:
     """n, extreme_n, Spearman and AUC per group."""
     by = list(by)
-    s, a = spearman(rows, score, label, by), extreme_auc(rows, score, label, by)
+    cells = _cells(rows, score, label, by)
+    s, a = _spearman(cells, by), _auc(cells, by)
     if by:
         return s.join(a, by, "left")
     return s.withColumn("_o", F.lit(1)).join(a.withColumn("_o", F.lit(1)), "_o", "left").drop("_o")
@@ -212,7 +225,7 @@ def failure_rate(rows: DataFrame) -> DataFrame:
 def latency_percentile(rows: DataFrame, column: str, q: float) -> DataFrame:
     """Nearest-rank percentile: the ceil(q * n)-th value."""
     counts = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count("*").alias("n"))
-    run = O.running_total(counts, [], "v", "n")
+    run = O.running_total(cut_lineage(counts), [], "v", "n")
     total = run.agg(F.max("upto").alias("all")).withColumn("_o", F.lit(1))
     reached = run.withColumn("_o", F.lit(1)).join(F.broadcast(total), "_o").where(F.col("upto") >= F.greatest(F.ceil(F.col("all") * q), F.lit(1)))
     return reached.agg(F.min("v").alias("value"))

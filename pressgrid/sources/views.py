@@ -166,7 +166,7 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, count in K.QUESTION_COUNTS.items():
         items = []
         for j in range(count):
-            word = _pick(["yes", "no", "uncertain"], (i * 7 + (q + j) * 13 + F.floor(i / 3)) % 3)
+            word = _pick(["yes", "no", "uncertain"], (i * 7 + (q + j) * 13 + F.floor(i / (q + j + 2))) % 3)
             items.append(F.struct(word.alias("answer"), F.concat(F.lit(f"Q{j + 1} "), word).alias("reason")))
         q += count
         cols.append(F.when(i % 29 != 0, F.array(*items)).alias(name))
