@@ -134,11 +134,11 @@ def _(spark, d):
     return totals(R.profile_vectors(R.both_histories(*parts(spark, d)), V.article_vectors(spark, d)), ["request_id"], "profile")
 
 
-@query("profile_candidates", "SELECT request_id, article_id, round(score, 6) AS score FROM cand", RV)
+@query("profile_candidates", "SELECT request_id, article_id, score FROM cand", RV)
 def _(spark, d):
     p = parts(spark, d)
     prof = R.profile_vectors(R.both_histories(*p), V.article_vectors(spark, d))
-    return r6(R.profile_candidates(prof, V.chunks(spark, d), p[3], R.merged_history(*p), LIMIT), "score")
+    return R.profile_candidates(prof, V.chunks(spark, d), p[3], R.merged_history(*p), LIMIT)
 
 
 @query("category_recency_weights", "SELECT request_id, category, round(weight, 6) AS weight FROM catw", RV)
@@ -151,9 +151,9 @@ def _ranked(spark, d):
     return R.ranked_profile(*parts(spark, d), V.article_vectors(spark, d), V.chunks(spark, d), LIMIT)[1]
 
 
-@query("rerank_hybrid", "SELECT request_id, article_id, round(rank_score, 6) AS rank_score, pos FROM reranked", RV)
+@query("rerank_hybrid", "SELECT request_id, article_id, rank_score, pos FROM reranked", RV)
 def _(spark, d):
-    return r6(_ranked(spark, d), "rank_score").select("request_id", "article_id", "rank_score", "pos")
+    return _ranked(spark, d).select("request_id", "article_id", "rank_score", "pos")
 
 
 @query("minmax_scale", "SELECT request_id, article_id, round(CASE WHEN max(score) OVER w - min(score) OVER w <= 1e-12 THEN 0 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END, 6) AS semantic FROM cand WINDOW w AS (PARTITION BY request_id)", RV)
@@ -253,7 +253,7 @@ def _(spark, d):
     return totals(_user_units(spark, d), ["request_id"], "user_vector")
 
 
-@query("encoder_candidates", "SELECT request_id, article_id, round(score, 6) AS score, rank FROM enc", EV)
+@query("encoder_candidates", "SELECT request_id, article_id, score, rank FROM enc", EV)
 def _(spark, d):
-    return r6(R.encoder_candidates(_user_units(spark, d), V.learned_vectors(spark, d), R.merged_history(*parts(spark, d)), LIMIT), "score").select(
+    return R.encoder_candidates(_user_units(spark, d), V.learned_vectors(spark, d), R.merged_history(*parts(spark, d)), LIMIT).select(
         "request_id", "article_id", "score", "rank")

@@ -44,7 +44,7 @@ HYBRID = {**semantic_sql(20, 0.5), **bm25_sql(20),
       coalesce(1 / CAST(60 + s.rank AS DOUBLE), 0) + coalesce(1 / CAST(60 + l.rank AS DOUBLE), 0) AS rrf_score FROM sem s FULL JOIN lex l ON s.query_id = l.query_id AND s.article_id = l.article_id)""",
     "hybrid": "SELECT *, rrf_score / max(rrf_score) OVER (PARTITION BY query_id) AS score FROM fused WHERE rank <= 10"}
 _R6 = "round({0}, 6) AS {0}"
-HCOLS = "query_id, article_id, rank, " + ", ".join(_R6.format(c) for c in ("semantic_score", "bm25_score", "rrf_score", "score"))
+HCOLS = "query_id, article_id, rank, semantic_score, bm25_score, " + ", ".join(_R6.format(c) for c in ("rrf_score", "score"))
 
 
 def r6(df, *cols):
@@ -57,13 +57,13 @@ def hybrid(spark, d):
 
 
 def hybrid_out(df):
-    return r6(df, "semantic_score", "bm25_score", "rrf_score", "score").select(
+    return r6(df, "rrf_score", "score").select(
         "query_id", "article_id", "rank", "semantic_score", "bm25_score", "rrf_score", "score")
 
 
-@query("semantic_search", "SELECT query_id, article_id, chunk_id, round(score, 6) AS score, rank FROM sem", semantic_sql(10, 0.5))
+@query("semantic_search", "SELECT query_id, article_id, chunk_id, score, rank FROM sem", semantic_sql(10, 0.5))
 def _(spark, d):
-    return r6(S.semantic_search(V.search_queries(spark, d), V.chunks(spark, d), V.articles(spark, d)), "score")
+    return S.semantic_search(V.search_queries(spark, d), V.chunks(spark, d), V.articles(spark, d))
 
 
 @query("min_similarity_filter", f"SELECT count(*) AS n FROM (SELECT {COS.format('query_vector', 'embedding')} AS s FROM search_queries, chunks WHERE query_vector IS NOT NULL) WHERE s >= 0.7")
@@ -92,9 +92,9 @@ def _(spark, d):
     return r6(S.bm25_corpus_stats(S.bm25_postings(V.articles(spark, d)))[0], "idf")
 
 
-@query("bm25_search", "SELECT query_id, article_id, round(bm25_score, 6) AS bm25_score, rank FROM lex", bm25_sql(10))
+@query("bm25_search", "SELECT query_id, article_id, bm25_score, rank FROM lex", bm25_sql(10))
 def _(spark, d):
-    return r6(S.bm25_search(V.search_queries(spark, d), S.bm25_postings(V.articles(spark, d))), "bm25_score")
+    return S.bm25_search(V.search_queries(spark, d), S.bm25_postings(V.articles(spark, d)))
 
 
 @query("rrf_rank", "SELECT query_id, article_id, 's' AS list, rank FROM sem UNION ALL SELECT query_id, article_id, 'l', rank FROM lex", {**semantic_sql(20, 0.5), **bm25_sql(20)})
@@ -138,32 +138,32 @@ def related_sql(limit: int, min_score: float) -> dict[str, str]:
           SELECT *, row_number() OVER (PARTITION BY for_article_id, article_id ORDER BY score DESC, chunk_id) AS best FROM rel_hits) WHERE best = 1) WHERE rank <= {limit}"""}
 
 
-@query("related_articles", "SELECT for_article_id, article_id, chunk_id, round(score, 6) AS score, rank FROM rel", related_sql(5, K.RELATED_MIN_SCORE))
+@query("related_articles", "SELECT for_article_id, article_id, chunk_id, score, rank FROM rel", related_sql(5, K.RELATED_MIN_SCORE))
 def _(spark, d):
-    return r6(S.related_articles(V.article_vectors(spark, d), V.chunks(spark, d), V.articles(spark, d)), "score")
+    return S.related_articles(V.article_vectors(spark, d), V.chunks(spark, d), V.articles(spark, d))
 
 
-@query("vector_topk", f"""SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM (SELECT query_id, chunk_id, {COS.format('query_vector', 'embedding')} AS score,
+@query("vector_topk", f"""SELECT query_id, chunk_id, score, rank FROM (SELECT query_id, chunk_id, {COS.format('query_vector', 'embedding')} AS score,
   row_number() OVER (PARTITION BY query_id ORDER BY {COS.format('query_vector', 'embedding')} DESC, chunk_id) AS rank FROM search_queries, chunks WHERE query_vector IS NOT NULL) WHERE rank <= 10""")
 def _(spark, d):
     q = V.search_queries(spark, d).select(F.col("query_id").alias("qid"), F.col("query_vector").alias("qvec"))
     c = V.chunks(spark, d).select(F.col("chunk_id").alias("cid"), F.col("embedding").alias("cvec"))
-    return r6(cosine_topk(q, c, 10), "score").select(F.col("qid").alias("query_id"), F.col("cid").alias("chunk_id"), "score", "rank")
+    return cosine_topk(q, c, 10).select(F.col("qid").alias("query_id"), F.col("cid").alias("chunk_id"), "score", "rank")
 
 
-@query("vector_topk_join", f"""SELECT qid, cid, round(score, 6) AS score, rank FROM (SELECT a.article_id AS qid, b.article_id AS cid, {COS.format('a.embedding', 'b.embedding')} AS score,
+@query("vector_topk_join", f"""SELECT qid, cid, score, rank FROM (SELECT a.article_id AS qid, b.article_id AS cid, {COS.format('a.embedding', 'b.embedding')} AS score,
   row_number() OVER (PARTITION BY a.article_id ORDER BY {COS.format('a.embedding', 'b.embedding')} DESC, b.article_id) AS rank FROM article_vectors a, article_vectors b
   WHERE {COS.format('a.embedding', 'b.embedding')} >= 0.7) WHERE rank <= 3""")
 def _(spark, d):
     v = V.article_vectors(spark, d)
-    return r6(cosine_topk(v.select(F.col("article_id").alias("qid"), F.col("embedding").alias("qvec")),
-                          v.select(F.col("article_id").alias("cid"), F.col("embedding").alias("cvec")), 3, 0.7, pivot_count=16), "score")
+    return cosine_topk(v.select(F.col("article_id").alias("qid"), F.col("embedding").alias("qvec")),
+                       v.select(F.col("article_id").alias("cid"), F.col("embedding").alias("cvec")), 3, 0.7, pivot_count=16)
 
 
-@query("learned_vector_topk", f"""SELECT query_id, article_id, round(score, 6) AS score, rank FROM (SELECT query_id, article_id, {COS.format('query_vector', 'learned_embedding')} AS score,
+@query("learned_vector_topk", f"""SELECT query_id, article_id, score, rank FROM (SELECT query_id, article_id, {COS.format('query_vector', 'learned_embedding')} AS score,
   row_number() OVER (PARTITION BY query_id ORDER BY {COS.format('query_vector', 'learned_embedding')} DESC, article_id) AS rank FROM search_queries, learned_vectors WHERE query_vector IS NOT NULL) WHERE rank <= 10""")
 def _(spark, d):
-    return r6(S.learned_topk(V.search_queries(spark, d), V.learned_vectors(spark, d), 10), "score")
+    return S.learned_topk(V.search_queries(spark, d), V.learned_vectors(spark, d), 10)
 
 
 # ---- near duplicates -------------------------------------------------------------------
@@ -199,11 +199,11 @@ def _(spark, d):
     return new.select("article_id").join(hit.withColumnRenamed("id", "article_id"), "article_id", "left_anti")
 
 
-@query("best_candidate_match", f"""SELECT id, title, url, round(score, 6) AS sim FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, pos) AS n FROM (
+@query("best_candidate_match", f"""SELECT id, title, url, score AS sim FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, pos) AS n FROM (
   SELECT c.article_id AS id, p.pos, a.title, a.url, round({jac(ALNUM.format('c.search_query'), ALNUM.format('a.title')).replace(', 6)', ', 12)')} + CASE WHEN c.outlet <> '' AND contains(coalesce(a.title, '') || coalesce(a.url, ''), c.outlet) THEN CAST(0.2 AS DOUBLE) ELSE 0 END, 9) AS score
   FROM classified c, (SELECT unnest([0, 1, 2, 3, 4]) AS pos) p JOIN articles a ON CAST(a.article_id AS BIGINT) = CAST(c.article_id AS BIGINT) + p.pos)) WHERE n = 1 AND score >= 0.10""", {"classified": CLASSIFIED})
 def _(spark, d):
     rows = fact_check_rows(spark, d).withColumnRenamed("article_id", "id")
     near = rows.select("id", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("pos")).withColumn("article_id", (F.col("id").cast("bigint") + F.col("pos")).cast("string"))
     cand = near.join(V.articles(spark, d).select("article_id", "title", "url"), "article_id").select("id", "pos", "title", "url")
-    return r6(S.best_candidate_match(rows, cand), "sim")
+    return S.best_candidate_match(rows, cand)

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from .. import constants as K
 from ..functions import vectors as X
 from ..operators.vector_topk import cosine_topk
+from ..session import cut_lineage
 from . import encoders as E, search as S
 from .history import recent_history
 
@@ -22,7 +23,10 @@ MAX_HISTORY = 2 * K.HISTORY_SIZE
 def merged_history(requests: DataFrame, events: DataFrame, feedback: DataFrame, articles: DataFrame, strict: bool = True) -> DataFrame:
     """(request_id, src, pos, article_id, category, hpos): session history, then user history, first
     occurrence per article.  ``src`` is 0 for the session and 1 for the user."""
-    raw = both_histories(requests, events, feedback, articles, strict)
+    return merge_histories(both_histories(requests, events, feedback, articles, strict))
+
+
+def merge_histories(raw: DataFrame) -> DataFrame:
     first = W.partitionBy("request_id", "article_id").orderBy("src", "pos")
     order = W.partitionBy("request_id").orderBy("src", "pos")
     return (raw.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
@@ -199,8 +203,9 @@ def _with_articles(rows: DataFrame, articles: DataFrame) -> DataFrame:
 
 def ranked_profile(requests, events, feedback, articles, vectors, chunks, limit: int, dim: int = 64, strict: bool = True):
     """(history, reranked profile candidates) of all requests."""
-    raw = both_histories(requests, events, feedback, articles, strict)
-    history = merged_history(requests, events, feedback, articles, strict)
+    # at most 40 rows per request; read by several stages, so written once
+    raw = cut_lineage(both_histories(requests, events, feedback, articles, strict))
+    history = merge_histories(raw)
     cand = profile_candidates(profile_vectors(raw, vectors, dim), chunks, articles, history, limit)
     weights = category_recency_weights(history, ["request_id"], F.col("hpos") - 1)
     return history, rerank_hybrid(_with_articles(cand, articles), weights, ["request_id"])
@@ -222,7 +227,8 @@ def recommend(requests: DataFrame, events: DataFrame, feedback: DataFrame, artic
         enc = enc.select(*cols, F.lit("encoder").alias("_src"))
         rows = enc.unionByName(rows.join(enc.select("request_id").distinct(), "request_id", "left_anti").select(*cols, "_src"))
     by = ["request_id"]
-    ordered = trust_guardrail(diversify(rows, by, limit), by)
+    ordered = cut_lineage(trust_guardrail(diversify(rows, by, limit), by).where(F.col("pos") <= limit)
+                          .select("request_id", "pos", "article_id", "category", "score", "_src"))
     source = ordered.groupBy("request_id").agg(F.first("_src").alias("src"))
     main = _as_list(ordered, "", limit, F.round("score", 4)).join(source, "request_id")
     main = main.select("request_id", F.transform("items", lambda i: i.withField("rec_source", F.col("src"))).alias("items"))
