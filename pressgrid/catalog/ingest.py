@@ -1,0 +1,199 @@
+"""Queries: pages, cleaning, chunking, files and evaluation sets."""
+from __future__ import annotations
+
+from pyspark.sql import functions as F, types as TY
+
+from .. import constants as K
+from ..functions import text as T
+from ..plans import ingest as G
+from ..session import new_path
+from ..sources import files as FI, pages as PG, views as V
+from .oracle_views import lst
+from .registry import query
+from .texts import SENTENCES
+
+TEST_SELECTORS = {"publisher": [".logo img"], "title": ["h1"], "date": [".date_time"], "body": ["article"],
+                  "drop": ["script", "style", ".ad", "nav"], "reporter": [".byline"]}
+
+
+@query("html_to_article")
+def _(spark, d):
+    return PG.html_to_article(V.table(spark, d, "pages"), selectors=TEST_SELECTORS)
+
+
+@query("html_to_text_generic")
+def _(spark, d):
+    return PG.html_to_text_generic(V.table(spark, d, "pages"))
+
+
+@query("html_body_by_selector_list")
+def _(spark, d):
+    return PG.html_body_by_selector_list(V.table(spark, d, "pages"))
+
+
+def raw_rows(spark, d):
+    """Raw crawl rows: every article with a noisy body, byline and title."""
+    a = V.articles(spark, d)
+    return a.select("article_id", F.concat(F.lit("[단독] "), "title").alias("title"), "source", "category", F.col("published_at").alias("date"),
+                    F.when(F.col("article_id").cast("bigint") % 23 == 0, "?").otherwise(F.col("source")).alias("reporter"),
+                    F.concat(F.lit("[제목] "), "full_text").alias("content"))
+
+
+@query("ingest_clean_dedupe")
+def _(spark, d):
+    stored = V.articles(spark, d).where("lang = 'fr'").select("title")
+    return G.ingest_clean_dedupe(raw_rows(spark, d).where("category is not null"), stored)
+
+
+@query("crawl_quality_filter", "SELECT article_id FROM articles WHERE length('[제목] ' || full_text) >= 100 AND CAST(article_id AS BIGINT) % 23 <> 0")
+def _(spark, d):
+    return G.quality_filter(raw_rows(spark, d)).select("article_id")
+
+
+@query("best_title_per_content", "SELECT article_id FROM (SELECT article_id, row_number() OVER (PARTITION BY full_text ORDER BY length(title) DESC, article_id DESC) AS n FROM articles) WHERE n = 1")
+def _(spark, d):
+    return G.best_title_per_content(V.articles(spark, d).withColumnRenamed("full_text", "content"), "article_id").select("article_id")
+
+
+@query("chunk_documents")
+def _(spark, d):
+    return G.chunk_documents(V.articles(spark, d))
+
+
+@query("title_chunks", "SELECT article_id || '_title' AS chunk_id, article_id, '' AS chunk_text FROM articles")
+def _(spark, d):
+    return G.title_chunks(V.articles(spark, d)).select("chunk_id", "article_id", "chunk_text")
+
+
+_STOP = lst(K.STOP_WORDS)
+_WORDS = lambda x: f"list_filter(list_transform(regexp_split_to_array({x}, '\\s+'), lambda w: regexp_replace(w, '[^가-힣a-zA-Z0-9]', '', 'g')), lambda w: length(w) >= 3 AND NOT list_contains({_STOP}, w))"
+HL = {
+    "sents": f"SELECT article_id, len, kw, unnest(s) AS t, unnest(range(0, len(s))) AS i FROM (SELECT article_id, length(full_text) AS len, {SENTENCES} AS s, list_distinct({_WORDS(chr(39).join(['regexp_replace(summary_text, ', '[\\s,，、。.!?！？]+', ', ', ' ', ', ', 'g', ')']))}) AS kw FROM articles WHERE length(full_text) >= 300 AND coalesce(summary_text, '') <> '')",
+    "hls": f"SELECT article_id, len, t, i, list_filter(w, lambda x: list_contains(kw, x)) AS m, w FROM (SELECT *, {_WORDS('t')} AS w FROM sents WHERE len(kw) > 0)",
+    "hl": """SELECT * FROM (SELECT article_id, t AS sentence, len(m) AS matches, len, row_number() OVER (PARTITION BY article_id ORDER BY len(m) DESC, round(len(m) / CAST(greatest(len(w), 1) AS DOUBLE), 9) DESC, i) AS place FROM hls WHERE len(m) >= 2)
+      WHERE place <= least(6, greatest(1, ceil(len / CAST(600 AS DOUBLE))))"""}
+
+
+@query("extractive_highlights", "SELECT article_id, place, sentence, CAST(matches AS BIGINT) AS matches FROM hl", HL)
+def _(spark, d):
+    return G.extractive_highlights(V.articles(spark, d))
+
+
+@query("top_sentences", "SELECT article_id, count(*) AS n, max(place) AS last_place FROM hl GROUP BY 1", HL)
+def _(spark, d):
+    return G.extractive_highlights(V.articles(spark, d)).groupBy("article_id").agg(F.count("*").alias("n"), F.max("place").alias("last_place"))
+
+
+# ---- evaluation sets -------------------------------------------------------------------
+
+def eval_rows(spark, d):
+    i = F.col("id").cast("bigint")
+    a = V.articles(spark, d).select(F.col("article_id").alias("id"), F.col("full_text").alias("text"), "source")
+    j = a.join(V.labels(spark, d).withColumnRenamed("article_id", "id"), "id")
+    return j.withColumn("sim", F.when(i % 3 != 0, (i % 10) / 10.0))
+
+
+EVV = {"evrows": "SELECT a.article_id AS id, full_text AS text, source, label, CASE WHEN CAST(a.article_id AS BIGINT) % 3 <> 0 THEN (CAST(a.article_id AS BIGINT) % 10) / CAST(10 AS DOUBLE) END AS sim FROM articles a JOIN label_rows l ON a.article_id = l.article_id",
+       "evok": "SELECT *, CASE WHEN label >= 0.75 THEN 'trust' WHEN label <= 0.25 THEN 'distrust' ELSE 'neutral' END AS label_group FROM evrows WHERE length(text) >= 300 AND (sim IS NULL OR sim >= 0.3)",
+       "evpick": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label_group ORDER BY sha256('42|' || id), id) AS n FROM evok) WHERE n <= 20"}
+
+
+@query("eval_sample_filter", "SELECT id FROM evok", EVV)
+def _(spark, d):
+    return G.eval_sample_filter(eval_rows(spark, d)).select("id")
+
+
+@query("stratified_sample", "SELECT id, label_group FROM evpick", EVV)
+def _(spark, d):
+    rows = G.eval_sample_filter(eval_rows(spark, d)).withColumn("label_group", T.label_group(F.col("label")))
+    return G.stratified_sample(rows, "label_group", 20, "id").select("id", "label_group")
+
+
+@query("build_eval_set", "SELECT id, md5(text) AS digest, nullif(source, '') AS source, label, label_group FROM evpick", EVV)
+def _(spark, d):
+    return G.build_eval_set(eval_rows(spark, d)).select("id", F.md5("text").alias("digest"), "source", "label", "label_group")
+
+
+@query("label_distribution", "SELECT label_group, count(*) AS n FROM evpick GROUP BY 1", EVV)
+def _(spark, d):
+    return G.label_distribution(G.build_eval_set(eval_rows(spark, d)))
+
+
+# ---- files -------------------------------------------------------------------------------
+
+_DOC = TY.StructType([TY.StructField("article_id", TY.StringType()), TY.StructField("title", TY.StringType()), TY.StructField("trust_score", TY.IntegerType())])
+
+
+def _lines(spark, d):
+    a = V.articles(spark, d).select("article_id", "title", "trust_score")
+    good = a.select(F.to_json(F.struct("*")).alias("value"))
+    broken = a.where("trust_score = 0").select(F.concat(F.lit('{"article_id": "'), "article_id").alias("value"))
+    blank = a.where("trust_score is null").select(F.lit("  ").alias("value"))
+    path = new_path(spark, "lines")
+    good.unionByName(broken).unionByName(blank).write.text(path)
+    return path
+
+
+@query("read_jsonl", "SELECT article_id, title, trust_score FROM articles")
+def _(spark, d):
+    return FI.read_jsonl(spark, _lines(spark, d), _DOC)[0]
+
+
+@query("read_jsonl_bad_lines", """SELECT '{"article_id": "' || article_id AS line FROM articles WHERE trust_score = 0""")
+def _(spark, d):
+    return FI.read_jsonl(spark, _lines(spark, d), _DOC)[1]
+
+
+@query("read_csv_strings", "SELECT article_id, title, coalesce(category, '') AS category, CASE WHEN trust_score IS NULL OR category = '경제' THEN 0 ELSE trust_score END AS trust_score FROM articles")
+def _(spark, d):
+    path = new_path(spark, "csv")
+    score = F.when(F.col("category") == "경제", "n/a").otherwise(F.col("trust_score").cast("string"))
+    FI.write_csv(V.articles(spark, d).select("article_id", "title", "category", score.alias("trust_score")), path)
+    return FI.read_csv_strings(spark, path)
+
+
+@query("read_csv_bom", "SELECT judge, count(*) AS n FROM (SELECT coalesce(category, '') AS judge FROM articles) GROUP BY 1")
+def _(spark, d):
+    path = new_path(spark, "bom")
+    rows = V.articles(spark, d).select(F.col("category").alias("﻿judge"), "article_id")
+    FI.write_csv(rows, path)
+    return FI.read_csv_strings(spark, path).groupBy("judge").agg(F.count("*").alias("n"))
+
+
+@query("chunks_with_vectors_load", "SELECT chunk_id, article_id, round(list_sum(embedding), 6) AS total FROM chunks")
+def _(spark, d):
+    c = V.chunks(spark, d).withColumn("row_idx", F.col("chunk_id").cast("bigint"))
+    both = FI.chunks_with_vectors(c.select("row_idx", "chunk_id", "article_id"), c.select("row_idx", "embedding"))
+    return both.select("chunk_id", "article_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
+
+
+@query("export_tables", """SELECT 'articles' AS part, count(*) AS n FROM articles UNION ALL SELECT 'chunks', count(*) FROM chunks UNION ALL SELECT 'feedback', count(*) FROM feedback""")
+def _(spark, d):
+    paths = FI.export_tables({"articles": V.articles(spark, d), "chunks": V.chunks(spark, d), "feedback": V.feedback(spark, d)}, new_path(spark, "export"))
+    parts = [spark.read.parquet(p).agg(F.lit(n).alias("part"), F.count("*").alias("n")) for n, p in paths.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("write_jsonl_cache", "SELECT article_id, score, verdict FROM trust_rows WHERE NOT failed")
+def _(spark, d):
+    from ..plans import trust as TR
+    path = new_path(spark, "cache")
+    FI.write_jsonl(TR.score_trust_table(V.answers(spark, d)).where("score is not null"), path)
+    schema = TY.StructType([TY.StructField("article_id", TY.StringType()), TY.StructField("score", TY.IntegerType()), TY.StructField("verdict", TY.StringType())])
+    return FI.read_jsonl(spark, path, schema)[0]
+
+
+@query("append_jsonl_resume", "SELECT article_id, CASE WHEN lang = 'en' THEN 'old' ELSE 'new' END AS title, trust_score FROM articles")
+def _(spark, d):
+    path, a = new_path(spark, "resume"), V.articles(spark, d)
+    FI.write_jsonl(a.where("lang = 'en'").select("article_id", F.lit("old").alias("title"), "trust_score"), path)
+    FI.append_jsonl_resume(a.select("article_id", F.lit("new").alias("title"), "trust_score"), path, "article_id", _DOC)
+    return FI.read_jsonl(spark, path, _DOC)[0]
+
+
+@query("report_tables_csv", "SELECT feedback_type, CAST(count(*) AS VARCHAR) AS n FROM feedback GROUP BY 1")
+def _(spark, d):
+    from ..operators import dashboards as D
+    f = V.feedback(spark, d)
+    paths = FI.report_tables_csv({"counts": D.feedback_counts(f), "empty": f.where("feedback_type = 'none'")}, new_path(spark, "report"))
+    return FI.read_csv_strings(spark, paths["counts"])

@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from .. import constants as K
+from .vectors import let
 
 
 def predicate_value(answer: Column) -> Column:
@@ -39,11 +40,6 @@ def parse_criterion(item: Column) -> Column:
                     F.when(is_object, reason).otherwise("").alias("reason"), (~is_object).alias("parse_failed"))
 
 
-def let(value: Column, body) -> Column:
-    """``body(value)`` with the value computed once, however often the body names it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def weighted_score(scores: list[Column], weights: list[Column] | list[float]) -> Column:
     """0-100 score: weighted sum over the largest reachable sum, cross penalty, evidence cap, truncation.
 

@@ -16,22 +16,29 @@ def norm(a: Column) -> Column:
     return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once per row, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _over_norms(a: Column, b: Column, otherwise) -> Column:
+    norms = F.struct(norm(a).alias("a"), norm(b).alias("b"), dot(a, b).alias("d"))
+    return let(norms, lambda n: F.when((n["a"] > 0) & (n["b"] > 0), n["d"] / (n["a"] * n["b"])).otherwise(otherwise))
+
+
 def cosine(a: Column, b: Column) -> Column:
-    """Cosine; 0 when a side has no length (replay rule)."""
-    na, nb = norm(a), norm(b)
-    return F.when((na <= 0) | (nb <= 0), F.lit(0.0)).otherwise(dot(a, b) / (na * nb))
+    """Cosine; 0 when a side has no length (replay rule), null when a side is missing."""
+    return F.when(a.isNotNull() & b.isNotNull(), _over_norms(a, b, F.lit(0.0)))
 
 
 def cosine_or_null(a: Column, b: Column) -> Column:
     """Cosine; null when a side has no length (search rule: such rows are dropped)."""
-    na, nb = norm(a), norm(b)
-    return F.when((na > 0) & (nb > 0), dot(a, b) / (na * nb))
+    return _over_norms(a, b, F.lit(None).cast("double"))
 
 
 def l2_normalize(a: Column) -> Column:
     """Unit vector; a zero vector stays zero."""
-    n = norm(a)
-    return F.when(n > 0, F.transform(a, lambda x: x / n)).otherwise(a)
+    return let(norm(a), lambda n: F.when(n > 0, F.transform(a, lambda x: x / n)).otherwise(a))
 
 
 def has_length(a: Column) -> Column:

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import constants as K
+from ..functions import vectors as X
 
 # Outlet shown for source number n (twenty sources).
 OUTLETS = ["연합뉴스", "조선일보 경제", "머니투데이", "유튜브", "지역소식", "미상", "KBS", "한겨레", "뉴시스 사회", "티스토리",
@@ -57,8 +58,7 @@ def article_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(article_id, embedding): unit vector plus a boost on the label's dimension, so labels form clusters."""
     e = table(spark, sf_dir, "embeddings")
     v = F.col("embedding").cast("array<double>")
-    length = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    boosted = F.transform(v, lambda x, j: x / length + F.when(j == F.col("label"), LABEL_BOOST).otherwise(0.0))
+    boosted = X.let(X.norm(v), lambda n: F.transform(v, lambda x, j: x / n + F.when(j == F.col("label"), LABEL_BOOST).otherwise(0.0)))
     return e.select(F.col("vec_id").cast("string").alias("article_id"), boosted.alias("embedding"))
 
 
@@ -80,7 +80,11 @@ def _k() -> Column:
 
 
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
+    return as_event_log(table(spark, sf_dir, "events"))
+
+
+def as_event_log(e: DataFrame) -> DataFrame:
+    """Event rows, batch or streaming, in the shape of the log; ``ts`` is kept as ``event_time``."""
     k, u = _k(), F.col("user_id")
     kind = (F.when(F.col("event_type") == "view", "view_article_detail").when(F.col("event_type") == "click", "click_article")
             .when(F.col("event_type") == "purchase", "click_feedback").when(F.col("event_type") == "signup", "visit_main")
@@ -100,13 +104,16 @@ def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(kind == "impression", shown).when((kind == "click_article") & (k % 5 != 0), tagged)
          .otherwise(untagged).alias("event_data"),
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("created_at"),
-        F.when(u % 5 != 0, u.cast("string")).alias("user_id"),
+        F.when(u % 5 != 0, u.cast("string")).alias("user_id"), F.col("ts").cast("timestamp").alias("event_time"),
     )
 
 
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events before the user check and redaction (``user_id`` may name nobody)."""
-    e = event_log(spark, sf_dir)
+    return as_raw_events(event_log(spark, sf_dir))
+
+
+def as_raw_events(e: DataFrame) -> DataFrame:
     secret = F.concat(F.lit('{"api_key":"x","nested":{"Token":"y","n":['), F.length("log_id"), F.lit(',"ok"]},"payload":'),
                       F.col("event_data"), F.lit("}"))
     return e.withColumn("user_id", F.regexp_extract("session_id", "^([0-9]+)-", 1)).withColumn("event_data", secret)
@@ -128,13 +135,17 @@ def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def performance_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page-speed events: one per given event, path = its type."""
-    e = table(spark, sf_dir, "events")
+    return as_performance_log(table(spark, sf_dir, "events"))
+
+
+def as_performance_log(e: DataFrame) -> DataFrame:
     v = F.col("value")
     return e.select(F.lit("client_performance").alias("event_type"),
                     F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("created_at"),
                     F.to_json(F.struct(F.concat(F.lit("/"), "event_type").alias("path"),
                                        F.floor(v * 10).alias("lcp_ms"), (F.floor(v) / 100).alias("cls"),
-                                       F.floor(v * 3).alias("max_event_ms"))).alias("event_data"))
+                                       F.floor(v * 3).alias("max_event_ms"))).alias("event_data"),
+                    F.col("ts").cast("timestamp").alias("event_time"))
 
 
 def search_log(spark: SparkSession, sf_dir: str) -> DataFrame:
