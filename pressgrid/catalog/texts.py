@@ -158,7 +158,8 @@ def _(spark, d):
 
 @query("clean_news_body")
 def _(spark, d):
-    return V.articles(spark, d).select("article_id", AR.clean_news_body("full_text").alias("body"))
+    from ..plans import ingest as G
+    return G.clean_bodies(V.articles(spark, d).select("article_id", F.col("full_text").alias("body")), "body")
 
 
 @query("subject_key", "SELECT log_id, CASE WHEN user_id IS NOT NULL THEN 'user:' || user_id ELSE 'session:' || session_id END AS subject FROM event_log")

@@ -18,7 +18,6 @@ from ..functions import vectors as X
 
 MAX_PIVOTS = 256
 SCORE_DIGITS = 9
-_CELL = T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("angle", T.DoubleType())])
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -30,25 +29,37 @@ def _usable(df: DataFrame, vec: str) -> DataFrame:
     return df.where(F.col(vec).isNotNull() & X.has_length(F.col(vec)))
 
 
-def _nearest(pivots: np.ndarray):
-    @F.pandas_udf(_CELL)
-    def nearest(vectors: pd.Series) -> pd.DataFrame:
-        sims = np.clip(_matrix(vectors) @ pivots.T, -1.0, 1.0)
-        best = sims.argmax(axis=1)
-        return pd.DataFrame({"cell": best.astype("int32"), "angle": np.arccos(sims[np.arange(len(best)), best])})
-    return nearest
+def _with_cells(df: DataFrame, vec: str, cell: str, pivots: np.ndarray) -> DataFrame:
+    """Adds the nearest pivot and the angle to it."""
+    if len(pivots) == 1:
+        return df.withColumns({cell: F.lit(0), "_a": F.lit(math.pi)})
 
+    def assign(batches):
+        for b in batches:
+            if len(b):
+                sims = np.clip(_matrix(b[vec]) @ pivots.T, -1.0, 1.0)
+                best = sims.argmax(axis=1)
+                yield b.assign(**{cell: best.astype("int32"), "_a": np.arccos(sims[np.arange(len(best)), best])})
 
-def _reachable(pivots: np.ndarray, radius: np.ndarray, reach: float):
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def reachable(vectors: pd.Series) -> pd.Series:
-        angles = np.arccos(np.clip(_matrix(vectors) @ pivots.T, -1.0, 1.0))
-        ok = angles - radius <= reach + 1e-9
-        return pd.Series([np.flatnonzero(r).astype("int32") for r in ok], dtype=object)
-    return reachable
+    return df.mapInPandas(assign, T.StructType([*df.schema.fields, T.StructField(cell, T.IntegerType()), T.StructField("_a", T.DoubleType())]))
 
 
-def _rows(qid: list, cid: list, score: list) -> pd.DataFrame:
+def _with_reachable(q: DataFrame, pivots: np.ndarray, radius: np.ndarray, reach: float) -> DataFrame:
+    """One row per (query, cell that can hold a match)."""
+    if len(pivots) == 1:
+        return q.withColumn("ccell", F.lit(0))
+
+    def route(batches):
+        for b in batches:
+            if len(b):
+                angles = np.arccos(np.clip(_matrix(b["qvec"]) @ pivots.T, -1.0, 1.0))
+                row, cell = np.nonzero(angles - radius <= reach + 1e-9)
+                yield b.iloc[row].assign(ccell=cell.astype("int32"))
+
+    return q.mapInPandas(route, T.StructType([*q.schema.fields, T.StructField("ccell", T.IntegerType())]))
+
+
+def _rows(qid, cid, score) -> pd.DataFrame:
     return pd.DataFrame({"qid": pd.Series(qid, dtype=object), "cid": pd.Series(cid, dtype=object),
                          "score": pd.Series(score, dtype="float64")})
 
@@ -63,17 +74,19 @@ def _block_topk(k: int, min_score: float | None, exclude: bool):
             same = q["qkey"].to_numpy()[:, None] == c["ckey"].to_numpy()[None, :]
             scores = np.where(same, -np.inf, scores)
         floor = -2.0 if min_score is None else min_score
-        out_q, out_c, out_s = [], [], []
-        for qid, row in zip(q["qid"], scores):
+        place = np.empty(len(ids), dtype=np.int64)
+        place[np.argsort(ids.astype(str), kind="stable")] = np.arange(len(ids))
+        picked = []
+        for row in scores:
             hit = np.flatnonzero(row >= floor)
             if len(hit) > k:
                 edge = np.partition(row[hit], len(hit) - k)[len(hit) - k]
                 hit = hit[row[hit] >= edge]
-            hit = sorted(hit, key=lambda j: (-row[j], ids[j]))[:k]
-            out_q += [qid] * len(hit)
-            out_c += [ids[j] for j in hit]
-            out_s += [row[j] for j in hit]
-        return _rows(out_q, out_c, out_s)
+            picked.append(hit[np.lexsort((place[hit], -row[hit]))[:k]])
+        sizes = [len(h) for h in picked]
+        cols = np.concatenate(picked) if picked else np.array([], dtype=np.int64)
+        rows = np.repeat(np.arange(len(sizes)), sizes)
+        return _rows(q["qid"].to_numpy()[rows], ids[cols], scores[rows, cols])
     return best
 
 
@@ -94,9 +107,7 @@ def cosine_topk(queries: DataFrame, corpus: DataFrame, k: int, min_score: float
         return q.sparkSession.createDataFrame([], schema + ", rank int")
     rows = c.orderBy(F.xxhash64("cid"), "cid").limit(max(cells, 1)).select("cvec").collect()
     pivots = _matrix(pd.Series([r["cvec"] for r in rows]))
-    nearest = _nearest(pivots)
-    c = c.withColumn("_n", nearest("cvec")).withColumns({"ccell": F.col("_n.cell"), "_a": F.col("_n.angle")}).drop("_n")
-    q = q.withColumn("_n", nearest("qvec")).withColumns({"qcell": F.col("_n.cell"), "_a": F.col("_n.angle")}).drop("_n")
+    c, q = _with_cells(c, "cvec", "ccell", pivots), _with_cells(q, "qvec", "qcell", pivots)
     size = lambda df, cell: {r[cell]: (r["n"], r["r"]) for r in
                              df.groupBy(cell).agg(F.count("*").alias("n"), F.max("_a").alias("r")).collect()}
     cstat, qstat = size(c, "ccell"), size(q, "qcell")
@@ -112,7 +123,7 @@ def cosine_topk(queries: DataFrame, corpus: DataFrame, k: int, min_score: float
     route = F.broadcast(q.sparkSession.createDataFrame(routes, "qcell int, ccell int, qn int, cn int"))
     salt = lambda col, n: F.pmod(F.xxhash64(col, F.lit(7)), F.col(n)).cast("int")
     keys = ["qcell", "ccell", "qsub", "csub"]
-    qb = (q.withColumn("ccell", F.explode(_reachable(pivots, radius, reach)("qvec"))).join(route, ["qcell", "ccell"])
+    qb = (_with_reachable(q, pivots, radius, reach).join(route, ["qcell", "ccell"])
           .withColumn("qsub", salt("qid", "qn")).withColumn("csub", F.explode(F.sequence(F.lit(0), F.col("cn") - 1))))
     cb = (c.join(route, "ccell").withColumn("csub", salt("cid", "cn"))
           .withColumn("qsub", F.explode(F.sequence(F.lit(0), F.col("qn") - 1))))

@@ -4,8 +4,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import arrow, text as T
+from ..functions.vectors import let
 from ..operators.near_dup import greedy_dropped, similar_to_stored
-from ..session import cut_lineage
+from ..session import cut_lineage, spread
+
+
+def clean_bodies(rows: DataFrame, column: str) -> DataFrame:
+    return spread(rows).withColumn(column, arrow.clean_news_body(column))
 
 
 def blank_title_chunks(chunks: DataFrame) -> DataFrame:
@@ -50,7 +55,7 @@ def best_title_per_content(rows: DataFrame, id_col: str) -> DataFrame:
 def ingest_clean_dedupe(raw: DataFrame, stored: DataFrame, id_col: str = "article_id") -> DataFrame:
     """Curated rows: cleaned bodies, one row per body, no near-duplicate titles inside the batch
     (0.7, longest body wins) or against the stored titles (0.8), byline with its job title."""
-    clean = raw.withColumn("content", arrow.clean_news_body("content")).where(F.char_length("content") >= 100)
+    clean = spread(raw).withColumn("content", arrow.clean_news_body("content")).where(F.char_length("content") >= 100)
     clean = clean.withColumn("title", T.clean_title(F.col("title")))
     rows = cut_lineage(quality_filter(best_title_per_content(cut_lineage(clean), id_col)))
     order, title = [-F.char_length("content")], F.coalesce("title", F.lit(""))
@@ -65,7 +70,7 @@ def chunk_documents(articles: DataFrame, text: str = "full_text") -> DataFrame:
 
     Bodies under ten characters are skipped.
     """
-    rows = articles.where(F.char_length(F.trim(F.col(text))) >= 10)
+    rows = spread(articles.where(F.char_length(F.trim(F.col(text))) >= 10))
     prefix = lambda c: T.contextual_prefix(F.coalesce("title", F.lit("")), F.coalesce("source", F.lit("미상")), F.coalesce("category", F.lit("일반")), c)
     body = rows.select("article_id", "title", "source", "category", F.posexplode(arrow.chunk_array(text)).alias("n", "chunk_text"))
     body = body.select(F.concat_ws("_", "article_id", "n").alias("chunk_id"), "article_id", "chunk_text", prefix(F.col("chunk_text")).alias("context_text"))
@@ -82,15 +87,17 @@ def extractive_highlights(articles: DataFrame, min_chars: int = 300) -> DataFram
 
     Everything happens inside the row, so nothing is exploded or shuffled until the result.
     """
-    rows = articles.where((F.char_length("full_text") >= min_chars) & (F.coalesce("summary_text", F.lit("")) != ""))
+    rows = spread(articles).where((F.char_length("full_text") >= min_chars) & (F.coalesce("summary_text", F.lit("")) != ""))
     rows = rows.select("article_id", F.char_length("full_text").alias("len"), T.split_sentences(F.col("full_text")).alias("s"),
                        T.summary_words(F.col("summary_text")).alias("kw")).where(F.size("kw") > 0)
 
     def score(sentence, i):
-        words = T.highlight_words(sentence)
-        hits = F.size(F.filter(words, lambda w: F.array_contains("kw", w)))
-        density = F.when(F.size(words) > 0, hits / F.size(words)).otherwise(0.0)
-        return F.struct((-hits).alias("h"), (-F.round(density, 9)).alias("d"), i.alias("i"), sentence.alias("t"))
+        def counted(words):
+            hits = F.size(F.filter(words, lambda w: F.array_contains("kw", w)))
+            return F.struct(hits.alias("hits"), F.size(words).alias("all"))
+        return let(let(T.highlight_words(sentence), counted), lambda c: F.struct(
+            (-c["hits"]).alias("h"), (-F.round(F.when(c["all"] > 0, c["hits"] / c["all"]).otherwise(0.0), 9)).alias("d"),
+            i.alias("i"), sentence.alias("t")))
 
     n = F.least(F.lit(6), F.greatest(F.lit(1), F.ceil(F.col("len") / 600))).cast("int")
     top = F.slice(F.array_sort(F.filter(F.transform("s", score), lambda x: x["h"] <= -2)), F.lit(1), n)

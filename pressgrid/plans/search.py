@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from .. import constants as K
 from ..functions import text as T
 from ..operators.vector_topk import cosine_topk
-from ..session import cut_lineage
+from ..session import spread, write_once
 
 
 def _best_chunks(hits: DataFrame, chunks: DataFrame, limit: int) -> DataFrame:
@@ -55,10 +55,10 @@ def learned_topk(queries: DataFrame, learned: DataFrame, limit: int) -> DataFram
 
 def bm25_postings(articles: DataFrame) -> DataFrame:
     """(term, article_id, tf, dl) of title and body, written once."""
-    toks = articles.select("article_id", T.tokenize_ko(F.concat(F.coalesce("title", F.lit("")), F.lit(" "),
+    toks = spread(articles.select("article_id", "title", "full_text")).select("article_id", T.tokenize_ko(F.concat(F.coalesce("title", F.lit("")), F.lit(" "),
                                                                 F.coalesce("full_text", F.lit("")))).alias("toks"))
     words = toks.select("article_id", F.size("toks").alias("dl"), F.explode("toks").alias("term"))
-    return cut_lineage(words.groupBy("article_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl")))
+    return write_once(words.groupBy("article_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl")))
 
 
 def bm25_corpus_stats(postings: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .. import constants as K
 from ..functions import trust_expr as X
 from ..operators import ordering as O
-from ..session import cut_lineage
+from ..session import cut_lineage, spread
 
 ANSWERED = K.CRITERIA[1:]
 
@@ -22,7 +22,7 @@ def score_trust_table(answers: DataFrame) -> DataFrame:
     failed = F.greatest(*[F.col(c).isNull() for c in ANSWERED])
     parts = {"source_credibility": X.source_score(F.col("source"))}
     parts.update({c: X.predicate_score(F.col(c)) for c in ANSWERED})
-    rows = answers.withColumns({f"_{c}": v for c, v in parts.items()}).withColumn("_failed", failed)
+    rows = spread(answers).withColumns({f"_{c}": v for c, v in parts.items()}).withColumn("_failed", failed)
     empty = F.struct(F.lit(None).cast("int").alias("score"), F.lit(K.FAILED_REASON).alias("reason"))
     cell = lambda c: F.when(F.col("_failed"), empty).otherwise(F.col(f"_{c}"))
     score = F.when(~F.col("_failed"), X.trust_score([F.col(f"_{c}.score") for c in K.CRITERIA]))
@@ -250,7 +250,7 @@ def blend_sweep(rows: DataFrame) -> DataFrame:
 
 def stratified_folds(rows: DataFrame, folds: int = 5) -> DataFrame:
     """Position inside the label, in row order, modulo the fold count."""
-    return O.positions(rows, ["label"], "row_idx", "_pos").withColumn("fold", (F.col("_pos") % folds).cast("int")).drop("_pos")
+    return O.positions(cut_lineage(rows), ["label"], "row_idx", "_pos").withColumn("fold", (F.col("_pos") % folds).cast("int")).drop("_pos")
 
 
 def blend_cross_validation(folded: DataFrame, folds: int = 5) -> tuple[DataFrame, DataFrame]:

@@ -40,5 +40,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def write_once(df: DataFrame) -> DataFrame:
+    """Write an intermediate as a columnar table and read it back: later reads prune columns."""
+    path = new_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def default_parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """More partitions in front of heavy per-row work when the input has fewer than there are cores.
+
+    A large table already has enough splits and is left alone, so nothing is shuffled at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -15,6 +15,7 @@ from .. import constants as K
 from ..functions import text as T
 from ..functions.arrow import clean_body_text
 from ..operators.articles import inside_dates
+from ..session import spread
 
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 _SILENT = {"script", "style", "template"}
@@ -146,7 +147,7 @@ def html_to_article(pages: DataFrame, start: str | None = None, end: str | None
                 n: pd.Series(list(c), dtype=object, index=b.index) for n, c in
                 zip(("title", "source", "date_text", "content", "reporter_text"), cols)}})
 
-    raw = pages.select("page_id", "url", "html").mapInPandas(parse, _RAW)
+    raw = spread(pages.select("page_id", "url", "html")).mapInPandas(parse, _RAW)
     at = T.parse_news_date(F.col("date_text"))
     rows = raw.where((F.char_length("title") >= min_title) & (F.char_length("content") >= min_body)).withColumn("_at", at)
     if start is not None:
@@ -162,7 +163,7 @@ def _per_page(pages: DataFrame, fn, names: list[str]) -> DataFrame:
             cols = list(zip(*[fn(h) for h in b["html"]])) or [[]] * len(names)
             yield pd.DataFrame({"page_id": b["page_id"], "link": b["url"],
                                 **{n: pd.Series(list(c), dtype=object, index=b.index) for n, c in zip(names, cols)}})
-    return pages.select("page_id", "url", "html").mapInPandas(parse, "page_id bigint, link string, " + ", ".join(f"{n} string" for n in names))
+    return spread(pages.select("page_id", "url", "html")).mapInPandas(parse, "page_id bigint, link string, " + ", ".join(f"{n} string" for n in names))
 
 
 def html_to_text_generic(pages: DataFrame, max_chars: int = 4000) -> DataFrame:
