@@ -75,7 +75,7 @@ def kept_positives(positives: DataFrame, seconds: int = DEDUPE_SECONDS) -> DataF
     no longer than ``seconds`` keeps its first row (an aggregate).  Only longer bursts need the
     sequential scan, which holds one row of state.
     """
-    rows = positives.withColumn("t", (F.unix_micros(T.parse_iso(F.col("created_at"))) / 1e6))
+    rows = cut_lineage(positives.withColumn("t", (F.unix_micros(T.parse_iso(F.col("created_at"))) / 1e6)))
     bad = rows.where("t is null").select("subject", "article_id", "created_at")
     rows = rows.withColumn("_b", range_number(F.col("created_at"), splitters(rows, "created_at")))
     keys = ["subject", "article_id"]
@@ -87,7 +87,7 @@ def kept_positives(positives: DataFrame, seconds: int = DEDUPE_SECONDS) -> DataF
     before = F.max("_tail").over(W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1))
     carried = tails.select(*keys, "_b", before.alias("_carry"))
     r = r.withColumn("_run", running).join(carried, [*keys, "_b"]).withColumn("burst", F.coalesce("_run", "_carry"))
-    r = r.select("subject", "article_id", "created_at", "t", "burst")
+    r = cut_lineage(r.select("subject", "article_id", "created_at", "t", "burst"))
     bursts = r.groupBy(*keys, "burst").agg((F.max("t") - F.min("t")).alias("span"))
     short = bursts.where(F.col("span") <= seconds).select("subject", "article_id", F.col("burst").alias("created_at"))
     long = (r.join(bursts.where(F.col("span") > seconds).drop("span"), [*keys, "burst"], "left_semi")
