@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["decontamination"]
+MODULES = ["decontamination", "compression_bands", "simhash"]
 
 
 def load():
