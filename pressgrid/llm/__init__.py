@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["decontamination", "compression_bands", "simhash"]
+MODULES = ["decontamination", "compression_bands", "simhash", "packing"]
 
 
 def load():
