@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["decontamination", "compression_bands", "simhash", "packing"]
+MODULES = ["decontamination", "compression_bands", "simhash", "packing", "rlz_dedup"]
 
 
 def load():
