@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["decontamination", "compression_bands", "simhash", "packing", "rlz_dedup"]
+MODULES = ["lm_scoring", "rlz_dedup", "decontamination", "compression_bands", "packing", "simhash"]
 
 
 def load():
