@@ -3,7 +3,8 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["lm_scoring", "rlz_dedup", "decontamination", "compression_bands", "packing", "simhash"]
+MODULES = ["lm_scoring", "rlz_dedup", "pii_anchors", "decontamination", "line_frequency", "compression_bands", "packing", "simhash",
+           "language_mixture"]
 
 
 def load():
