@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["lm_scoring", "rlz_dedup", "pii_anchors", "decontamination", "line_frequency", "compression_bands", "packing", "simhash",
+MODULES = ["lm_scoring", "secret_scan", "rlz_dedup", "pii_anchors", "decontamination", "line_frequency", "compression_bands", "packing", "simhash",
            "language_mixture"]
 
 
