@@ -127,18 +127,21 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, label: Column | Non
     return judged(rows, fit(known, max_train))
 
 
-#: Label of a finding whose truth its form alone proves: a long hexadecimal or base64 value that is assigned, in
-#: quotes, to a credential's name is a secret; a value of letters only, a number, a dotted name is none.
-_PROVEN = (F.lower("near").rlike(f"({CREDENTIAL_WORDS})$") & F.col("before").rlike("^[=:]+$") & F.col("word").rlike("^[\"'][A-Za-z0-9+/=_-]{32,}[\"'][.,;]?$"))
-_DISPROVEN = F.col("finding").rlike("^([A-Za-z]+|[0-9]+|[0-9.]+|[A-Za-z.]+|.*\\.(com|org|net).*)$")
+def proven() -> Column:
+    """Truth of a finding where its form alone proves it, else null.
+
+    A long hexadecimal or base64 value that is assigned, in quotes, to a credential's name is a secret; a
+    value of letters only, a number or a dotted name is none.
+    """
+    assigned = F.lower("near").rlike(f"({CREDENTIAL_WORDS})$") & F.col("before").rlike("^[=:]+$") & F.col("word").rlike("^[\"'][A-Za-z0-9+/_=-]{32,}[\"'][.,;]?$")
+    return F.when(assigned, F.lit(True)).when(F.col("finding").rlike("^([A-Za-z]+|[0-9]+|[0-9.]+|[A-Za-z.]+|.*\\.(com|org|net).*)$"), F.lit(False))
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tables have no labelled findings: those that their form proves are the labels, outside a held-out fifth."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
     kept = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0
-    label = F.when(kept & _PROVEN, F.lit(True)).when(kept & _DISPROVEN, F.lit(False))
-    out = scan(docs, label=label)
+    out = scan(docs, label=F.when(kept, proven()))
     return out.select("doc_id", "place", "finding", F.round("coverage", 6).alias("coverage"), F.round("vote", 6).alias("vote"), "is_secret")
 
 

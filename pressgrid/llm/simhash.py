@@ -249,7 +249,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, tile: int = TILE,
                     keep: list[str] | None = None, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """Columns in keep (by default the id) with ``fp`` and ``component_id``, the smallest linked doc_id.
+    """Columns in keep and the id, with ``fp``, ``component_id`` (the smallest linked id) and ``component_key`` (its name, never null).
 
     A null or wordless text has fingerprint 0 and is linked like any other.  A null id counts as the
     largest: it names a component only where no member has an id, and then component_id is null.
@@ -264,18 +264,24 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     nameless = F.coalesce("node", F.lit((1 << 62)) + F.pmod("fp", F.lit(1 << 61)))
     named = nodes.select("fp", nameless.alias("node"), F.col("node").isNull().alias("nameless"))
     joined = components(links(named.select("fp", "node"), n, radius, tile))
-    label = named.join(joined, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"), "nameless")
-    blank = named.where("nameless").select(F.col("node").alias("component_id"), F.lit(True).alias("blank"))
-    label = label.join(blank, "component_id", "left").select("fp", F.when(F.col("blank").isNull(), F.col("component_id")).alias("component_id"))
+    label = named.join(joined, "node", "left").select("fp", F.coalesce("component", "node").alias("component_key"))
+    blank = named.where("nameless").select(F.col("node").alias("component_key"), F.lit(True).alias("blank"))
+    label = (label.join(blank, "component_key", "left")
+             .select("fp", "component_key", F.when(F.col("blank").isNull(), F.col("component_key")).alias("component_id")))
     return prints.join(label, "fp")
 
 
-def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """One document of each component: the one with the smallest id, once."""
+def one_of_each(docs: DataFrame, text: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
+    """One row of each component, with the columns of docs: that with the smallest id (ids before nulls, then by a hash of the text).
+
+    Of rows that repeat id and text one stays.
+    """
     docs = tidy(docs)
-    marked = near_duplicates(docs.select("doc_id", "text"), **options)
-    kept = marked.where("doc_id <=> component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    named = docs.withColumns({"_id": F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-(1 << 63))), "_text_hash": F.xxhash64(F.col(f"`{text}`").cast("string"))})
+    marked = near_duplicates(named.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), "_id", "_text_hash"), keep=["_id", "_text_hash"], **options)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("blank"), "_id", "_text_hash"))
+    kept = marked.groupBy("component_key").agg(first.alias("f")).select("f._id", "f._text_hash")
+    return named.join(kept, ["_id", "_text_hash"], "left_semi").dropDuplicates(["_id", "_text_hash"]).drop("_id", "_text_hash")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
