@@ -1,0 +1,413 @@
+"""Each operator against a brute-force version on small and odd inputs."""
+import base64
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+import xxhash
+import zstandard
+from pyspark.sql import functions as F
+
+from conftest_llm import prose, words
+from pressgrid.llm import (compression_bands, decontamination, language_mixture, line_frequency, lm_scoring, packing, pii_anchors, rlz_dedup,
+                           secret_scan, simhash)
+
+SPACED = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def split(text):
+    return SPACED.findall(text or "")
+
+
+def ascii_lower(text):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), text)
+
+
+# --- 1 --------------------------------------------------------------------------------------------
+
+def brute_losses(docs, targets, alpha):
+    uni, bi, voc = [Counter(), Counter()], [Counter(), Counter()], set()
+    toks = {k: split(ascii_lower(t or "")) for k, t in docs.items()}
+    for k, w in toks.items():
+        voc |= set(w)
+        for h, x in zip([""] + w, w):
+            for m in ([0, 1] if k in targets else [0]):
+                uni[m][h] += 1
+                bi[m][h, x] += 1
+    out = {}
+    for k, w in toks.items():
+        pairs = list(zip([""] + w, w))
+        hist, own = Counter(h for h, _ in pairs), Counter(pairs)
+        loss = []
+        for m in (1, 0):
+            less = 1 if m == 0 or k in targets else 0
+            loss.append(sum(math.log(uni[m][h] - less * hist[h] + alpha * len(voc)) - math.log(bi[m][h, x] - less * own[h, x] + alpha) for h, x in pairs) / len(w) if w else None)
+        out[k] = (len(w), *loss)
+    return out
+
+
+@pytest.mark.parametrize("limit", [1000, 0])
+def test_losses_equal_brute_force(spark, texts, limit):
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4, "doc_id")
+    targets = spark.createDataFrame([(k,) for k in (10, 11, 11, 32, 999)] + [(None,)], "doc_id long")
+    got = {r.doc_id: r for r in lm_scoring.cross_entropy_difference(docs, targets, broadcast_targets=limit).collect()}
+    want = brute_losses(texts, {10, 11, 32}, lm_scoring.ALPHA)
+    assert set(got) == set(want)
+    for k, (n, t, b) in want.items():
+        assert got[k].n_tokens == n
+        assert (got[k].loss_target is None) == (t is None) == (n == 0)
+        if n:
+            assert abs(got[k].loss_target - t) < 1e-9 and abs(got[k].loss_background - b) < 1e-9 and abs(got[k].score - (t - b)) < 1e-9
+
+
+def test_losses_of_odd_and_empty_tables(spark, odd_docs, no_docs):
+    none = spark.createDataFrame([], "doc_id long")
+    assert lm_scoring.cross_entropy_difference(odd_docs, none).count() == odd_docs.count()
+    assert lm_scoring.cross_entropy_difference(no_docs, none).count() == 0
+
+
+# --- 2 --------------------------------------------------------------------------------------------
+
+def finding_docs():
+    rnd, rows = random.Random(3), []
+    for k in range(60):
+        raw = hashlib.sha1(str(k).encode()).hexdigest()
+        rows.append((k, f"{prose(rnd, 5)} token = \"{raw}\" {prose(rnd, 4)}", "src/app.py"))
+        rows.append((100 + k, f"{prose(rnd, 5)} {''.join(words(rnd, 8))} {rnd.randint(10**16, 10**17)} {prose(rnd, 4)}", "docs/readme.md"))
+    return rows
+
+
+def test_forest_keeps_secrets_and_drops_the_rest(spark):
+    docs = spark.createDataFrame(finding_docs(), "doc_id long, text string, source string")
+    label = F.when(F.col("doc_id") % 3 != 0, secret_scan.proven())
+    got = secret_scan.scan(docs, label=label).collect()
+    held = [r for r in got if r.doc_id % 3 == 0]
+    assert {r.doc_id for r in held if r.is_secret} == {k for k in range(60) if k % 3 == 0}
+    assert all(0 <= r.vote <= 1 for r in got) and any(not r.is_secret for r in held)
+
+
+def test_findings_without_labels_and_odd_tables(spark, odd_docs, no_docs):
+    got = secret_scan.scan(odd_docs).collect()
+    assert got and all(r.vote is None and r.is_secret for r in got)
+    assert secret_scan.scan(no_docs).count() == 0
+    table = spark.createDataFrame([(40, 0, True)], "doc_id long, place long, secret boolean")
+    assert secret_scan.scan(odd_docs, labelled=table).count() == len(got)
+
+
+# --- 3 --------------------------------------------------------------------------------------------
+
+def brute_removed(docs, window):
+    toks = {k: split(t) for k, t in docs.items()}
+    seen, gone = {}, defaultdict(set)
+    for k in sorted(toks):
+        for i in range(len(toks[k]) - window + 1):
+            g = tuple(toks[k][i:i + window])
+            if g in seen:
+                gone[k].update(range(i, i + window))
+            seen.setdefault(g, (k, i))
+    return {k: (len(w), len(gone[k]), " ".join(x for i, x in enumerate(w) if i not in gone[k])) for k, w in toks.items()}
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_repeats_equal_brute_force(spark, texts, parts):
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(parts, "doc_id")
+    got = {r.doc_id: r for r in rlz_dedup.without_repeats(docs).collect()}
+    for k, (n, gone, kept) in brute_removed(texts, 20).items():
+        assert (got[k].n_words, got[k].n_removed, got[k].kept_text) == (n, gone, kept)
+        for f in got[k].factors:
+            ref = split(texts[f.ref_doc])[f.ref_start:f.ref_start + f.length]
+            assert ref == split(texts[k])[f.start:f.start + f.length] and (f.ref_doc, f.ref_start) < (k, f.start) and f.length >= 20
+
+
+def test_random_repeats_equal_brute_force(spark):
+    rnd = random.Random(8)
+    pool = [words(rnd, rnd.randint(15, 40)) for _ in range(12)]
+    docs = {k: " ".join(w for _ in range(rnd.randint(1, 6)) for w in rnd.choice(pool)[rnd.randint(0, 9):]) for k in range(80)}
+    docs |= {100 + k: "a " * (18 + k) for k in range(6)}
+    frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(5, "doc_id")
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in rlz_dedup.without_repeats(frame).collect()}
+    assert got == brute_removed(docs, 20)
+
+
+def test_repeats_of_odd_and_empty_tables(odd_docs, no_docs):
+    out = rlz_dedup.without_repeats(odd_docs)
+    rows = out.collect()
+    assert len(rows) == odd_docs.count() and [c.lower() for c in out.columns].count("n_words") == 1
+    assert len({(r.n_removed, r.kept_text) for r in rows if r.doc_id == 13}) == 1
+    # no id counts as the smallest: the copy of 14 without an id is the original
+    assert [r.n_removed for r in rows if r.doc_id is None and r.text] == [0]
+    assert all(r.n_removed == r.n_words for r in rows if r.doc_id == 14)
+    assert rlz_dedup.without_repeats(no_docs).count() == 0
+
+
+# --- 4 --------------------------------------------------------------------------------------------
+
+def brute_spans(t):
+    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
+        d = re.sub("[^0-9]", "", m[0])
+        if 13 <= len(d) <= 19 and pii_anchors.luhn(d):
+            out.append(("card", *m.span()))
+    return out + [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+
+
+def base(t):
+    return [s for s in pii_anchors.find_spans(t) if s[0] in pii_anchors.KINDS[:4]]
+
+
+def test_base_spans_equal_regular_expressions():
+    rnd = random.Random(5)
+    bits = ["@", ".", "a", "b-", "1", "2", "49", "255", "300", " ", "-", "+", "(", ")", "_", "é", "\n", "4539578763621486", "x@y.z", "+1 (555) 555-1234"]
+    for _ in range(8000):
+        t = "".join(rnd.choice(bits) for _ in range(rnd.randint(1, 30)))
+        assert base(t) == brute_spans(t), t
+
+
+def test_anchors_add_spans_and_long_runs_take_linear_time():
+    t = "see https://bob:pw@host.org/x IBAN: DE89 3704 0044 0532 0130 00. Account no. 12345678 at 12 Baker Street, Hauptstraße 5"
+    assert [(k, t[a:b]) for k, a, b in pii_anchors.find_spans(t) if k not in pii_anchors.KINDS[:4]] == [
+        ("login", "bob:pw"), ("iban", "DE89 3704 0044 0532 0130 00"), ("account", "12345678"), ("address", "12 Baker Street"), ("address", "Hauptstraße 5")]
+    for run in ("1" * 200_000, "1." * 100_000, "a" * 200_000 + "@", "+1" * 50_000, "@" * 100_000, "1 -" * 60_000):
+        pii_anchors.find_spans(run)
+
+
+def test_spans_of_odd_and_empty_tables(odd_docs, no_docs, texts):
+    out = pii_anchors.personal_data(odd_docs)
+    assert [c.lower() for c in out.columns].count("spans") == 1
+    for r in out.collect():
+        assert [tuple(s) for s in r.spans] == pii_anchors.find_spans(r.text or "")
+    assert pii_anchors.personal_data(no_docs).count() == 0
+
+
+# --- 5 --------------------------------------------------------------------------------------------
+
+def brute_hits(docs, items, window=10):
+    word = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", ascii_lower(t or ""))
+    wins = defaultdict(set)
+    for i, t in items:
+        w = word(t)
+        for p in range(max(len(w) - window, 0) + 1 if w else 0):
+            wins[tuple(w[p:p + window])].add(i)
+    out = {}
+    for k, t in docs.items():
+        w, hit, ids = word(t), set(), set()
+        for n in {len(g) for g in wins}:
+            for p in range(len(w) - n + 1):
+                if tuple(w[p:p + n]) in wins:
+                    hit |= set(range(p, p + n))
+                    ids |= wins[tuple(w[p:p + n])]
+        out[k] = (len(w), len(hit), sorted(x for x in ids if x is not None), hit)
+    return out
+
+
+@pytest.fixture(scope="module")
+def item_rows(texts):
+    rnd = random.Random(2)
+    w = split(texts[20])
+    return [(1, " ".join(w[3:18])), (2, ", ".join(w[8:20]).upper()), (3, " ".join(split(texts[21])[:4])), (4, None), (5, "!!"), (6, prose(rnd, 30)), (7, "the"), (7, "word"),
+            (None, " ".join(split(texts[22])[5:15])), (9, " ".join(split(texts[23])[-10:])), (10, " ".join(["an"] * 12)), (11, " ".join(w[3:18]))]
+
+
+@pytest.mark.parametrize("block", [1 << 20, 120])
+def test_hits_equal_brute_force_in_any_number_of_blocks(spark, texts, item_rows, block):
+    docs = spark.createDataFrame(list(texts.items()) + [(50, "an " * 15), (51, "an " * 9)], "doc_id long, text string").repartition(3)
+    items = spark.createDataFrame(item_rows, "item_id long, text string")
+    got = {r.doc_id: r for r in decontamination.contaminated_words(docs, items, block_bytes=block, keep=["doc_id"]).collect()}
+    for k, (n, hit, ids, places) in brute_hits(texts | {50: "an " * 15, 51: "an " * 9}, item_rows).items():
+        assert (got[k].n_words, got[k].n_hit, got[k].item_ids) == (n, hit, ids)
+        assert {p for s in got[k].hit_spans for p in range(s.start, s.end)} == places
+
+
+def test_hits_of_odd_and_empty_tables(spark, odd_docs, no_docs, item_rows):
+    items = spark.createDataFrame(item_rows, "item_id long, text string")
+    clean = decontamination.clean_documents(odd_docs, items)
+    assert clean.columns == odd_docs.columns and 0 < clean.count() < odd_docs.count()
+    assert decontamination.clean_documents(odd_docs, items.limit(0)).count() == odd_docs.count()
+    assert decontamination.contaminated_words(no_docs, items).count() == 0
+
+
+# --- 6 --------------------------------------------------------------------------------------------
+
+def test_boilerplate_lines_go_and_copies_count_once(spark):
+    rows = [(k, f"own line {k}\n  footer of a \nshared {k % 2}\n", "a") for k in range(10)]
+    rows += [(100 + k, "copy one\ncopy two", "b") for k in range(30)] + [(200 + k, f"page {k}\n\nfooter of b", "b") for k in range(4)]
+    rows += [(300, None, "a"), (301, "", None), (302, "x\nfooter of a", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in line_frequency.without_boilerplate(docs, max_ratio=0.5).collect()}
+    assert got[3].text == "own line 3\nshared 1\n" and (got[3].n_lines, got[3].n_dropped) == (4, 1)
+    assert got[105].text == "copy one\ncopy two"
+    assert got[201].text == "page 1\n\nfooter of b"  # four pages are fewer than min_pages
+    assert got[300].text is None and got[300].n_lines == 0 and got[301].text == "" and got[302].text == "x\nfooter of a"
+
+
+def test_lines_of_odd_and_empty_tables(odd_docs, no_docs):
+    out = line_frequency.without_boilerplate(odd_docs)
+    assert out.count() == odd_docs.count() and [c.lower() for c in out.columns].count("n_lines") == 1
+    assert line_frequency.without_boilerplate(no_docs).count() == 0
+
+
+# --- 7 --------------------------------------------------------------------------------------------
+
+def brute_quality(text):
+    t = text or ""
+    w = split(t)
+    grams = Counter(tuple(w[i:i + 3]) for i in range(len(w) - 2))
+    repeat = {j for i in range(len(w) - 2) if grams[tuple(w[i:i + 3])] > 1 for j in range(i, i + 3)}
+    lines = [x for x in t.split("\n") if SPACED.search(x)]
+    return (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(repeat), len(w) < 50 or 100 * len(repeat) > 50 * len(w))
+
+
+def brute_kept(text):
+    def inside(raw):
+        low, high = compression_bands.band(len(raw), compression_bands.BANDS)
+        return low <= (len(raw) / len(zstandard.ZstdCompressor(level=3).compress(raw)) if raw else 0) <= high
+    raw = (text or "").encode()
+    cuts = [raw[p:p + 4096] for p in range(0, len(raw), 4096)] if len(raw) > 4096 else []
+    return not brute_quality(text)[5] and inside(raw) and sum(not inside(c) for c in cuts) <= compression_bands.MAX_BAD_CHUNKS * len(cuts)
+
+
+def test_quality_equals_brute_force(spark, odd_docs, no_docs):
+    rnd = random.Random(4)
+    more = [prose(rnd, 400), " ".join(prose(rnd, 30) for _ in range(3)), "\n".join(["a b c", "a b c", "x", "", "", " ", "x "] * 9), "é# ü| <日本>\n" * 30,
+            " ".join(base64.b64encode(rnd.randbytes(60)).decode() for _ in range(80)), " ".join(f"{a} same words again and again here" for a in words(rnd, 700))]
+    docs = odd_docs.unionByName(spark.createDataFrame([(900 + k, t) for k, t in enumerate(more)], "doc_id long, text string"), allowMissingColumns=True)
+    rows = compression_bands.quality(docs).collect()
+    assert len(rows) == docs.count()
+    for r in rows:
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == brute_quality(r.text)
+        assert r.kept == brute_kept(r.text)
+    by = {r.doc_id: r for r in rows}
+    assert by[900].kept and not by[904].kept and not by[904].base_failed  # prose stays, encoded noise goes
+    assert compression_bands.quality(no_docs).count() == 0
+    assert compression_bands.good_documents(odd_docs).columns == odd_docs.columns
+
+
+# --- 8 --------------------------------------------------------------------------------------------
+
+def check_places(rows, capacity):
+    seqs = defaultdict(list)
+    for r in rows:
+        seqs[r.sequence_id].append((r.offset, r.length))
+    for places in seqs.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= capacity
+    return len(seqs)
+
+
+def test_pieces_and_places(odd_docs, no_docs):
+    from tokenizers import Tokenizer
+    encoder = Tokenizer.from_file(packing.tokenizer_path())
+    docs = odd_docs.select("doc_id", "text", "source")
+    rows = packing.packed_documents(docs, keep=["doc_id", "text"], with_ids=True).collect()
+    want = Counter()
+    for r in docs.collect():
+        ids = np.array([*encoder.encode(r.text or "", add_special_tokens=False).ids, 1], "<u4")
+        for k in range(0, len(ids), 4096):
+            cut = ids[k:k + 4096]
+            want[r.doc_id, r.text, k // 4096, k, len(cut), zlib.crc32(cut.tobytes()), tuple(cut.tolist())] += 1
+    assert Counter((r.doc_id, r.text, r.piece, r.start, r.length, r.ids_crc32, tuple(r.ids)) for r in rows) == want
+    check_places(rows, 4096)
+    assert packing.packed_documents(no_docs).count() == 0
+
+
+@pytest.mark.parametrize("sizes", [lambda r: r.randint(1, 100), lambda r: r.choice([60, 70, 100]), lambda r: r.choice([1, 51]), lambda r: 100])
+def test_rounds_of_packing(spark, sizes):
+    rnd = random.Random(6)
+    lengths = [sizes(rnd) for _ in range(3000)]
+    items = spark.createDataFrame([(k // 2, n) for k, n in enumerate(lengths)], "doc_id long, length long")
+    rows = packing.pack(items, capacity=100, group_items=300, fan_in=3).collect()
+    assert Counter(r.length for r in rows) == Counter(lengths)
+    n = check_places(rows, 100)
+    assert n <= 1.04 * len(packing.best_fit(lengths, 100)) + 1
+
+
+# --- 9 --------------------------------------------------------------------------------------------
+
+def brute_print(text):
+    w = split(ascii_lower(text or ""))
+    if not w:
+        return 0
+    h = [xxhash.xxh64_intdigest(" ".join(w[i:i + 4]).encode(), 42) for i in range(max(len(w) - 3, 1))]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def brute_roots(values, radius):
+    root = list(range(len(values)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+    for i in range(len(values)):
+        for j in range(i):
+            if bin(values[i] ^ values[j]).count("1") <= radius:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(values))]
+
+
+@pytest.mark.parametrize("tile,radius", [(8192, 4), (8, 4), (8192, 3), (8192, 7)])
+def test_components_equal_brute_force(spark, tile, radius):
+    rnd = random.Random(9)
+    centres = [rnd.getrandbits(64) for _ in range(25)]
+    values = [0, 3, 1 << 63] + list(centres)
+    for _ in range(260):
+        v = rnd.choice(values[-80:] if rnd.random() < 0.5 else centres)
+        for _ in range(rnd.randint(1, 6)):
+            v ^= 1 << rnd.randint(0, 63)
+        values.append(v)
+    values = list(dict.fromkeys(values))
+    nodes = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v, k) for k, v in enumerate(values)], "fp long, node long")
+    got = {r.node: r.component for r in simhash.components(simhash.links(nodes, len(values), radius, tile)).collect()}
+    assert [got.get(k, k) for k in range(len(values))] == brute_roots(values, radius)
+
+
+def test_more_blocks_for_more_fingerprints():
+    assert [len(simhash.block_masks(n, 4)) for n in (10**5, 10**7, 10**9, 10**11)] == [5, 15, 35, 70]
+
+
+def test_near_duplicates_of_odd_and_empty_tables(odd_docs, no_docs, texts):
+    rows = simhash.near_duplicates(odd_docs, keep=["text"]).collect()
+    assert len(rows) == odd_docs.count()
+    prints = [brute_print(r.text) for r in rows]
+    assert [r.fp & ((1 << 64) - 1) for r in rows] == prints
+    root = brute_roots(prints, 4)
+    groups = defaultdict(list)
+    for r, k in zip(rows, root):
+        groups[k].append(r)
+    for group in groups.values():
+        ids = [r.doc_id for r in group if r.doc_id is not None]
+        assert {r.component_id for r in group} == {min(ids) if ids else None}
+    one = simhash.one_of_each(odd_docs)
+    assert one.columns == odd_docs.columns and one.count() == len(groups)
+    assert simhash.near_duplicates(no_docs).count() == 0 and simhash.one_of_each(no_docs).count() == 0
+
+
+# --- 10 -------------------------------------------------------------------------------------------
+
+def test_mixtures_and_unknown(spark, odd_docs, no_docs):
+    rnd = random.Random(1)
+    other = ["sch", "ung", "keit", "ver", "ß", "ä", "ch", "ge", "ie", "zu"]
+    german = lambda n: " ".join("".join(rnd.choice(other) for _ in range(rnd.randint(1, 4))) for _ in range(n))
+    rows = [(prose(rnd, 60), "en") for _ in range(40)] + [(german(60), "de") for _ in range(40)] + [(None, "fr"), ("x", None)]
+    model = language_mixture.train(spark.createDataFrame(rows, "text string, lang string"))
+    assert model[0] == ["de", "en", "fr"] or model[0] == ["de", "en"]
+    asked = [(1, prose(rnd, 30)), (2, german(30)), (3, prose(rnd, 60) + " " + german(30)), (4, None), (5, "12 ?! 😀"), (6, "")]
+    got = {r.doc_id: r for r in language_mixture.predict(spark.createDataFrame(asked, "doc_id long, text string"), model).collect()}
+    assert [got[k].lang_pred for k in range(1, 7)] == ["en", "de", "en", "und", "und", "und"]
+    assert [len(got[k].languages) for k in range(1, 7)] == [1, 1, 2, 0, 0, 0] and abs(got[3].score - 2 / 3) < 0.05
+    assert got[4].score == 0
+    out = language_mixture.predict(odd_docs, model)
+    assert out.count() == odd_docs.count() and [c.lower() for c in out.columns].count("score") == 1
+    assert language_mixture.predict(no_docs, model).count() == 0
+    untrained = language_mixture.train(no_docs)
+    assert {r.lang_pred for r in language_mixture.predict(odd_docs, untrained).collect()} == {"und"}
