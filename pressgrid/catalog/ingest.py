@@ -42,7 +42,7 @@ def raw_rows(spark, d):
 @query("ingest_clean_dedupe")
 def _(spark, d):
     stored = V.articles(spark, d).where("lang = 'fr'").select("title")
-    return G.ingest_clean_dedupe(raw_rows(spark, d).where("category is not null"), stored)
+    return G.ingest_clean_dedupe(raw_rows(spark, d), stored)
 
 
 @query("crawl_quality_filter", "SELECT article_id FROM articles WHERE length('[제목] ' || full_text) >= 100 AND CAST(article_id AS BIGINT) % 23 <> 0")

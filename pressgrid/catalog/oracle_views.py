@@ -15,7 +15,7 @@ VIEWS: dict[str, str] = {}
 
 VIEWS["articles"] = f"""
 SELECT CAST(doc_id AS VARCHAR) AS article_id,
-       substr(split_part(text, chr(10), 1), 1, 80) AS title,
+       split_part(text, chr(10), 1) AS title,
        {lst(V.OUTLETS)}[CAST(substr(source, 4) AS INTEGER) % 20 + 1] AS source,
        'https://news.example/' || doc_id AS url,
        strftime(TIMESTAMP '2024-01-01' + to_hours(doc_id % 87600), '%Y-%m-%d %H:%M') AS published_at,

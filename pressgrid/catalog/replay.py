@@ -65,8 +65,8 @@ SV["comps"] = "SELECT sample_id, cpos, article_id, trust AS trust_value, {0} AS
 
 def samples(spark, d):
     s = SM.temporal_samples(V.event_log(spark, d), V.feedback(spark, d), V.article_vectors(spark, d), negative_count=N)
-    from ..session import cut_lineage
-    return cut_lineage(R.with_ids(s))
+    from ..session import write_once
+    return write_once(R.with_ids(s))
 
 
 def meta(spark, d):

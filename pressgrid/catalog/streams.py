@@ -39,10 +39,10 @@ _SESS = {
     "sess": "SELECT session_id, context, min(t) AS t0, max(t) + INTERVAL 350 MILLISECOND AS t1, count(DISTINCT (article_id, position)) AS n FROM gaps GROUP BY session_id, context, grp"}
 
 
-@query("stream_impression_batches", """SELECT session_id, context, strftime(t0, '%Y-%m-%dT%H:%M:%S.%g') AS opened_at, n AS items FROM sess
-  WHERE t1 <= (SELECT max(ms) - INTERVAL 1 MINUTE FROM imptimes)""", _SESS)
+@query("stream_impression_batches", """SELECT session_id, context, strftime(t0, '%Y-%m-%dT%H:%M:%S.%g') AS opened_at, n AS items FROM sess""", _SESS)
 def _(spark, d):
-    out = J.run_append(J.impression_batches(J.impression_items(log(spark, d))), "batches")
+    emitted = J.run_append(J.impression_batches(J.impression_items(log(spark, d))), "batches")
+    out = J.open_batches(emitted, J.impression_items(V.event_log(spark, d)))
     return out.select("session_id", "context", F.date_format("opened_at", ISO).alias("opened_at"), F.size("articles").cast("bigint").alias("items"))
 
 
@@ -56,19 +56,24 @@ def _(spark, d):
     return J.run_append(J.positive_dedupe(log(spark, d)), "positives")
 
 
-@query("stream_recommendation_ctr", """SELECT day, CAST(items AS BIGINT) AS impression_items, CAST(clicks AS BIGINT) AS clicks, CASE WHEN items > 0 THEN round(clicks / CAST(items AS DOUBLE), 4) END AS ctr FROM (
-  SELECT substr(created_at, 1, 10) AS day, sum(CASE WHEN event_type = 'impression' THEN 5 ELSE 0 END) AS items, count(*) FILTER (event_type = 'click_article') AS clicks FROM event_log
-  WHERE event_type IN ('impression', 'click_article') AND json_extract_string(event_data, '$.source') = 'personalized_recommendation' GROUP BY 1)
-  WHERE CAST(day AS TIMESTAMP) + INTERVAL 1 DAY <= (SELECT max(CAST(created_at AS TIMESTAMP)) - INTERVAL 1 HOUR FROM event_log WHERE event_type IN ('impression', 'click_article') AND json_extract_string(event_data, '$.source') = 'personalized_recommendation')""")
+@query("stream_recommendation_ctr", """SELECT day, rec_source, CAST(items AS BIGINT) AS impression_items, CAST(clicks AS BIGINT) AS clicks, CASE WHEN items > 0 THEN round(clicks / CAST(items AS DOUBLE), 4) END AS ctr FROM (
+  SELECT day, 'all' AS rec_source, items, clicks FROM day_ctr
+  UNION ALL SELECT s.day, s.rec_source, items, s.clicks FROM (SELECT day, rec_source, count(*) AS clicks FROM rec_events WHERE event_type = 'click_article' GROUP BY ALL) s JOIN day_ctr USING (day))""", {
+    "rec_events": """SELECT substr(created_at, 1, 10) AS day, event_type, coalesce(json_extract_string(event_data, '$.rec_source'), 'unknown') AS rec_source FROM event_log
+      WHERE event_type IN ('impression', 'click_article') AND json_extract_string(event_data, '$.source') = 'personalized_recommendation'""",
+    "day_ctr": "SELECT day, sum(CASE WHEN event_type = 'impression' THEN 5 ELSE 0 END) AS items, count(*) FILTER (event_type = 'click_article') AS clicks FROM rec_events GROUP BY day"})
 def _(spark, d):
-    out = J.run_append(J.recommendation_ctr(log(spark, d)), "ctr")
-    return out.select(F.date_format("starts_at", "yyyy-MM-dd").alias("day"), "impression_items", "clicks", "ctr")
+    cells = J.latest(J.run_update(J.recommendation_ctr(log(spark, d)), "ctr"), ["starts_at", "rec_source"])
+    return J.ctr_by_source(cells).select(F.date_format("starts_at", "yyyy-MM-dd").alias("day"), "rec_source", "impression_items", "clicks", "ctr")
 
 
-@query("stream_web_vitals")
+@query("stream_web_vitals", """SELECT strftime(s, '%Y-%m-%dT%H:%M:%S.%g') AS starts_at, path, quantile_disc(lcp_ms, 0.5) AS lcp_p50, quantile_disc(lcp_ms, 0.75) AS lcp_p75, quantile_disc(lcp_ms, 0.95) AS lcp_p95,
+  quantile_disc(cls, 0.75) AS cls_p75, quantile_disc(max_event_ms, 0.75) AS inp_p75, count(*) AS sample_count FROM slides GROUP BY s, path""", {
+    "slides": """SELECT path, lcp_ms, cls, max_event_ms, time_bucket(INTERVAL 6 HOUR, t, TIMESTAMP '2000-01-01') - to_hours(6 * j) AS s
+      FROM (SELECT *, CAST(created_at AS TIMESTAMP) AS t FROM performance_log), (SELECT unnest([0, 1, 2, 3]) AS j)"""})
 def _(spark, d):
-    out = J.run_append(J.web_vitals(V.as_performance_log(J.read_events(spark, d, "events.parquet"))), "vitals")
-    return out.withColumn("starts_at", F.date_format("starts_at", ISO))
+    updates = J.run_update(J.web_vitals(V.as_performance_log(J.read_events(spark, d, "events.parquet"))), "vitals")
+    return J.latest(updates, ["starts_at", "path"]).withColumn("starts_at", F.date_format("starts_at", ISO))
 
 
 @query("stream_history_state", f"""SELECT subject, article_id, created_at, pos FROM (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY created_at DESC, article_id DESC) AS pos FROM (

@@ -1,7 +1,7 @@
 """Keyed table updates as joins: each returns the new state of the table."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import arrow, payload as P
 from ..schemas import ARTICLES, WRITE_DEFAULTS, conform
@@ -89,9 +89,10 @@ def without_keywords(articles: DataFrame) -> DataFrame:
 
 def safe_users(rows: DataFrame, users: DataFrame, column: str = "user_id") -> DataFrame:
     """Null out user ids that are not in the user table."""
-    known = users.select(F.col("user_id").alias("_known")).distinct()
-    return (rows.join(known, F.col(column) == F.col("_known"), "left")
-            .withColumn(column, F.col("_known")).drop("_known"))
+    known = users.select(F.col("user_id").alias("_known")).where("_known is not null").distinct()
+    named = rows.where(F.col(column).isNotNull()).join(known, F.col(column) == F.col("_known"), "left")
+    # guests share one null key: they never reach the join
+    return named.withColumn(column, F.col("_known")).drop("_known").unionByName(rows.where(F.col(column).isNull()))
 
 
 def replace_feedback(feedback: DataFrame, users: DataFrame) -> DataFrame:
@@ -110,6 +111,29 @@ def prepare_events(events: DataFrame, users: DataFrame) -> DataFrame:
     return safe_users(events, users).withColumn("event_data", arrow.redact_json("event_data"))
 
 
+def append_events(events: DataFrame, users: DataFrame, path: str, at: Column | None = None, id_col: str = "log_id") -> DataFrame:
+    """Append prepared events to the log table at a path and read the log back.
+
+    An event without an id gets a repeatable one from its content and its place among equal events, so a
+    repeated task writes the same row; one without a time gets ``at`` (the current time).  An id that
+    the log has already is not appended again.
+    """
+    rows = prepare_events(events, users)
+    content = F.sha2(F.to_json(F.struct(*[F.col(c) for c in rows.columns if c not in (id_col, "created_at")]), {"ignoreNullFields": "false"}), 256)
+    now = F.date_format(F.current_timestamp() if at is None else at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    rows = rows.withColumns({"_c": content, "created_at": F.coalesce("created_at", now)})
+    new = rows.where(F.col(id_col).isNull())
+    place = F.row_number().over(W.partitionBy("_c", "created_at").orderBy("_c"))
+    new = new.withColumn(id_col, F.concat_ws("-", F.lit("e"), F.substring("_c", 1, 32), F.sha2("created_at", 224).substr(1, 8), place))
+    rows = rows.where(F.col(id_col).isNotNull()).unionByName(new).drop("_c").dropDuplicates([id_col])
+    spark = events.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        rows = rows.join(spark.read.parquet(path).select(id_col), id_col, "left_anti")
+    rows.write.mode("append").parquet(path)
+    return spark.read.parquet(path)
+
+
 def normalize_impressions(events: DataFrame) -> DataFrame:
     """Impression rows with (article_id, position) items; rows without an item are dropped."""
     rows = events.withColumn("items", P.impression_items(F.col("event_data"))).where(F.size("items") > 0)

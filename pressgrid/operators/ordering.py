@@ -1,14 +1,14 @@
 """Ranks and running totals over a whole table without one sorted partition.
 
-A table-wide order is cut into ranges by splitters taken from a small sample of the
-distinct values.  Each range is sorted on its own; a range's offset is the total of the
-ranges before it.  The sample only balances the ranges, results never depend on it.
+A table-wide order is cut into ranges by ``repartitionByRange``; the ranges are written once, so that
+every later read sees the same ones.  Each range is sorted on its own; a range's offset is the total
+of the ranges before it, and there is one total for each group and range.
 """
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..session import default_parts
+from ..session import default_parts, write_once
 
 SAMPLE_PER_PART = 16
 
@@ -22,10 +22,8 @@ def splitters(df: DataFrame, key: str, parts: int | None = None) -> list:
     picked = (df.select(F.col(key).alias("v")).where("v is not null").distinct()
               .orderBy(F.xxhash64("v")).limit(want).collect())
     values = sorted(r["v"] for r in picked)
-    if len(values) < want:
-        return []  # that few distinct values fit one range
     step = len(values) / parts
-    return [values[int(i * step)] for i in range(1, parts)]
+    return sorted({values[int(i * step)] for i in range(1, parts)}) if values else []
 
 
 def range_number(value: Column, cuts: list) -> Column:
@@ -35,10 +33,16 @@ def range_number(value: Column, cuts: list) -> Column:
     return F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= value))
 
 
+def ranged(df: DataFrame, keys: list[str], parts: int | None = None) -> DataFrame:
+    """df with ``_r``, the number of the range of the keys that a row is in; equal keys share a range."""
+    parts = parts or default_parts(df.sparkSession)
+    return write_once(df.repartitionByRange(parts, *keys).withColumn("_r", F.spark_partition_id()), "ranges")
+
+
 def running_total(values: DataFrame, by: list[str], key: str, weight: str, parts: int | None = None) -> DataFrame:
     """(by, key, n, upto) for distinct (by, key): ``upto`` is the total weight up to and including the key."""
     sums = values.groupBy(*by, key).agg(F.sum(weight).alias("n"))
-    cut = sums.withColumn("_r", range_number(F.col(key), splitters(sums, key, parts)))
+    cut = ranged(sums, [*by, key], parts)
     totals = cut.groupBy(*by, "_r").agg(F.sum("n").alias("_t"))
     before = W.partitionBy(*by).orderBy("_r").rowsBetween(W.unboundedPreceding, -1)
     offsets = totals.select(*by, "_r", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_off"))
@@ -64,7 +68,7 @@ def positions(rows: DataFrame, by: list[str], key: str, name: str) -> DataFrame:
 
     The group is cut into ranges of the key, so a group that holds most rows is spread out.
     """
-    cut = rows.withColumn("_r", range_number(F.col(key), splitters(rows, key)))
+    cut = ranged(rows, [*by, key])
     totals = cut.groupBy(*by, "_r").agg(F.count("*").alias("_t"))
     before = W.partitionBy(*by).orderBy("_r").rowsBetween(W.unboundedPreceding, -1)
     offsets = totals.select(*[F.col(c).alias(f"_b{i}") for i, c in enumerate(by)], F.col("_r").alias("_r2"),

@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..functions import arrow, text as T
 from ..functions.vectors import let
 from ..operators.near_dup import greedy_dropped, similar_to_stored
-from ..session import cut_lineage, spread
+from ..session import write_once
 
 
 def clean_bodies(rows: DataFrame, column: str) -> DataFrame:
-    return spread(rows).withColumn(column, arrow.clean_news_body(column))
+    return rows.withColumn(column, arrow.clean_news_body(column))
 
 
 def blank_title_chunks(chunks: DataFrame) -> DataFrame:
@@ -55,12 +55,12 @@ def best_title_per_content(rows: DataFrame, id_col: str) -> DataFrame:
 def ingest_clean_dedupe(raw: DataFrame, stored: DataFrame, id_col: str = "article_id") -> DataFrame:
     """Curated rows: cleaned bodies, one row per body, no near-duplicate titles inside the batch
     (0.7, longest body wins) or against the stored titles (0.8), byline with its job title."""
-    clean = spread(raw).withColumn("content", arrow.clean_news_body("content")).where(F.char_length("content") >= 100)
+    clean = raw.withColumn("content", arrow.clean_news_body("content")).where(F.char_length("content") >= 100)
     clean = clean.withColumn("title", T.clean_title(F.col("title")))
-    rows = cut_lineage(quality_filter(best_title_per_content(cut_lineage(clean), id_col)))
+    rows = write_once(quality_filter(best_title_per_content(write_once(clean), id_col)))
     order, title = [-F.char_length("content")], F.coalesce("title", F.lit(""))
     batch = greedy_dropped(rows, id_col, title, order, 0.7).withColumnRenamed("id", id_col)
-    kept = cut_lineage(rows.join(batch, id_col, "left_anti"))
+    kept = write_once(rows.join(batch, id_col, "left_anti"))
     known = similar_to_stored(kept, id_col, title, stored, F.coalesce("title", F.lit("")), 0.8).withColumnRenamed("id", id_col)
     return kept.join(known, id_col, "left_anti").withColumn("reporter", T.reporter_suffix(F.col("reporter")))
 
@@ -70,7 +70,7 @@ def chunk_documents(articles: DataFrame, text: str = "full_text") -> DataFrame:
 
     Bodies under ten characters are skipped.
     """
-    rows = spread(articles.where(F.char_length(F.trim(F.col(text))) >= 10))
+    rows = articles.where(F.char_length(F.trim(F.col(text))) >= 10)
     prefix = lambda c: T.contextual_prefix(F.coalesce("title", F.lit("")), F.coalesce("source", F.lit("미상")), F.coalesce("category", F.lit("일반")), c)
     body = rows.select("article_id", "title", "source", "category", F.posexplode(arrow.chunk_array(text)).alias("n", "chunk_text"))
     body = body.select(F.concat_ws("_", "article_id", "n").alias("chunk_id"), "article_id", "chunk_text", prefix(F.col("chunk_text")).alias("context_text"))
@@ -87,7 +87,7 @@ def extractive_highlights(articles: DataFrame, min_chars: int = 300) -> DataFram
 
     Everything happens inside the row, so nothing is exploded or shuffled until the result.
     """
-    rows = spread(articles).where((F.char_length("full_text") >= min_chars) & (F.coalesce("summary_text", F.lit("")) != ""))
+    rows = articles.where((F.char_length("full_text") >= min_chars) & (F.coalesce("summary_text", F.lit("")) != ""))
     rows = rows.select("article_id", F.char_length("full_text").alias("len"), T.split_sentences(F.col("full_text")).alias("s"),
                        T.summary_words(F.col("summary_text")).alias("kw")).where(F.size("kw") > 0)
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from .. import constants as K
 from ..functions import vectors as X
 from ..operators.vector_topk import cosine_topk
-from ..session import cut_lineage
+from ..session import write_once
 from . import encoders as E, search as S
 from .history import recent_history
 
@@ -204,7 +204,7 @@ def _with_articles(rows: DataFrame, articles: DataFrame) -> DataFrame:
 def ranked_profile(requests, events, feedback, articles, vectors, chunks, limit: int, dim: int = 64, strict: bool = True):
     """(history, reranked profile candidates) of all requests."""
     # at most 40 rows per request; read by several stages, so written once
-    raw = cut_lineage(both_histories(requests, events, feedback, articles, strict))
+    raw = write_once(both_histories(requests, events, feedback, articles, strict))
     history = merge_histories(raw)
     cand = profile_candidates(profile_vectors(raw, vectors, dim), chunks, articles, history, limit)
     weights = category_recency_weights(history, ["request_id"], F.col("hpos") - 1)
@@ -227,7 +227,7 @@ def recommend(requests: DataFrame, events: DataFrame, feedback: DataFrame, artic
         enc = enc.select(*cols, F.lit("encoder").alias("_src"))
         rows = enc.unionByName(rows.join(enc.select("request_id").distinct(), "request_id", "left_anti").select(*cols, "_src"))
     by = ["request_id"]
-    ordered = cut_lineage(trust_guardrail(diversify(rows, by, limit), by).where(F.col("pos") <= limit)
+    ordered = write_once(trust_guardrail(diversify(rows, by, limit), by).where(F.col("pos") <= limit)
                           .select("request_id", "pos", "article_id", "category", "score", "_src"))
     source = ordered.groupBy("request_id").agg(F.first("_src").alias("src"))
     main = _as_list(ordered, "", limit, F.round("score", 4)).join(source, "request_id")

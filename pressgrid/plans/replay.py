@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from .. import constants as K
 from ..functions import vectors as X
 from ..operators.ordering import dense_order, positions
-from ..session import cut_lineage
+from ..session import write_once
 from .encoders import recency_weighted_vector
 from .recommend import category_recency_weights, minmax, rerank_components, rerank_hybrid
 
@@ -99,7 +99,7 @@ def ranking_metrics(ranked: DataFrame, k: int = 3, by: str = "strategy") -> Data
 
 def offline_replay(samples: DataFrame, meta: DataFrame, k: int = 3, dim: int = 64) -> DataFrame:
     """All strategies on all samples, best MRR first."""
-    rows = cut_lineage(candidate_rows(samples, meta, dim))
+    rows = write_once(candidate_rows(samples, meta, dim))
     weights = sample_category_weights(samples, meta)
     parts = [rank_profile(rows), rank_hybrid(rows, weights), rank_category(rows, weights), rank_latest(rows), rank_random(rows, samples)]
     union = parts[0]

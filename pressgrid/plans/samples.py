@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from .. import constants as K
 from ..functions import payload as P, text as T
 from ..operators.ordering import positions, range_number, splitters
-from ..session import cut_lineage
+from ..session import write_once
 
 DEDUPE_SECONDS = 30
 _NO_IDS = "cast(array() as array<string>)"
@@ -75,7 +75,7 @@ def kept_positives(positives: DataFrame, seconds: int = DEDUPE_SECONDS) -> DataF
     no longer than ``seconds`` keeps its first row (an aggregate).  Only longer bursts need the
     sequential scan, which holds one row of state.
     """
-    rows = cut_lineage(positives.withColumn("t", (F.unix_micros(T.parse_iso(F.col("created_at"))) / 1e6)))
+    rows = write_once(positives.withColumn("t", (F.unix_micros(T.parse_iso(F.col("created_at"))) / 1e6)))
     bad = rows.where("t is null").select("subject", "article_id", "created_at")
     rows = rows.withColumn("_b", range_number(F.col("created_at"), splitters(rows, "created_at")))
     keys = ["subject", "article_id"]
@@ -87,7 +87,7 @@ def kept_positives(positives: DataFrame, seconds: int = DEDUPE_SECONDS) -> DataF
     before = F.max("_tail").over(W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1))
     carried = tails.select(*keys, "_b", before.alias("_carry"))
     r = r.withColumn("_run", running).join(carried, [*keys, "_b"]).withColumn("burst", F.coalesce("_run", "_carry"))
-    r = cut_lineage(r.select("subject", "article_id", "created_at", "t", "burst"))
+    r = write_once(r.select("subject", "article_id", "created_at", "t", "burst"))
     bursts = r.groupBy(*keys, "burst").agg((F.max("t") - F.min("t")).alias("span"))
     short = bursts.where(F.col("span") <= seconds).select("subject", "article_id", F.col("burst").alias("created_at"))
     long = (r.join(bursts.where(F.col("span") > seconds).drop("span"), [*keys, "burst"], "left_semi")
@@ -145,7 +145,7 @@ def temporal_samples(events: DataFrame, feedback: DataFrame, allowed: DataFrame
     null = F.lit(None).cast("string")
     rows = seen.select("subject", "created_at", F.lit(0).alias("kind"), "ids", null.alias("article_id")).unionByName(
         kept.select("subject", "created_at", F.lit(1).alias("kind"), empty.alias("ids"), "article_id"))
-    keyed = cut_lineage(rows.withColumn("key", F.concat("subject", F.lit("\u0001"), "created_at")))
+    keyed = write_once(rows.withColumn("key", F.concat("subject", F.lit("\u0001"), "created_at")))
     keyed = keyed.withColumn("blk", range_number(F.col("key"), splitters(keyed, "key"))).drop("key")
     base = keyed.select("subject", "blk", F.lit(3).alias("phase"), "created_at", "kind", "ids", F.lit(0).alias("pos"), "article_id")
     state = _entry_state(keyed, history_size, negative_count)
@@ -205,7 +205,7 @@ def legacy_samples(events: DataFrame, feedback: DataFrame, catalog: DataFrame, h
     clicked = events.where(F.col("event_type").isin(K.POSITIVE_EVENTS) & (F.col("article_id") != "")).select(subject, at, "article_id", F.concat(F.lit("e"), "log_id").alias("key"))
     liked = feedback.where((F.col("feedback_type") == "like") & (F.col("article_id") != "")).select(
         F.coalesce("user_id", F.lit("guest")).alias("subject"), at, "article_id", F.concat(F.lit("f"), "feedback_id").alias("key"))
-    positives = cut_lineage(clicked.unionByName(liked))
+    positives = write_once(clicked.unionByName(liked))
     items = events.where("event_type = 'impression'").select(subject, at, "log_id", F.posexplode(P.impression_ids(F.col("event_data"))).alias("p", "article_id"))
     first_seen = items.groupBy("subject", "article_id").agg(F.min(F.struct("created_at", "log_id", "p")).alias("o"))
     unread = first_seen.join(positives.select("subject", "article_id").distinct(), ["subject", "article_id"], "left_anti")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from .. import constants as K
 from ..functions import text as T
 from ..operators.vector_topk import cosine_topk
-from ..session import spread, write_once
+from ..session import write_once
 
 
 def _best_chunks(hits: DataFrame, chunks: DataFrame, limit: int) -> DataFrame:
@@ -35,7 +35,8 @@ def semantic_search(queries: DataFrame, chunks: DataFrame, articles: DataFrame,
 def related_articles(vectors: DataFrame, chunks: DataFrame, articles: DataFrame, limit: int = 5,
                      min_score: float = K.RELATED_MIN_SCORE) -> DataFrame:
     """Related articles of every article that has a vector; its own chunks never count."""
-    limit = max(1, min(20, limit))
+    if not 1 <= limit <= 20:
+        raise ValueError("limit must be between 1 and 20")
     known = chunks.join(articles.select("article_id"), "article_id", "left_semi")
     hits = cosine_topk(
         vectors.select(F.col("article_id").alias("qid"), F.col("embedding").alias("qvec"), F.col("article_id").alias("qkey")),
@@ -55,7 +56,7 @@ def learned_topk(queries: DataFrame, learned: DataFrame, limit: int) -> DataFram
 
 def bm25_postings(articles: DataFrame) -> DataFrame:
     """(term, article_id, tf, dl) of title and body, written once."""
-    toks = spread(articles.select("article_id", "title", "full_text")).select("article_id", T.tokenize_ko(F.concat(F.coalesce("title", F.lit("")), F.lit(" "),
+    toks = articles.select("article_id", T.tokenize_ko(F.concat(F.coalesce("title", F.lit("")), F.lit(" "),
                                                                 F.coalesce("full_text", F.lit("")))).alias("toks"))
     words = toks.select("article_id", F.size("toks").alias("dl"), F.explode("toks").alias("term"))
     return write_once(words.groupBy("article_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl")))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .. import constants as K
 from ..functions import trust_expr as X
 from ..operators import ordering as O
-from ..session import cut_lineage, spread
+from ..session import write_once
 
 ANSWERED = K.CRITERIA[1:]
 
@@ -22,7 +22,7 @@ def score_trust_table(answers: DataFrame) -> DataFrame:
     failed = F.greatest(*[F.col(c).isNull() for c in ANSWERED])
     parts = {"source_credibility": X.source_score(F.col("source"))}
     parts.update({c: X.predicate_score(F.col(c)) for c in ANSWERED})
-    rows = spread(answers).withColumns({f"_{c}": v for c, v in parts.items()}).withColumn("_failed", failed)
+    rows = answers.withColumns({f"_{c}": v for c, v in parts.items()}).withColumn("_failed", failed)
     empty = F.struct(F.lit(None).cast("int").alias("score"), F.lit(K.FAILED_REASON).alias("reason"))
     cell = lambda c: F.when(F.col("_failed"), empty).otherwise(F.col(f"_{c}"))
     score = F.when(~F.col("_failed"), X.trust_score([F.col(f"_{c}.score") for c in K.CRITERIA]))
@@ -108,7 +108,7 @@ def _cells(rows: DataFrame, score: str, label: str, by: list[str]) -> DataFrame:
 
     Everything after this works on the distinct values only.
     """
-    return cut_lineage(rows.where(F.col(score).isNotNull() & F.col(label).isNotNull())
+    return write_once(rows.where(F.col(score).isNotNull() & F.col(label).isNotNull())
                        .groupBy(*by, F.col(score).cast("double").alias("s"), F.col(label).cast("double").alias("l"))
                        .agg(F.count("*").alias("n")))
 
@@ -225,7 +225,7 @@ def failure_rate(rows: DataFrame) -> DataFrame:
 def latency_percentile(rows: DataFrame, column: str, q: float) -> DataFrame:
     """Nearest-rank percentile: the ceil(q * n)-th value."""
     counts = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count("*").alias("n"))
-    run = O.running_total(cut_lineage(counts), [], "v", "n")
+    run = O.running_total(write_once(counts), [], "v", "n")
     total = run.agg(F.max("upto").alias("all")).withColumn("_o", F.lit(1))
     reached = run.withColumn("_o", F.lit(1)).join(F.broadcast(total), "_o").where(F.col("upto") >= F.greatest(F.ceil(F.col("all") * q), F.lit(1)))
     return reached.agg(F.min("v").alias("value"))
@@ -250,7 +250,7 @@ def blend_sweep(rows: DataFrame) -> DataFrame:
 
 def stratified_folds(rows: DataFrame, folds: int = 5) -> DataFrame:
     """Position inside the label, in row order, modulo the fold count."""
-    return O.positions(cut_lineage(rows), ["label"], "row_idx", "_pos").withColumn("fold", (F.col("_pos") % folds).cast("int")).drop("_pos")
+    return O.positions(write_once(rows), ["label"], "row_idx", "_pos").withColumn("fold", (F.col("_pos") % folds).cast("int")).drop("_pos")
 
 
 def blend_cross_validation(folded: DataFrame, folds: int = 5) -> tuple[DataFrame, DataFrame]:

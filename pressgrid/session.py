@@ -1,60 +1,63 @@
 """Session and shared-folder helpers."""
 from __future__ import annotations
 
-import os
-import tempfile
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_written: dict[str, SparkSession] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder for checkpoints and written intermediates.
+    """Folder for streaming checkpoints and written intermediates.
 
-    The cluster names it in ``spark.checkpoint.dir``.  Only a local session that names
-    none gets a folder of its own.
+    The cluster names it in ``spark.checkpoint.dir``; where that is unset, a folder in the session's
+    warehouse serves, which executors share as well.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    folder = os.environ.get("PRESSGRID_LOCAL_SCRATCH")
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="pressgrid-")
-        os.environ["PRESSGRID_LOCAL_SCRATCH"] = folder
-    return folder
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    return (configured or spark.conf.get("spark.sql.warehouse.dir") + "/_work").rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder; what is there when the process ends is deleted."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(_delete_all)
+    _written[path] = spark
+    return path
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives lost executors and keeps the partitioning."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder that new_path() named and nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _written.pop(path, None)
 
 
-def write_once(df: DataFrame) -> DataFrame:
-    """Write an intermediate as a columnar table and read it back: later reads prune columns."""
-    path = new_path(df.sparkSession, "table")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def _delete_all() -> None:
+    for path, spark in list(_written.items()):
+        try:
+            delete(spark, path)
+            delete(spark, path + "-cp")
+        except Exception:  # the driver's virtual machine may be gone already
+            return
 
 
-def default_parts(spark: SparkSession) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+def write_once(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write an intermediate that is read several times and read it back: columnar, pruned, without lineage."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """More partitions in front of heavy per-row work when the input has fewer than there are cores.
+def drop_written(*frames: DataFrame) -> None:
+    """Delete the files of write_once() frames."""
+    for df in frames:
+        delete(df.sparkSession, df.written_at)
 
-    A large table already has enough splits and is left alone, so nothing is shuffled at scale.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+def default_parts(spark: SparkSession) -> int:
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))

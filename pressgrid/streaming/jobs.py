@@ -4,6 +4,8 @@ All inputs carry ``event_time``.  Sinks and checkpoints live in the shared folde
 """
 from __future__ import annotations
 
+from bisect import bisect_right
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -25,7 +27,10 @@ def run_append(stream: DataFrame, name: str, partition_by: list[str] = ()) -> Da
 
 
 def run_update(stream: DataFrame, name: str) -> DataFrame:
-    """Drain an update-mode query; every batch is one folder, so a repeated batch overwrites itself."""
+    """Drain an update-mode query; every batch is one folder, so a repeated batch overwrites itself.
+
+    The result holds every update with its batch_id; latest() keeps the last of each key.
+    """
     spark = stream.sparkSession
     path = new_path(spark, name)
 
@@ -37,6 +42,13 @@ def run_update(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.option("basePath", path).parquet(path)
 
 
+def latest(updates: DataFrame, keys: list[str]) -> DataFrame:
+    """The last update of each key: windows that are still open included."""
+    rest = [c for c in updates.columns if c not in keys and c != "batch_id"]
+    last = F.max_by(F.struct(*rest), F.col("batch_id")).alias("_l")
+    return updates.groupBy(*keys).agg(last).select(*keys, "_l.*")
+
+
 def event_log_sink(events: DataFrame) -> DataFrame:
     """Redacted events, ready to append."""
     return events.withColumn("event_data", arrow.redact_json("event_data"))
@@ -62,17 +74,37 @@ def impression_batches(items: DataFrame, quiet: str = "350 milliseconds", delay:
             .select("session_id", "context", F.col("session_window.start").alias("opened_at"), F.col("session_window.end").alias("closed_at"), "articles"))
 
 
-def _keep_spaced(seconds: float):
+def open_batches(emitted: DataFrame, items: DataFrame, quiet: str = "350 milliseconds", delay: str = "1 minute") -> DataFrame:
+    """Emitted batches and those that the watermark has not closed yet, read back from the static log.
+
+    Session windows only know append mode, so after a drain the open tail has to come from the log.
+    """
+    closed = items.agg((F.date_trunc("millisecond", F.max("event_time")) - F.expr(f"interval {delay}")).alias("_mark"))
+    tail = impression_batches(items, quiet, delay).join(F.broadcast(closed), F.col("closed_at") > F.col("_mark")).drop("_mark")
+    return emitted.unionByName(tail)
+
+
+def _keep_spaced(seconds: float, memory: float):
     def keep(key, frames, state: GroupState):
-        rows = pd.concat(list(frames)).sort_values("event_time", kind="stable")
-        last = state.get[0] if state.exists else None
-        out = []
-        for t, when in zip(rows["event_time"].astype("int64") / _units(rows["event_time"]), rows["created_at"]):
-            if last is None or t - last > seconds:
-                last = t
-                out.append((key[0], key[1], when))
-        state.update((last,))
-        yield pd.DataFrame(out, columns=["subject", "article_id", "created_at"])
+        if state.hasTimedOut:
+            state.remove()
+            return
+        kept = list(state.get[0]) if state.exists else []
+        for rows in frames:  # a hot key is worked off frame by frame, each in time order
+            rows = rows.sort_values(["event_time", "created_at"], kind="stable")
+            out = []
+            for t, when in zip(rows["event_time"].astype("int64") / _units(rows["event_time"]), rows["created_at"]):
+                at = bisect_right(kept, t)
+                # the kept row before decides, so a late row is not taken for a repeat of a later one
+                if not at or t - kept[at - 1] > seconds:
+                    kept.insert(at, t)
+                    out.append((key[0], key[1], when))
+            if kept and kept[0] < kept[-1] - memory:
+                kept = kept[bisect_right(kept, kept[-1] - memory) - 1:]
+            if out:
+                yield pd.DataFrame(out, columns=["subject", "article_id", "created_at"])
+        state.update((kept,))
+        state.setTimeoutTimestamp(max(int((kept[-1] + memory) * 1000), state.getCurrentWatermarkMs() + 1))
     return keep
 
 
@@ -80,25 +112,43 @@ def _units(times: pd.Series) -> float:
     return {"ns": 1e9, "us": 1e6, "ms": 1e3, "s": 1.0}[getattr(times.dtype, "unit", "ns")]
 
 
-def positive_dedupe(events: DataFrame, seconds: float = 30.0) -> DataFrame:
-    """Repeats of an article within ``seconds`` of the last kept one are dropped; one number of state per
-    (subject, article).  Rows are put in time order inside a micro-batch, so order across batches is arrival."""
-    rows = events.where(F.col("event_type").isin(K.POSITIVE_EVENTS) & (F.col("article_id") != "")).select(
+def positive_dedupe(events: DataFrame, seconds: float = 30.0, delay: str = "1 hour", memory: float = 3600.0) -> DataFrame:
+    """Repeats of an article within ``seconds`` of the kept one before it are dropped.
+
+    Late rows up to ``delay`` behind the newest are decided at their own time: the state of a (subject,
+    article) is the kept times of the last ``memory`` seconds and expires with the watermark.
+    """
+    rows = events.withWatermark("event_time", delay).where(F.col("event_type").isin(K.POSITIVE_EVENTS) & (F.col("article_id") != "")).select(
         P.subject_key(F.col("user_id"), F.col("session_id")).alias("subject"), "article_id", "created_at", "event_time")
     return rows.groupBy("subject", "article_id").applyInPandasWithState(
-        _keep_spaced(seconds), "subject string, article_id string, created_at string", "last double", "append", GroupStateTimeout.NoTimeout)
+        _keep_spaced(seconds, memory), "subject string, article_id string, created_at string", "kept array<double>", "append",
+        GroupStateTimeout.EventTimeTimeout)
 
 
 def recommendation_ctr(events: DataFrame, delay: str = "1 hour", span: str = "1 day") -> DataFrame:
-    """Shown items and clicks of the recommendation surface per day."""
+    """Shown items and clicks of the recommendation surface per day, the clicks also by recommendation source.
+
+    Clicks without a source count as 'unknown', impressions have none; ctr_by_source() forms the rates.
+    """
     on_surface = F.get_json_object("event_data", "$.source") == K.RECOMMENDATION_SURFACE
     rows = events.where(F.col("event_type").isin("impression", "click_article") & on_surface)
     shown = F.when(F.col("event_type") == "impression", F.size(P.impression_ids(F.col("event_data")))).otherwise(0)
     clicks = (F.col("event_type") == "click_article").cast("int")
-    out = rows.withWatermark("event_time", delay).groupBy(F.window("event_time", span).alias("w")).agg(
+    source = F.when(F.col("event_type") == "click_article", F.coalesce(F.get_json_object("event_data", "$.rec_source"), F.lit("unknown")))
+    out = rows.withColumn("rec_source", source).withWatermark("event_time", delay).groupBy(F.window("event_time", span).alias("w"), "rec_source").agg(
         F.sum(shown).alias("impression_items"), F.sum(clicks).alias("clicks"))
-    ctr = F.when(F.col("impression_items") > 0, F.round(F.col("clicks") / F.col("impression_items"), 4))
-    return out.select(F.col("w.start").alias("starts_at"), "impression_items", "clicks", ctr.alias("ctr"))
+    return out.select(F.col("w.start").alias("starts_at"), "rec_source", "impression_items", "clicks")
+
+
+def ctr_by_source(cells: DataFrame) -> DataFrame:
+    """Cells of recommendation_ctr to (starts_at, rec_source, impression_items, clicks, ctr).
+
+    A day's shown items belong to the surface: they are the base of every source, and of the row 'all'.
+    """
+    day = cells.groupBy("starts_at").agg(F.sum("impression_items").alias("impression_items"), F.sum("clicks").alias("clicks"))
+    rows = day.withColumn("rec_source", F.lit("all")).unionByName(
+        cells.where("rec_source is not null").select("starts_at", "rec_source", "clicks").join(day.drop("clicks"), "starts_at"))
+    return rows.withColumn("ctr", F.when(F.col("impression_items") > 0, F.round(F.col("clicks") / F.col("impression_items"), 4)))
 
 
 def web_vitals(events: DataFrame, delay: str = "1 hour", span: str = "24 hours", slide: str = "6 hours", accuracy: int = 10000) -> DataFrame:
@@ -135,7 +185,7 @@ def history_state(events: DataFrame, size: int = K.HISTORY_SIZE) -> DataFrame:
 
 
 def latest_state(updates: DataFrame) -> DataFrame:
-    """The rows of each subject's last update."""
+    """The rows of each subject's last update; updates write a subject's list in full."""
     last = updates.groupBy("subject").agg(F.max("batch_id").alias("batch_id"))
     return updates.join(last, ["subject", "batch_id"], "left_semi").drop("batch_id")
 
