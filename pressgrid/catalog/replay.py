@@ -287,12 +287,23 @@ def _(spark, d):
     return R.best_weights(_weights(spark, d)).select("w.*", "n")
 
 
-@query("weight_grid_search")
+def _side(part):
+    return f"""SELECT w0, w1, w2, w3, CAST(sum(n) AS BIGINT) AS n, sum(hits) / sum(n) AS hit_rate, sum(rr) / sum(n) AS mrr, sum(gain) / sum(n) AS ndcg, avg(gain / n) AS macro_persona_ndcg, min(gain / n) AS worst_persona_ndcg, sum(low) / CAST(sum(shown) AS DOUBLE) AS low_trust_topk_rate
+      FROM (SELECT w0, w1, w2, w3, persona, count(*) AS n, sum(CASE WHEN rank <= 3 THEN 1.0 ELSE 0.0 END) AS hits, sum(1 / CAST(rank AS DOUBLE)) AS rr, sum(CASE WHEN rank <= 3 THEN 1 / log2(rank + 1) ELSE 0 END) AS gain, sum(low) AS low, sum(shown) AS shown
+      FROM wrank JOIN wparts USING (sample_id) WHERE part = '{part}' GROUP BY ALL) GROUP BY ALL"""
+
+
+@query("weight_grid_search", f"SELECT variant, n, {_M6} FROM wvalid JOIN wnamed ON w0 = a AND w1 = b AND w2 = c AND w3 = d", {**WV,
+    "wparts": "SELECT sample_id, CASE WHEN try_cast(split_part(subject, ':', -1) AS INTEGER) < 14 THEN 'train' ELSE 'validation' END AS part FROM samples",
+    "wtrain": _side("train"), "wvalid": _side("validation"),
+    "wbest": "SELECT w0, w1, w2, w3 FROM wtrain ORDER BY round(macro_persona_ndcg, 9) DESC, round(mrr, 9) DESC, w0 DESC, w1 DESC, w2 DESC, w3 DESC LIMIT 1",
+    "wnamed": " UNION ALL ".join(f"SELECT '{n}' AS variant, " + ", ".join(f"CAST({x} AS DOUBLE) AS {c}" for x, c in zip(w, "abcd")) for n, w in (
+        ("semantic_only", (1, 0, 0, 0)), ("category_only", (0, 1, 0, 0)), ("deployment_candidate", K.RERANK_WEIGHTS))) + " UNION ALL SELECT 'selected_hybrid', w0, w1, w2, w3 FROM wbest"})
 def _(spark, d):
     s = R.user_split(samples(spark, d))
     comp, groups = R.candidate_components(s, catalog(spark, d)), _groups(s, spark, d)
     side = lambda p: comp.join(s.where(F.col("part") == p).select("sample_id"), "sample_id", "left_semi")
-    return r6(R.weight_grid_search(side("train"), side("validation"), groups), *M6)
+    return r6(R.weight_grid_search(side("train"), side("validation"), groups), *M6).select("variant", "n", *M6)
 
 
 @query("seed_summary", """SELECT count(*) AS seeds, round(avg(latest), 6) AS latest, round(avg(hybrid), 6) AS hybrid, round(avg(hybrid) / avg(latest) - 1, 6) AS relative_gain FROM (

@@ -91,13 +91,16 @@ def freshness_rank(by: list[str]) -> Column:
     return F.dense_rank().over(W.partitionBy(*by).orderBy("published_at")) - 1
 
 
-def rerank_components(rows: DataFrame, weights: DataFrame, by: list[str]) -> DataFrame:
+def rerank_components(rows: DataFrame, weights: DataFrame | None, by: list[str]) -> DataFrame:
     """Adds min-maxed semantic, category, trust and freshness components per set.
 
     ``rows``: by, article_id, score, category, trust_score, published_at.
     """
     cat = F.coalesce("category", F.lit("unknown"))
-    r = rows.withColumn("category", cat).join(weights, [*by, "category"], "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
+    r = rows.withColumn("category", cat)
+    if weights is not None:  # else the rows carry their category's weight
+        r = r.join(weights, [*by, "category"], "left")
+    r = r.withColumn("weight", F.coalesce("weight", F.lit(0.0)))
     r = r.withColumns({"published_at": F.coalesce("published_at", F.lit("")),
                        "_sem": F.coalesce(F.col("score").cast("double"), F.lit(0.0)),
                        "_tru": F.coalesce(F.col("trust_score").cast("double"), F.lit(0.0)) / 100.0})
@@ -108,7 +111,7 @@ def rerank_components(rows: DataFrame, weights: DataFrame, by: list[str]) -> Dat
                           "set_size": F.count("*").over(w)}).drop("_sem", "_tru", "_fr", "weight")
 
 
-def rerank_hybrid(rows: DataFrame, weights: DataFrame, by: list[str]) -> DataFrame:
+def rerank_hybrid(rows: DataFrame, weights: DataFrame | None, by: list[str]) -> DataFrame:
     """Adds ``rank_score`` and the position ``pos`` (score desc, article id desc)."""
     a, b, c, d = K.RERANK_WEIGHTS
     score = F.round(F.col("semantic") * a + F.col("interest") * b + F.col("trust") * c + F.col("freshness") * d, 9)
@@ -173,6 +176,10 @@ def _ids(items: Column) -> Column:
     return F.transform(items, lambda a: a["article_id"])
 
 
+#: Rows up to which the newest articles of all categories are broadcast.
+BROADCAST_ROWS = 100_000
+
+
 def category_fallback(histories: DataFrame, articles: DataFrame, limit: int) -> DataFrame:
     """(request_id, article_id, category, trust_score, pos): newest unread articles of the read categories.
 
@@ -182,6 +189,10 @@ def category_fallback(histories: DataFrame, articles: DataFrame, limit: int) ->
     newest = W.partitionBy("category").orderBy(F.col("published_at").desc(), "article_id")
     top = (articles.where("category is not null").select("article_id", "category", "published_at", "trust_score")
            .withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= limit + MAX_HISTORY).drop("_n"))
+    top = write_once(top, "newest")
+    if top.count() <= BROADCAST_ROWS:
+        # a handful of categories are hot keys: requests stay where they are
+        top = F.broadcast(top)
     wanted = histories.where("category is not null").select("request_id", "category").distinct()
     rows = wanted.join(top, "category").join(histories.select("request_id", "article_id").distinct(), ["request_id", "article_id"], "left_anti")
     order = W.partitionBy("request_id").orderBy(F.col("published_at").desc(), "article_id")

@@ -1,12 +1,13 @@
 """Offline replay: rank the candidates of every sample and measure where the positive lands."""
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .. import constants as K
 from ..functions import vectors as X
 from ..operators.ordering import dense_order, positions
-from ..session import write_once
 from .encoders import recency_weighted_vector
 from .recommend import category_recency_weights, minmax, rerank_components, rerank_hybrid
 
@@ -97,15 +98,28 @@ def ranking_metrics(ranked: DataFrame, k: int = 3, by: str = "strategy") -> Data
         F.avg(F.when(r <= k, 1.0 / F.log2(r + 1.0)).otherwise(0.0)).alias("ndcg"))
 
 
+STRATEGIES = ("profile", "hybrid", "category", "latest", "random")
+
+
+def strategy_ranks(rows: DataFrame, weights: DataFrame, samples: DataFrame, seed: str = "42") -> DataFrame:
+    """Candidates with one rank column for each strategy, over a single partitioning by sample."""
+    r = rows.join(weights, ["sample_id", "category"], "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
+    r = r.join(samples.select("sample_id", "subject", "positive"), "sample_id")
+    r = r.withColumns({"score": F.coalesce("cosine", F.lit(0.0)), "_weight": F.round("weight", 9),
+                       "_cosine": F.when(F.col("has_profile"), F.when(F.col("has_vector"), F.col("cosine")).otherwise(-1.0)).otherwise(0.0),
+                       "_hash": F.sha2(F.concat_ws("|", F.lit(seed), "subject", "positive", "article_id"), 256)})
+    newest = [F.col("published_at").desc(), F.col("article_id").desc()]
+    orders = {"profile": [F.col("_cosine").desc(), F.col("cpos")], "category": [F.col("_weight").desc(), *newest], "latest": newest,
+              "random": [F.col("_hash"), F.col("article_id")]}
+    ranks = {n: F.row_number().over(W.partitionBy("sample_id").orderBy(*o)) for n, o in orders.items()}
+    return rerank_hybrid(r.withColumns(ranks), None, S).withColumnRenamed("pos", "hybrid")
+
+
 def offline_replay(samples: DataFrame, meta: DataFrame, k: int = 3, dim: int = 64) -> DataFrame:
-    """All strategies on all samples, best MRR first."""
-    rows = write_once(candidate_rows(samples, meta, dim))
-    weights = sample_category_weights(samples, meta)
-    parts = [rank_profile(rows), rank_hybrid(rows, weights), rank_category(rows, weights), rank_latest(rows), rank_random(rows, samples)]
-    union = parts[0]
-    for p in parts[1:]:
-        union = union.unionByName(p)
-    return ranking_metrics(union, k).orderBy(F.col("mrr").desc(), "strategy")
+    """All strategies on all samples, best MRR first; only the positive's five ranks leave the one pass."""
+    ranked = strategy_ranks(candidate_rows(samples, meta, dim), sample_category_weights(samples, meta), samples).where("cpos = 0")
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("strategy"), F.col(n).alias("rank")) for n in STRATEGIES]))
+    return ranking_metrics(ranked.select("cpos", each.alias("x")).select("cpos", "x.*"), k).orderBy(F.col("mrr").desc(), "strategy")
 
 
 def closed_samples(samples: DataFrame, features: DataFrame) -> DataFrame:
@@ -166,29 +180,65 @@ def candidate_components(samples: DataFrame, catalog: DataFrame, dim: int = 64)
 WEIGHT_GRID = [(a / 10, b / 10, c / 10, (10 - a - b - c) / 10) for a in range(11) for b in range(11 - a) for c in range(11 - a - b)]
 
 
+_CELLS = "w int, persona string, n bigint, hits double, rr double, gain double, low bigint, shown bigint"
+
+
+def _weigh(weights: list[tuple], k: int, low_trust: float, step: int = 2048):
+    """Per persona and weight tuple: sums over the samples of a batch, all candidates times all weights at once."""
+    table = np.array(weights, dtype=np.float64)
+
+    def ranks(rows: pd.DataFrame):
+        size = rows["c"].map(len).to_numpy()
+        wide = size.max()
+        part = np.full((4, len(rows), wide), -np.inf)
+        trust = np.full((len(rows), wide), np.inf)
+        own = np.zeros(len(rows), dtype=np.int64)
+        for i, cells in enumerate(rows["c"]):
+            # ties go to the larger (article, place): a stable sort keeps this order
+            cells = sorted(cells, key=lambda x: (x["article_id"], x["cpos"]), reverse=True)
+            own[i] = next(j for j, x in enumerate(cells) if x["cpos"] == 0)
+            part[:, i, :len(cells)] = [[x[c] for x in cells] for c in ("semantic", "interest", "trust", "freshness")]
+            trust[i, :len(cells)] = [x["trust_value"] for x in cells]
+        with np.errstate(invalid="ignore"):
+            score = sum(part[j][:, :, None] * table[:, j] for j in range(4))
+        score = np.where(np.isfinite(part[0])[:, :, None], np.round(score, 9), -np.inf)
+        order = np.argsort(-score, axis=1, kind="stable")
+        place = (order == own[:, None, None]).argmax(axis=1) + 1
+        shown = np.minimum(size, k)
+        top = np.take_along_axis(np.broadcast_to(trust[:, :, None], score.shape), order[:, :k], axis=1)
+        return place, (top < low_trust).sum(axis=1), shown
+
+    def run(batches):
+        for batch in batches:
+            batch = batch[batch["c"].map(lambda cells: any(x["cpos"] == 0 for x in cells))]
+            for at in range(0, len(batch), step):
+                rows = batch.iloc[at:at + step]
+                place, low, shown = ranks(rows)
+                gain = np.where(place <= k, 1.0 / np.log2(place + 1.0), 0.0)
+                names, code = np.unique(rows["persona"].to_numpy().astype(str), return_inverse=True)
+                for g, name in enumerate(names):
+                    m = code == g
+                    yield pd.DataFrame({"w": np.arange(len(table), dtype=np.int32), "persona": name, "n": int(m.sum()), "hits": (place[m] <= k).sum(axis=0).astype(float),
+                                        "rr": (1.0 / place[m]).sum(axis=0), "gain": gain[m].sum(axis=0), "low": low[m].sum(axis=0), "shown": int(shown[m].sum())})
+    return run
+
+
 def weight_metrics(components: DataFrame, groups: DataFrame, weights: list[tuple] = WEIGHT_GRID, k: int = 3, low_trust: float = 0.4) -> DataFrame:
     """Metrics per weight tuple: n, hit rate, MRR, NDCG, mean and worst group NDCG, low-trust share of the top k.
 
-    ``groups``: (sample_id, persona).  A sample's candidates sit in one small array and meet a
-    constant array of weights, so the fan-out is combined map-side straight away.
+    ``groups``: (sample_id, persona).  A sample's candidates sit in one small array; a batch of
+    samples is multiplied with all weights and summed before anything is shuffled.
     """
     cell = F.struct("cpos", "article_id", "trust_value", "semantic", "interest", "trust", "freshness")
-    per = components.groupBy("sample_id").agg(F.collect_list(cell).alias("c")).join(groups, "sample_id")
-    options = F.array(*[F.struct(F.lit(a).alias("w0"), F.lit(b).alias("w1"), F.lit(c).alias("w2"), F.lit(d).alias("w3")) for a, b, c, d in weights])
-    fan = per.withColumn("w", F.explode(options))
-    score = lambda x: F.round(x["semantic"] * F.col("w.w0") + x["interest"] * F.col("w.w1") + x["trust"] * F.col("w.w2") + x["freshness"] * F.col("w.w3"), 9)
-    scored = F.transform("c", lambda x: F.struct(score(x).alias("s"), x["article_id"].alias("a"), x["cpos"].alias("p"), x["trust_value"].alias("t")))
-    fan = fan.withColumn("o", F.reverse(F.array_sort(scored)))
-    top = F.slice("o", 1, k)
-    fan = fan.select("w", "persona", F.expr("array_position(transform(o, x -> x.p), 0)").alias("rank"),
-                     F.size(F.filter(top, lambda x: x["t"] < low_trust)).alias("low"), F.size(top).alias("shown"))
-    gain = F.when(F.col("rank") <= k, 1.0 / F.log2(F.col("rank") + 1.0)).otherwise(0.0)
-    per_group = fan.groupBy("w", "persona").agg(F.count("*").alias("n"), F.sum((F.col("rank") <= k).cast("double")).alias("hits"),
-                                                F.sum(1.0 / F.col("rank")).alias("rr"), F.sum(gain).alias("gain"), F.sum("low").alias("low"), F.sum("shown").alias("shown"))
+    per = components.groupBy("sample_id").agg(F.collect_list(cell).alias("c")).join(groups, "sample_id").select("persona", "c")
+    sums = per.mapInPandas(_weigh(weights, k, low_trust), _CELLS)
+    per_group = sums.groupBy("w", "persona").agg(*[F.sum(c).alias(c) for c in ("n", "hits", "rr", "gain", "low", "shown")])
     total = F.sum("n")
-    return per_group.groupBy("w").agg(total.alias("n"), (F.sum("hits") / total).alias("hit_rate"), (F.sum("rr") / total).alias("mrr"),
-                                      (F.sum("gain") / total).alias("ndcg"), F.avg(F.col("gain") / F.col("n")).alias("macro_persona_ndcg"),
-                                      F.min(F.col("gain") / F.col("n")).alias("worst_persona_ndcg"), (F.sum("low") / F.sum("shown")).alias("low_trust_topk_rate"))
+    out = per_group.groupBy("w").agg(total.alias("n"), (F.sum("hits") / total).alias("hit_rate"), (F.sum("rr") / total).alias("mrr"),
+                                     (F.sum("gain") / total).alias("ndcg"), F.avg(F.col("gain") / F.col("n")).alias("macro_persona_ndcg"),
+                                     F.min(F.col("gain") / F.col("n")).alias("worst_persona_ndcg"), (F.sum("low") / F.sum("shown")).alias("low_trust_topk_rate"))
+    options = F.array(*[F.struct(*[F.lit(float(x)).alias(f"w{j}") for j, x in enumerate(t)]) for t in weights])
+    return out.withColumn("w", F.element_at(options, F.col("w") + 1))
 
 
 def best_weights(metrics: DataFrame) -> DataFrame:

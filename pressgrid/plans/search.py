@@ -79,29 +79,38 @@ def bm25_corpus_stats(postings: DataFrame) -> tuple[DataFrame, DataFrame]:
     return terms, one.join(F.broadcast(mean), "_o").drop("_o")
 
 
+def bm25_constants(postings: DataFrame) -> tuple[int, float, float]:
+    """(documents, mean length, mean idf of the whole vocabulary): three numbers."""
+    docs, avgdl = postings.groupBy("article_id").agg(F.first("dl").alias("dl")).agg(F.count("*"), F.avg("dl")).first()
+    raw = F.log(F.lit(docs) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    mean = postings.groupBy("term").agg(F.count("*").alias("df")).agg(F.avg(raw)).first()[0]
+    return docs, avgdl or 0.0, mean or 0.0
+
+
 def bm25_search(queries: DataFrame, postings: DataFrame, limit: int = 10) -> DataFrame:
     """(query_id, article_id, bm25_score, rank): documents with every query term, relative to the best one.
 
-    Candidates come from each query's rarest term only; the other terms are then looked up by
-    (article, term), so a common word never pulls its whole posting list.
+    Only postings of asked terms are kept.  Candidates come from each query's rarest term; the other
+    terms are then looked up by (article, term), so a common word never pulls its whole posting list.
     """
-    terms, corpus = bm25_corpus_stats(postings)
-    words = queries.select("query_id", F.explode(T.tokenize_ko(F.col("query"))).alias("term"))
-    asked = words.groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    weighted = asked.join(terms, "term", "left")
+    docs, avgdl, mean = bm25_constants(postings)
+    asked = write_once(queries.select("query_id", F.explode(T.tokenize_ko(F.col("query"))).alias("term"))
+                       .groupBy("query_id", "term").agg(F.count("*").alias("times")), "asked")
+    mine = write_once(postings.join(asked.select("term").distinct(), "term", "left_semi"), "postings")
+    raw = F.log(F.lit(docs) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    terms = mine.groupBy("term").agg(F.count("*").alias("df")).withColumn("idf", F.when(raw < 0, mean * K.BM25_FLOOR).otherwise(raw))
+    weighted = write_once(asked.join(terms, "term", "left"), "terms")
     plan = weighted.groupBy("query_id").agg(F.count("*").alias("n_terms"), F.min(F.struct("df", "term")).alias("rarest"),
                                             F.max(F.col("df").isNull().cast("int")).alias("unknown")).where("unknown = 0")
     cand = (plan.select("query_id", "n_terms", F.col("rarest.term").alias("term"))
-            .join(postings.select("term", "article_id"), "term").drop("term"))
-    one = corpus.withColumn("_o", F.lit(1))
-    part = (cand.join(weighted.select("query_id", "term", "times", "idf"), "query_id")
-            .join(postings, ["article_id", "term"]).withColumn("_o", F.lit(1)).join(F.broadcast(one), "_o"))
+            .join(mine.select("term", "article_id"), "term").drop("term"))
+    part = cand.join(weighted.select("query_id", "term", "times", "idf"), "query_id").join(mine, ["article_id", "term"])
     tf, k1, b = F.col("tf"), K.BM25_K1, K.BM25_B
-    gain = F.col("times") * F.col("idf") * (tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))))
+    gain = F.col("times") * F.col("idf") * (tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl))))
     full = (part.groupBy("query_id", "article_id").agg(F.sum(gain).alias("raw"), F.count("*").alias("hit"), F.first("n_terms").alias("n_terms"))
             .where("hit = n_terms"))
-    top = full.groupBy("query_id").agg(F.max("raw").alias("best"))
-    scaled = full.join(top, "query_id").select("query_id", "article_id", F.round(
+    best = F.max("raw").over(W.partitionBy("query_id"))
+    scaled = full.withColumn("best", best).select("query_id", "article_id", F.round(
         F.when(F.col("best") > 0, F.col("raw") / F.col("best")).otherwise(F.col("raw")), 9).alias("bm25_score"))
     w = W.partitionBy("query_id").orderBy(F.col("bm25_score").desc(), "article_id")
     return (scaled.where(F.col("bm25_score") >= K.BM25_MIN_SCORE).withColumn("rank", F.row_number().over(w))
