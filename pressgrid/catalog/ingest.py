@@ -8,14 +8,32 @@ from ..functions import text as T
 from ..plans import ingest as G
 from ..session import new_path
 from ..sources import files as FI, pages as PG, views as V
-from .oracle_views import lst
+from .oracle_views import clean_body_sql, greedy_sql, lst
 from .registry import query
-from .texts import SENTENCES
+from .texts import SENTENCES, WORDS
 
 TEST_SELECTORS = {"publisher": [".logo img"], "title": ["h1"], "date": [".date_time"], "body": ["article"],
                   "drop": ["script", "style", ".ad", "nav"], "reporter": [".byline"]}
 
 
+_UNESCAPE = "replace(replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#x27;', chr(39)), '&amp;', '&')"
+_INNER = "regexp_replace(regexp_replace(html, '(?s)^.*?<article>', ''), '(?s)</article>.*$', '')"
+_SQUEEZED = "regexp_replace(" + _UNESCAPE.format("regexp_replace({0}, '<[^>]*>', ' ', 'g')") + ", '\\s+', '', 'g')"
+
+
+def squeezed(df):
+    """Content without white space: where tags stood is not compared, what was read is."""
+    return df.withColumn("content", F.regexp_replace("content", "[\\s\\x{00A0}]+", ""))
+
+
+@query("html_text_squeezed", f"""SELECT page_id, link, title, content FROM (SELECT page_id, url AS link, trim({_UNESCAPE.format("regexp_extract(html, '<h1>([^<]*)</h1>', 1)")}) AS title,
+  {_SQUEEZED.format(_INNER)} AS content, length(trim(regexp_replace({_UNESCAPE.format("regexp_replace(" + _INNER + ", '<[^>]*>', ' ', 'g')")}, '\\s+', ' ', 'g'))) AS n FROM pages WHERE contains(html, '<article>')) WHERE length(title) >= 6""")
+def _(spark, d):
+    """Pages with a title: h1 and article text as the page job reads them."""
+    out = PG.html_to_article(V.table(spark, d, "pages"), selectors=TEST_SELECTORS, min_body=0)
+    return squeezed(out.select("page_id", "link", "title", "content"))
+
+
 @query("html_to_article")
 def _(spark, d):
     return PG.html_to_article(V.table(spark, d, "pages"), selectors=TEST_SELECTORS)
@@ -39,7 +57,18 @@ def raw_rows(spark, d):
                     F.concat(F.lit("[제목] "), "full_text").alias("content"))
 
 
-@query("ingest_clean_dedupe")
+_TITLE = "trim(regexp_replace(title, '\\[.*?\\]', '', 'g'), ' \t\r\n')"
+_JAC = "len(list_intersect(n.toks, o.toks)) / CAST(len(list_distinct(list_concat(n.toks, o.toks))) AS DOUBLE)"
+INGEST = {
+    "ing_clean": f"SELECT * FROM (SELECT article_id, {_TITLE} AS title, source, category, published_at AS date, CASE WHEN CAST(article_id AS BIGINT) % 23 = 0 THEN '?' ELSE source END AS reporter, {clean_body_sql('full_text')} AS content FROM articles) WHERE length(content) >= 100",
+    "ing_best": "SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY content ORDER BY length(title) DESC, article_id DESC) AS n FROM ing_clean) WHERE n = 1 AND NOT contains(coalesce(reporter, ''), '?')",
+    **greedy_sql("ing", f"SELECT article_id AS id, -length(content) AS k, list_sort({WORDS.format('title')}) AS toks FROM ing_best", 0.7),
+    "ing_old": f"SELECT DISTINCT {WORDS.format('title')} AS toks FROM articles WHERE lang = 'fr'",
+    "ing_new": f"SELECT *, {WORDS.format('title')} AS toks FROM ing_best WHERE article_id NOT IN (SELECT id FROM ing_drop)"}
+
+
+@query("ingest_clean_dedupe", f"""SELECT article_id, title, source, category, date, CASE WHEN contains(reporter, '기자') THEN reporter ELSE reporter || ' 기자' END AS reporter, content
+  FROM ing_new n WHERE NOT EXISTS (SELECT 1 FROM ing_old o WHERE len(o.toks) > 0 AND len(n.toks) > 0 AND {_JAC} >= 0.8)""", INGEST)
 def _(spark, d):
     stored = V.articles(spark, d).where("lang = 'fr'").select("title")
     return G.ingest_clean_dedupe(raw_rows(spark, d), stored)
@@ -60,6 +89,26 @@ def _(spark, d):
     return G.chunk_documents(V.articles(spark, d))
 
 
+@query("chunk_invariants", "SELECT article_id, true AS short_enough, true AS in_order, true AS nothing_lost FROM articles WHERE length(trim(full_text)) >= 10")
+def _(spark, d):
+    """Chunks as the job makes them: none too long, each found behind the start of the one before, nothing but blanks between them."""
+    a = V.articles(spark, d)
+    body = G.chunk_documents(a).where("chunk_text <> ''").select("article_id", F.element_at(F.split("chunk_id", "_"), -1).cast("int").alias("n"), "chunk_text")
+    per = body.groupBy("article_id").agg(F.array_sort(F.collect_list(F.struct("n", "chunk_text"))).alias("c")).join(a.select("article_id", "full_text"), "article_id")
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("end"), F.lit(True).alias("ordered"), F.lit(True).alias("whole"))
+
+    def step(s, x):
+        # a chunk starts no earlier than its longest possible overlap with the one before
+        at = F.call_function("locate", x["chunk_text"], F.col("full_text"), F.greatest(s["at"] + 1, s["end"] - K.CHUNK_OVERLAP + 1))
+        gap = F.call_function("substring", F.col("full_text"), s["end"] + 1, F.greatest(at - 1 - s["end"], F.lit(0)))
+        return F.struct(at.cast("int").alias("at"), (at - 1 + F.length(x["chunk_text"])).cast("int").alias("end"), (s["ordered"] & (at > s["at"])).alias("ordered"),
+                        (s["whole"] & (F.regexp_replace(gap, "\\s+", "") == "")).alias("whole"))
+
+    done = F.aggregate("c", start, step)
+    return per.select("article_id", F.forall("c", lambda x: F.length(x["chunk_text"]) <= K.CHUNK_SIZE).alias("short_enough"), done["ordered"].alias("in_order"),
+                      (done["whole"] & (F.trim(F.expr("substring(full_text, 1)")) != "")).alias("nothing_lost"))
+
+
 @query("title_chunks", "SELECT article_id || '_title' AS chunk_id, article_id, '' AS chunk_text FROM articles")
 def _(spark, d):
     return G.title_chunks(V.articles(spark, d)).select("chunk_id", "article_id", "chunk_text")

@@ -162,6 +162,36 @@ SELECT *, {VERDICT_SQL} AS verdict FROM (
   FROM criteria)"""
 
 
+def clean_body_sql(text: str) -> str:
+    """The cleaning of a body as SQL.
+
+    Left out are the removals that need look-ahead; they start at marks that the given tables never hold.
+    """
+    from ..functions import arrow as AR
+    blanks = r"' ' || chr(9) || chr(10) || chr(13)"
+    out = rf"regexp_replace(trim({text}, {blanks}), '^(\s*\[[^\n\]]*\]\s*)+', '')"
+    for pattern, fold in AR.BODY_PATTERNS:
+        if "(?=" not in pattern:
+            out = f"regexp_replace({out}, '{'(?i)' if fold else ''}{pattern}', '', 'g')"
+    return rf"trim(regexp_replace(regexp_replace(trim({out}, {blanks}), '(?s)^(.*\.)[^.]*$', '\1'), '\s+', ' ', 'g'), ' ')"
+
+
+def greedy_sql(name: str, rows: str, threshold: float) -> dict[str, str]:
+    """Views of a greedy near-duplicate pass; rows: (id, k, toks), visited by (k, id).  {name}_drop has the dropped ids."""
+    both = "list_distinct(list_concat(a.toks, b.toks))"
+    return {
+        f"{name}_sets": rows,
+        f"{name}_reps": f"SELECT min((k, id)) AS f, toks FROM {name}_sets WHERE len(toks) > 0 GROUP BY toks",
+        f"{name}_pairs": f"SELECT a.f AS e, b.f AS l FROM {name}_reps a JOIN {name}_reps b ON a.f < b.f WHERE len(list_intersect(a.toks, b.toks)) / CAST(len({both}) AS DOUBLE) >= {threshold}",
+        f"{name}_nodes": f"""SELECT x.f[2] AS id, row_number() OVER (ORDER BY x.f) AS i, coalesce((SELECT list(e[2]) FROM {name}_pairs p WHERE p.l = x.f), []) AS before
+          FROM (SELECT e AS f FROM {name}_pairs UNION SELECT l FROM {name}_pairs) x""",
+        f"{name}_walk": f"""/*RECURSIVE_CTE*/SELECT CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS kept
+          UNION ALL SELECT n.i, CASE WHEN list_has_any(w.kept, n.before) THEN w.kept ELSE list_append(w.kept, n.id) END FROM {name}_walk w JOIN {name}_nodes n ON n.i = w.i + 1""",
+        f"{name}_kept": f"SELECT unnest(kept) AS id FROM (SELECT kept FROM {name}_walk ORDER BY i DESC LIMIT 1)",
+        f"{name}_drop": f"""SELECT id FROM {name}_sets WHERE len(toks) > 0 AND id NOT IN (SELECT f[2] FROM {name}_reps)
+          UNION SELECT id FROM {name}_nodes WHERE id NOT IN (SELECT id FROM {name}_kept)"""}
+
+
 def with_views(body: str, extra: dict[str, str] | None = None) -> str:
     """Prefix a statement with the views it names, in dependency order."""
     pool = {**VIEWS, **(extra or {})}

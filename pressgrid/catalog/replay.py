@@ -358,9 +358,14 @@ def _(spark, d):
     return _retrieval(spark, d, "raw")
 
 
-@query("embedding_alignment", _retrieval_sql("learned_vectors", "learned_embedding"))
+_PAIRED = "SELECT count(*) AS paired_articles, round(avg(c), 6) AS mean_cosine, round(quantile_cont(c, 0.5), 6) AS median_cosine FROM (SELECT list_cosine_similarity(embedding, learned_embedding) AS c FROM article_vectors a JOIN learned_vectors l ON a.article_id = l.article_id)"
+
+
+@query("embedding_alignment", f"""SELECT space, ranked, top1, top5, mrr, paired_articles, mean_cosine, median_cosine FROM (
+  SELECT 'raw' AS space, n AS ranked, top1, top5, mrr FROM ({_retrieval_sql("article_vectors", "embedding")})
+  UNION ALL SELECT 'learned', n, top1, top5, mrr FROM ({_retrieval_sql("learned_vectors", "learned_embedding")})), ({_PAIRED})""")
 def _(spark, d):
-    return _retrieval(spark, d, "learned")
+    return r6(R.embedding_alignment(*spaces(spark, d)), "top1", "top5", "mrr", "mean_cosine", "median_cosine")
 
 
 def _mixed(space):

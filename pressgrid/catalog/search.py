@@ -8,6 +8,7 @@ from ..operators import near_dup as N
 from ..operators.vector_topk import cosine_topk
 from ..plans import search as S
 from ..sources import views as V
+from .oracle_views import greedy_sql
 from .registry import query
 from .texts import ALNUM, CLASSIFIED, KO, WORDS, fact_check_rows, jac
 
@@ -168,6 +169,15 @@ def _(spark, d):
 
 # ---- near duplicates -------------------------------------------------------------------
 
+@query("near_duplicate_pairs_low_threshold", """SELECT a.f[2] AS earlier, b.f[2] AS later, round(len(list_intersect(a.toks, b.toks)) / CAST(len(list_distinct(list_concat(a.toks, b.toks))) AS DOUBLE), 6) AS similarity
+  FROM wreps a JOIN wreps b ON a.f < b.f WHERE len(list_intersect(a.toks, b.toks)) / CAST(len(list_distinct(list_concat(a.toks, b.toks))) AS DOUBLE) >= 0.4""", {
+    "wsets": f"SELECT article_id, published_at, list_sort({WORDS.format('title')}) AS toks FROM articles",
+    "wreps": "SELECT min((published_at, article_id)) AS f, toks FROM wsets WHERE len(toks) > 0 GROUP BY toks"})
+def _(spark, d):
+    return r6(N.near_duplicate_pairs(V.articles(spark, d), "article_id", F.col("title"), [F.col("published_at")], 0.4), "similarity")
+
+
+
 SETS = {"sets": f"SELECT article_id, published_at, list_sort({WORDS.format('title')}) AS toks FROM articles",
         "reps": "SELECT min((published_at, article_id)) AS f, toks FROM sets WHERE len(toks) > 0 GROUP BY toks"}
 
@@ -178,13 +188,13 @@ def _(spark, d):
     return r6(N.near_duplicate_pairs(V.articles(spark, d), "article_id", F.col("title"), [F.col("published_at")], 0.7), "similarity")
 
 
-@query("greedy_near_dup_in_store")
+@query("greedy_near_dup_in_store", "SELECT id AS article_id FROM store_drop", greedy_sql("store", f"SELECT article_id AS id, dense_rank() OVER (ORDER BY coalesce(published_at, '') DESC) AS k, list_sort({WORDS.format('title')}) AS toks FROM articles", 0.8))
 def _(spark, d):
     from ..plans import ingest as G
     return G.near_dup_in_store(V.articles(spark, d))
 
 
-@query("greedy_near_dup_in_batch")
+@query("greedy_near_dup_in_batch", "SELECT id AS article_id FROM batch_drop", greedy_sql("batch", f"SELECT article_id AS id, -length(full_text) AS k, list_sort({WORDS.format('title')}) AS toks FROM articles", 0.7))
 def _(spark, d):
     from ..plans import ingest as G
     return G.near_dup_in_batch(V.articles(spark, d).withColumnRenamed("full_text", "content"))

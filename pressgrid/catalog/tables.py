@@ -413,6 +413,20 @@ def _(spark, d):
         "log_id", "session_id", "event_type", "article_id", "event_data", "created_at", "user_id")
 
 
+@query("append_event_log", """SELECT CASE WHEN CAST(log_id AS BIGINT) % 3 = 0 THEN 'new' ELSE log_id END AS log_id, session_id, event_type, article_id,
+  CASE WHEN CAST(log_id AS BIGINT) % 7 = 0 THEN '2024-05-01T00:00:00.000000' ELSE created_at END AS created_at, user_id FROM event_log""")
+def _(spark, d):
+    """Every third event comes without an id, every seventh without a time; half of them are sent twice."""
+    from ..session import new_path
+    n = F.col("log_id").cast("bigint")
+    raw = V.raw_events(spark, d).withColumns({"created_at": F.when(n % 7 != 0, F.col("created_at")), "part": n % 2, "log_id": F.when(n % 3 != 0, F.col("log_id"))}).drop("event_time")
+    path, at, users = new_path(spark, "event-log"), F.lit("2024-05-01").cast("timestamp"), V.users(spark, d)
+    M.append_events(raw.where("part = 0").drop("part"), users, path, at)
+    M.append_events(raw.where("part = 1 or (part = 0 and log_id is not null)").drop("part"), users, path, at)
+    log = spark.read.parquet(path)
+    return log.select(F.when(F.col("log_id").startswith("e-"), "new").otherwise(F.col("log_id")).alias("log_id"), "session_id", "event_type", "article_id", "created_at", "user_id")
+
+
 @query("normalize_impression", """SELECT log_id, article_id AS item_id, position FROM shown""")
 def _(spark, d):
     e = V.event_log(spark, d).where("event_type = 'impression'")

@@ -7,7 +7,7 @@ from .. import constants as K
 from ..functions import arrow as AR, payload as P, text as T, vectors as X
 from ..operators import vocab as VO
 from ..sources import views as V
-from .oracle_views import lst
+from .oracle_views import clean_body_sql, lst
 from .registry import query
 
 KO = "CASE WHEN len(regexp_extract_all({0}, '[가-힣a-zA-Z0-9]{{2,}}')) = 0 THEN [''] ELSE regexp_extract_all({0}, '[가-힣a-zA-Z0-9]{{2,}}') END"
@@ -151,12 +151,12 @@ def _(spark, d):
                                         F.try_variant_get(v, "$.rec_source", "string").alias("rec_source"))
 
 
-@query("redact_json")
+@query("redact_json", """SELECT log_id, '{"api_key": "[REDACTED]", "nested": {"Token": "[REDACTED]", "n": [' || length(log_id) || ', "ok"]}, "payload": ' || replace(replace(replace(event_data, '},{', '}, {'), '":', '": '), ',"', ', "') || '}' AS event_data FROM event_log""")
 def _(spark, d):
     return V.raw_events(spark, d).select("log_id", AR.redact_json("event_data").alias("event_data"))
 
 
-@query("clean_news_body")
+@query("clean_news_body", f"SELECT article_id, {clean_body_sql('full_text')} AS body FROM articles")
 def _(spark, d):
     from ..plans import ingest as G
     return G.clean_bodies(V.articles(spark, d).select("article_id", F.col("full_text").alias("body")), "body")

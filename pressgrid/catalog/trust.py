@@ -131,10 +131,15 @@ def _(spark, d):
 @query("invariant_pass_rate", """SELECT variant, count(*) AS cases, CAST(sum(passed) AS BIGINT) AS passed, round(avg(passed), 6) AS pass_rate,
   round(avg(CASE WHEN case_type = 'pair' THEN margin END), 6) AS mean_pair_margin, min(CASE WHEN case_type = 'pair' THEN margin END) AS min_pair_margin FROM pair_rows GROUP BY variant""", PAIR_VIEWS)
 def _(spark, d):
-    r = T.invariant_pass_rate(_results(spark, d), with_failed_ids=False)
+    r = T.invariant_pass_rate(_results(spark, d))
     return r.withColumns({c: F.round(c, 6) for c in ("pass_rate", "mean_pair_margin")})
 
 
+@query("invariant_failures", "SELECT variant, pair_id, case_type, signal, margin FROM pair_rows WHERE passed = 0", PAIR_VIEWS)
+def _(spark, d):
+    return T.invariant_failures(_results(spark, d))
+
+
 @query("cache_overlay", """SELECT pair_id, CASE WHEN is_a THEN 'a' ELSE 'a_prime' END AS side, CASE WHEN i % 4 = 1 THEN 100 - score ELSE score END AS score FROM cache WHERE variant = 'W2'""", PAIR_VIEWS)
 def _(spark, d):
     c = _cache(spark, d)

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .. import constants as K
 from ..functions import vectors as X
-from ..operators.ordering import dense_order, positions
+from ..operators.ordering import dense_order, positions, running_total
 from .encoders import recency_weighted_vector
 from .recommend import category_recency_weights, minmax, rerank_components, rerank_hybrid
 
@@ -273,8 +273,13 @@ def vector_spaces(vectors: DataFrame, learned: DataFrame, chunks: DataFrame) ->
 
 
 def cosine_summary(raw: DataFrame, learned: DataFrame) -> DataFrame:
-    j = raw.join(learned, "article_id").withColumn("c", X.dot(F.col("embedding"), F.col("learned_embedding")))
-    return j.agg(F.count("*").alias("paired_articles"), F.avg("c").alias("mean_cosine"), F.median("c").alias("median_cosine"))
+    """Number, mean and median of the paired cosines; the median comes from positions over ranges, not from one task."""
+    j = raw.join(learned, "article_id").select("article_id", X.dot(F.col("embedding"), F.col("learned_embedding")).alias("c"))
+    one = j.agg(F.count("*").alias("paired_articles"), F.avg("c").alias("mean_cosine"))
+    run = running_total(j.withColumn("_w", F.lit(1)), [], "c", "_w").join(F.broadcast(one.select("paired_articles")), how="cross")  # one row
+    lower, upper = F.floor((F.col("paired_articles") + 1) / 2), F.floor(F.col("paired_articles") / 2) + 1
+    middle = run.agg(F.min(F.when(F.col("upto") >= lower, F.col("c"))).alias("a"), F.min(F.when(F.col("upto") >= upper, F.col("c"))).alias("b"))
+    return one.join(F.broadcast(middle), how="cross").select("paired_articles", "mean_cosine", ((F.col("a") + F.col("b")) / 2).alias("median_cosine"))
 
 
 def self_retrieval_ranks(queries: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -287,6 +292,17 @@ def self_retrieval_ranks(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     return better_articles(queries, chunks)
 
 
+def embedding_alignment(raw: DataFrame, learned: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Two rows (space raw and learned): paired cosines of the spaces and the self-retrieval of each."""
+    pairs = cosine_summary(raw, learned)
+    spaces = {"raw": raw.withColumnRenamed("embedding", "vector"), "learned": learned.withColumnRenamed("learned_embedding", "vector")}
+    out = None
+    for name, q in spaces.items():
+        row = retrieval_metrics(self_retrieval_ranks(q, chunks)).select(F.lit(name).alias("space"), F.col("n").alias("ranked"), "top1", "top5", "mrr")
+        out = row if out is None else out.unionByName(row)
+    return out.join(F.broadcast(pairs), how="cross")  # one row
+
+
 def retrieval_metrics(ranks: DataFrame) -> DataFrame:
     return ranks.agg(F.count("*").alias("n"), F.avg((F.col("rank") == 1).cast("double")).alias("top1"),
                      F.avg((F.col("rank") <= 5).cast("double")).alias("top5"), F.avg(1.0 / F.col("rank")).alias("mrr"))

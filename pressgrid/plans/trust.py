@@ -86,19 +86,17 @@ def pair_results(cache: DataFrame, pairs: DataFrame, sets: dict[str, list[float]
                        F.when(is_pair, margin > 0).otherwise(margin >= 0).alias("passed"))
 
 
-def invariant_pass_rate(results: DataFrame, with_failed_ids: bool = True) -> DataFrame:
-    """Cases, passes, rate and pair margins per weight set.
-
-    ``with_failed_ids`` lists the failed ids: meant for the hand-written invariant set; leave it
-    out for large case tables and read the failures from ``pair_results``.
-    """
+def invariant_pass_rate(results: DataFrame) -> DataFrame:
+    """Cases, passes, rate and pair margins per weight set; the failed ones are rows of invariant_failures()."""
     pair = F.when(F.col("case_type") == "pair", F.col("margin"))
     ok = F.col("passed").cast("int")
-    aggs = [F.count("*").alias("cases"), F.sum(ok).alias("passed"), F.avg(ok.cast("double")).alias("pass_rate"),
-            F.avg(pair).alias("mean_pair_margin"), F.min(pair).alias("min_pair_margin")]
-    if with_failed_ids:
-        aggs.append(F.array_join(F.array_sort(F.collect_list(F.when(~F.col("passed"), F.col("pair_id")))), ", ").alias("failed_cases"))
-    return results.groupBy("variant").agg(*aggs)
+    return results.groupBy("variant").agg(F.count("*").alias("cases"), F.sum(ok).alias("passed"), F.avg(ok.cast("double")).alias("pass_rate"),
+                                          F.avg(pair).alias("mean_pair_margin"), F.min(pair).alias("min_pair_margin"))
+
+
+def invariant_failures(results: DataFrame) -> DataFrame:
+    """(variant, pair_id, case_type, signal, margin) of every failed case."""
+    return results.where(~F.col("passed")).select("variant", "pair_id", "case_type", "signal", "margin")
 
 
 # ---- evaluation against labels -----------------------------------------------------------
