@@ -33,6 +33,9 @@ BROADCAST_TARGETS = 2_000_000
 
 _START = np.uint64(0x5851F42D4C957F2D)
 _ENTRY = (["<u1", "<i4", "<u4", "<u1"], [False, True, True, True])
+_SUMS = (["<i4", "<f8"], [True, False])
+#: Entries of a shard that are worked off at once.
+STEP = 1 << 18
 
 
 def _chunks(batches, ids: bool = False):
@@ -105,8 +108,8 @@ def _losses(kind: np.ndarray, n: np.ndarray, cb: np.ndarray, ct: np.ndarray, tar
 
 
 def _entries(n_shards: int, heavy, alpha: float, vocab: int):
-    names = ["shard", "chunk", "docs", "flags", "entries", "ids", "tokens", "sums"]
-    types = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+    names = ["shard", "chunk", "entries", "ids", "tokens", "sums"]
+    types = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
 
     def run(batches):
         import xxhash
@@ -133,51 +136,78 @@ def _entries(n_shards: int, heavy, alpha: float, vocab: int):
             by_doc = np.argsort(own, kind="stable")
             key, own, kind, count = (x[by_doc] for x in (key, own, kind, count))
             order, cuts = shards.by_shard(((key >> np.uint64(41)) % np.uint64(n_shards)).astype(np.int64))
-            flags = np.packbits(target).tobytes()
-            blobs = [shards.pack([shards.low_bytes(key[order[a:b]], 5), own[order[a:b]].astype(np.int32), count[order[a:b]].astype(np.uint32), kind[order[a:b]]], _ENTRY[1]) for _, a, b in cuts]
+            mark = kind | (target[own].astype(np.uint8) << 1)
+            blobs = [shards.pack([shards.low_bytes(key[order[a:b]], 5), own[order[a:b]].astype(np.int32), count[order[a:b]].astype(np.uint32), mark[order[a:b]]], _ENTRY[1]) for _, a, b in cuts]
             m = len(cuts)
-            yield shards.rows(names, [[s for s, _, _ in cuts] + [int(chunk % n_shards)], [chunk] * (m + 1), [docs] * (m + 1), [flags] * m + [None], blobs + [None],
+            yield shards.rows(names, [[s for s, _, _ in cuts] + [int(chunk % n_shards)], [chunk] * (m + 1), blobs + [None],
                                       [None] * m + [ids.tobytes() + nulls.tobytes()], [None] * m + [np.diff(first).astype(np.int64).tobytes()], [None] * m + [sums.tobytes()]], types)
     return run
 
 
+def _shard_losses(key: np.ndarray, n: np.ndarray, mark: np.ndarray, alpha: float, vocab: int) -> np.ndarray:
+    """(target, background) terms of a shard's entries, worked off in runs of STEP entries by key."""
+    key = (key << np.uint64(1)) | (mark & 1)
+    order = np.argsort(key).astype(np.uint32)
+    ranked = key[order]
+    head = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
+    del key, ranked
+    out = np.empty((2, len(n)))
+    at = 0
+    while at < len(head):
+        to = max(at + 1, int(np.searchsorted(head, head[at] + STEP)))
+        a, b = head[at], head[to] if to < len(head) else len(n)
+        some, own = order[a:b], head[at:to] - a
+        count, target = n[some].astype(np.int64), (mark[some] >> 1).astype(np.int64)
+        size = np.diff(np.append(own, b - a))
+        cb, ct = np.repeat(np.add.reduceat(count, own), size), np.repeat(np.add.reduceat(count * target, own), size)
+        out[0, some], out[1, some] = _losses(mark[some] & 1, count, cb, ct, target, alpha, vocab)
+        at = to
+    return out
+
+
 def _total(alpha: float, vocab: int):
-    names = ["chunk", "shard", "docs", "ids", "tokens", "sums"]
-    types = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+    names = ["chunk", "shard", "ids", "tokens", "sums"]
+    types = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
 
     def run(batches):
-        for shard, got in shards.each_shard(batches, ["chunk", "docs", "flags", "entries", "ids", "tokens", "sums"]):
+        for shard, got in shards.each_shard(batches, ["chunk", "entries", "ids", "tokens", "sums"]):
+            meta = [k for k, x in enumerate(got["ids"]) if x is not None]
+            if meta:
+                yield shards.rows(names, [[got["chunk"][k] for k in meta], [-1] * len(meta)] + [[got[c][k] for k in meta] for c in ("ids", "tokens", "sums")], types)
             some = [k for k, e in enumerate(got["entries"]) if e is not None]
-            out = [[got["chunk"][k], -1, got["docs"][k], got["ids"][k], got["tokens"][k], got["sums"][k]] for k in range(len(got["chunk"])) if got["ids"][k] is not None]
-            if some:
-                cols = [shards.unpack(got["entries"][k], *_ENTRY) for k in some]
-                size = np.array([got["docs"][k] for k in some])
-                base = np.cumsum(size) - size
-                n_own = [len(c[1]) for c in cols]
-                key = np.concatenate([shards.from_low_bytes(c[0], 5) for c in cols])
-                doc = np.concatenate([c[1] for c in cols]) + np.repeat(base, n_own)
-                n = np.concatenate([c[2] for c in cols]).astype(np.int64)
-                kind = np.concatenate([c[3] for c in cols])
-                flags = np.concatenate([np.unpackbits(np.frombuffer(got["flags"][k], np.uint8))[:got["docs"][k]] for k in some])
-                del cols
-                target = flags[doc].astype(np.int64)
-                _, which = np.unique((key << np.uint64(1)) | kind.astype(np.uint64), return_inverse=True)
-                cb, ct = np.bincount(which, n)[which], np.bincount(which, n * target)[which]
-                lt, lb = _losses(kind, n, cb, ct, target, alpha, vocab)
-                sums = np.stack([np.bincount(doc, lt, size.sum()), np.bincount(doc, lb, size.sum())])
-                out += [[got["chunk"][k], shard, int(size[j]), None, None, np.ascontiguousarray(sums[:, base[j]:base[j] + size[j]]).tobytes()] for j, k in enumerate(some)]
-            for a in range(0, len(out), 256):
-                yield shards.rows(names, [list(x) for x in zip(*out[a:a + 256])], types)
+            if not some:
+                continue
+            chunks = [got["chunk"][k] for k in some]
+            cols = [shards.unpack(got["entries"][k], *_ENTRY) for k in some]
+            del got
+            key = np.concatenate([shards.from_low_bytes(c[0], 5) for c in cols])
+            doc, n, mark = (np.concatenate([c[i] for c in cols]) for i in (1, 2, 3))
+            bound = np.cumsum([0] + [len(c[1]) for c in cols])
+            del cols
+            terms = _shard_losses(key, n, mark, alpha, vocab)
+            del key
+            for a in range(0, len(chunks), 64):
+                back = []
+                for k in range(a, min(a + 64, len(chunks))):
+                    own = doc[bound[k]:bound[k + 1]]
+                    first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+                    sums = np.add.reduceat(terms[:, bound[k]:bound[k + 1]], first, axis=1)
+                    back.append(shards.pack([own[first], sums.reshape(-1)], _SUMS[1]))
+                yield shards.rows(names, [chunks[a:a + 64], [shard] * len(back), [None] * len(back), [None] * len(back), back], types)
     return run
 
 
 def _gather(table):
     rows = sorted(table.to_pylist(), key=lambda r: r["shard"])
-    meta, n = rows[0], rows[0]["docs"]
+    meta = rows[0]
+    tokens = np.frombuffer(meta["tokens"], np.int64)
+    n = len(tokens)
     ids = np.frombuffer(meta["ids"][:8 * n], np.int64)
     null = np.frombuffer(meta["ids"][8 * n:], np.bool_)
-    tokens = np.frombuffer(meta["tokens"], np.int64)
-    total = sum(np.frombuffer(r["sums"], np.float64).reshape(2, n) for r in rows)
+    total = np.frombuffer(meta["sums"], np.float64).reshape(2, n).copy()
+    for r in rows[1:]:
+        doc, sums = shards.unpack(r["sums"], *_SUMS)
+        total[:, doc] += sums.reshape(2, -1)
     with np.errstate(divide="ignore", invalid="ignore"):
         lt, lb = total / tokens
     empty = tokens == 0
@@ -209,9 +239,9 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame, alpha: float =
     counts = source.mapInArrow(_count_heavy(heavy), "key long, b long, t long").groupBy("key").agg(F.sum("b").alias("b"), F.sum("t").alias("t")).toArrow().sort_by("key")
     heavy_counts = (heavy, counts["b"].to_numpy(), counts["t"].to_numpy()) if len(heavy) else (heavy, np.zeros(0, np.int64), np.zeros(0, np.int64))
     sent = source.mapInArrow(_entries(n, spark.sparkContext.broadcast(heavy_counts), alpha, vocab),
-                             "shard int, chunk long, docs int, flags binary, entries binary, ids binary, tokens binary, sums binary")
+                             "shard int, chunk long, entries binary, ids binary, tokens binary, sums binary")
     back = (sent.repartition(n, "shard").sortWithinPartitions("shard")
-            .mapInArrow(_total(alpha, vocab), "chunk long, shard int, docs int, ids binary, tokens binary, sums binary"))
+            .mapInArrow(_total(alpha, vocab), "chunk long, shard int, ids binary, tokens binary, sums binary"))
     return back.groupBy("chunk").applyInArrow(_gather, "doc_id long, n_tokens long, loss_target double, loss_background double, score double")
 
 
