@@ -255,7 +255,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     largest: it names a component only where no member has an id, and then component_id is null.
     Repeated rows and ids keep their rows.  An empty table gives an empty result.
     """
-    prints = saved(fingerprints(docs, shingle, [id_col] if keep is None else list(dict.fromkeys([id_col, *keep])), text), "prints")
+    stay = [c for c in keep or [] if c.lower() not in ("fp", "component_id", "component_key")]
+    prints = saved(fingerprints(docs, shingle, list(dict.fromkeys([id_col, *stay])), text), "prints")
     nodes = saved(prints.where(F.col(f"`{id_col}`").isNotNull()).groupBy("fp").agg(F.min(F.col(f"`{id_col}`")).alias("node"))
                   .unionByName(prints.where(F.col(f"`{id_col}`").isNull()).select("fp", F.lit(None).cast("long").alias("node")))
                   .groupBy("fp").agg(F.min("node").alias("node")), "nodes")
@@ -277,11 +278,11 @@ def one_of_each(docs: DataFrame, text: str = "text", id_col: str = "doc_id", **o
     Of rows that repeat id and text one stays.
     """
     docs = tidy(docs)
-    named = docs.withColumns({"_id": F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-(1 << 63))), "_text_hash": F.xxhash64(F.col(f"`{text}`").cast("string"))})
-    marked = near_duplicates(named.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), "_id", "_text_hash"), keep=["_id", "_text_hash"], **options)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("blank"), "_id", "_text_hash"))
-    kept = marked.groupBy("component_key").agg(first.alias("f")).select("f._id", "f._text_hash")
-    return named.join(kept, ["_id", "_text_hash"], "left_semi").dropDuplicates(["_id", "_text_hash"]).drop("_id", "_text_hash")
+    named = docs.withColumns({"_near_id": F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-(1 << 63))), "_near_hash": F.xxhash64(F.col(f"`{text}`").cast("string"))})
+    marked = near_duplicates(named.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), "_near_id", "_near_hash"), keep=["_near_id", "_near_hash"], **options)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("blank"), "_near_id", "_near_hash"))
+    kept = marked.groupBy("component_key").agg(first.alias("f")).select("f._near_id", "f._near_hash")
+    return named.join(kept, ["_near_id", "_near_hash"], "left_semi").dropDuplicates(["_near_id", "_near_hash"]).drop("_near_id", "_near_hash")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
