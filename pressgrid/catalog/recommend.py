@@ -248,6 +248,47 @@ def _(spark, d):
     return out.select("article_id", F.round(F.coalesce(F.aggregate("learned_embedding", F.lit(0.0), lambda s, x: s + x), F.lit(0.0)), 6).alias("vector_sum"))
 
 
+# Deterministic weights that SQL can state: (7 i + 13 j + s) mod 11, shifted and scaled.
+_HIDDEN, _CATS = 8, 8
+
+
+def _numbers(rows: int, cols: int, seed: int):
+    import numpy as np
+    return (((np.arange(cols)[None, :] * 7 + np.arange(rows)[:, None] * 13 + seed) % 11) - 5) / 50.0
+
+
+def _attention_weights():
+    return {"category_w": _numbers(64, _CATS, 1), "category_b": _numbers(1, 64, 2)[0], "view_w1": _numbers(_HIDDEN, 64, 3), "view_b1": _numbers(1, _HIDDEN, 4)[0],
+            "view_w2": _numbers(1, _HIDDEN, 5), "view_b2": _numbers(1, 1, 6)[0]}
+
+
+def _w(j, i, seed):
+    return f"((({i}) * 7 + ({j}) * 13 + {seed}) % 11 - 5) / CAST(50 AS DOUBLE)"
+
+
+_ATT = {
+    "att_in": "SELECT article_id, embedding AS s, list_reverse(embedding) AS t, CAST(article_id AS BIGINT) % 8 AS cat FROM article_vectors",
+    "att_views": f"""SELECT article_id, 0 AS v, t AS x FROM att_in UNION ALL SELECT article_id, 1, s FROM att_in
+      UNION ALL SELECT article_id, 2, list_transform(range(0, 64), lambda j: {_w('j', 'cat', 1)} + {_w('0', 'j', 2)}) FROM att_in""",
+    "att_hidden": f"""SELECT article_id, v, x, h, tanh(list_dot_product(x, list_transform(range(0, 64), lambda i: {_w('h', 'i', 3)})) + {_w('0', 'h', 4)}) * {_w('0', 'h', 5)} AS part
+      FROM att_views, (SELECT unnest(range(0, {_HIDDEN})) AS h)""",
+    "att_logit": f"SELECT article_id, v, any_value(x) AS x, sum(part) + {_w('0', '0', 6)} AS l FROM att_hidden GROUP BY article_id, v",
+    "att_share": "SELECT article_id, x, exp(l) / sum(exp(l)) OVER (PARTITION BY article_id) AS p FROM att_logit",
+    "att_sum": "SELECT article_id, i, sum(p * x[i]) AS y FROM att_share, (SELECT unnest(range(1, 65)) AS i) GROUP BY article_id, i",
+    "att_out": "SELECT article_id, i, y / sqrt(sum(y * y) OVER (PARTITION BY article_id)) AS u FROM att_sum"}
+
+
+@query("encode_articles_attention", "SELECT article_id, round(sum(u), 6) AS total, round(sum(u * i), 6) AS placed FROM att_out GROUP BY article_id", _ATT)
+def _(spark, d):
+    v = V.article_vectors(spark, d)
+    cat = F.col("article_id").cast("bigint") % 8
+    rows = v.select("article_id", "embedding", F.reverse("embedding").alias("title_embedding"),
+                    F.transform(F.sequence(F.lit(0), F.lit(_CATS - 1)), lambda i: (i == cat).cast("double")).alias("one_hot"))
+    out = E.encode_articles(rows, _attention_weights())
+    placed = F.aggregate(F.transform("vector", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return out.select("article_id", F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x), 6).alias("total"), F.round(placed, 6).alias("placed"))
+
+
 @query("encode_users", f"SELECT request_id, {_TOTAL.format('uv')} FROM user_vecs", EV)
 def _(spark, d):
     return totals(_user_units(spark, d), ["request_id"], "user_vector")

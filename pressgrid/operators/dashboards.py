@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import constants as K
 from .articles import has_listed_category
+from .ordering import exact_percentiles
 
 
 def session_funnel(events: DataFrame, steps: list[str] = K.FUNNEL_STEPS) -> DataFrame:
@@ -98,19 +99,23 @@ def clicks_by_rec_source(events: DataFrame, as_of: str, days: int = 14) -> DataF
 def web_vitals_percentiles(events: DataFrame, as_of: str, hours: int = 24, exact: bool = True) -> DataFrame:
     """Page-speed percentiles per path over the last hours.
 
-    ``percentile`` keeps one counter per distinct value (milliseconds, so bounded) and is
-    merged map-side; ``exact=False`` uses the sketch.
+    ``percentile`` keeps one counter per distinct value and is merged map-side: bounded for times in
+    milliseconds.  The layout shift is a continuous number, its percentile comes from positions over
+    ranges.  ``exact=False`` uses the sketch for all.
     """
     field = lambda name, kind: F.get_json_object("event_data", f"$.{name}").cast(kind)
     rows = (events.where("event_type = 'client_performance'")
-            .where(F.col("created_at").cast("timestamp") >= F.lit(as_of).cast("timestamp") - F.make_dt_interval(hours=F.lit(hours)))
+            .where(F.col("created_at") >= F.date_format(F.lit(as_of).cast("timestamp") - F.make_dt_interval(hours=F.lit(hours)), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
             .select(F.get_json_object("event_data", "$.path").alias("path"), field("lcp_ms", "int").alias("lcp"),
                     field("cls", "double").alias("cls"), field("max_event_ms", "int").alias("inp"))
             .where("lcp is not null"))
     p = (lambda c, q: F.percentile(c, q)) if exact else (lambda c, q: F.percentile_approx(c, q, 10000).cast("double"))
-    return rows.groupBy("path").agg(p("lcp", 0.5).alias("lcp_p50"), p("lcp", 0.75).alias("lcp_p75"),
-                                    p("lcp", 0.95).alias("lcp_p95"), p("cls", 0.75).alias("cls_p75"),
-                                    p("inp", 0.75).alias("inp_p75"), F.count("*").alias("sample_count"))
+    aggs = [p("lcp", 0.5).alias("lcp_p50"), p("lcp", 0.75).alias("lcp_p75"), p("lcp", 0.95).alias("lcp_p95"), p("inp", 0.75).alias("inp_p75"),
+            F.count("*").alias("sample_count")]
+    if not exact:
+        return rows.groupBy("path").agg(*aggs, p("cls", 0.75).alias("cls_p75"))
+    shift = exact_percentiles(rows, ["path"], "cls", {"cls_p75": 0.75})
+    return rows.groupBy("path").agg(*aggs).join(shift, "path", "left")
 
 
 def category_stats(articles: DataFrame, today: str) -> DataFrame:

@@ -77,3 +77,17 @@ def positions(rows: DataFrame, by: list[str], key: str, name: str) -> DataFrame:
     on = [F.col("_r") == F.col("_r2")] + [F.col(c).eqNullSafe(F.col(f"_b{i}")) for i, c in enumerate(by)]
     joined = cut.withColumn("_in", F.row_number().over(inside)).join(offsets, on)
     return joined.withColumn(name, F.col("_in") + F.col("_off") - 1).select(*rows.columns, name)
+
+
+def exact_percentiles(rows: DataFrame, by: list[str], key: str, shares: dict[str, float]) -> DataFrame:
+    """(by, one column for each share): interpolated percentiles from positions over ranges.
+
+    Unlike an aggregate that keeps every distinct value of a group, no task holds a whole group.
+    """
+    run = running_total(rows.select(*by, key).where(F.col(key).isNotNull()).withColumn("_w", F.lit(1)), by, key, "_w")
+    size = run.groupBy(*by).agg(F.max("upto").alias("_n"))
+    placed = run.join(F.broadcast(size) if not by else size, by if by else F.lit(True))
+    at = {n: (F.col("_n") - 1) * F.lit(q) for n, q in shares.items()}
+    value = lambda place: F.min(F.when(F.col("upto") > place, F.col(key)))
+    ends = placed.groupBy(*by, "_n").agg(*[c for n, a in at.items() for c in (value(F.floor(a)).alias(f"_lo_{n}"), value(F.ceil(a)).alias(f"_hi_{n}"))])
+    return ends.select(*by, *[(F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * (a - F.floor(a))).alias(n) for n, a in at.items()])

@@ -1,7 +1,7 @@
 """Batch scoring of the two attention encoders with NumPy inside tasks.
 
-Weights are a small dictionary of arrays (a few MB), shipped once per executor as a
-broadcast variable.  Without weights the fallback is the normalised base vector.
+Weights are a small dictionary of arrays, shipped once per executor as a broadcast variable; more than
+MAX_WEIGHT_BYTES of them are refused.  Without weights the fallback is the normalised base vector.
 """
 from __future__ import annotations
 
@@ -15,6 +15,17 @@ from ..functions import vectors as X
 VECTOR = T.ArrayType(T.DoubleType())
 
 
+#: What a model may take of every executor's memory.
+MAX_WEIGHT_BYTES = 256 << 20
+
+
+def _shared(spark, weights: dict):
+    size = sum(np.asarray(v).nbytes for v in weights.values())
+    if size > MAX_WEIGHT_BYTES:
+        raise ValueError(f"the weights take {size} bytes, more than the {MAX_WEIGHT_BYTES} that are broadcast")
+    return spark.sparkContext.broadcast(weights)
+
+
 def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.maximum(np.linalg.norm(m, axis=-1, keepdims=True), 1e-12)
 
@@ -31,18 +42,22 @@ def news_vector(w: dict, title: np.ndarray, summary: np.ndarray, onehot: np.ndar
     return _unit((views * _softmax(logits, 1)).sum(axis=1))
 
 
-def user_vector(w: dict, seq: np.ndarray, heads: int = 8) -> np.ndarray:
-    """Self-attention, residual layer norm and additive pooling over one reading sequence (n x dim)."""
-    n, dim = seq.shape
+def user_vectors(w: dict, seqs: np.ndarray, heads: int = 8) -> np.ndarray:
+    """Self-attention, residual layer norm and additive pooling over reading sequences of one length (batch x n x dim)."""
+    batch, n, dim = seqs.shape
     part = dim // heads
-    q, k, v = np.split(seq @ w["in_w"].T + w["in_b"], 3, axis=1)
-    split = lambda m: m.reshape(n, heads, part).transpose(1, 0, 2)
-    att = _softmax(split(q) @ split(k).transpose(0, 2, 1) / np.sqrt(part), 2) @ split(v)
-    att = att.transpose(1, 0, 2).reshape(n, dim) @ w["out_w"].T + w["out_b"]
-    h = seq + att
-    h = (h - h.mean(axis=1, keepdims=True)) / np.sqrt(h.var(axis=1, keepdims=True) + 1e-5) * w["norm_w"] + w["norm_b"]
+    q, k, v = np.split(seqs @ w["in_w"].T + w["in_b"], 3, axis=2)
+    split = lambda m: m.reshape(batch, n, heads, part).transpose(0, 2, 1, 3)
+    att = _softmax(split(q) @ split(k).transpose(0, 1, 3, 2) / np.sqrt(part), 3) @ split(v)
+    att = att.transpose(0, 2, 1, 3).reshape(batch, n, dim) @ w["out_w"].T + w["out_b"]
+    h = seqs + att
+    h = (h - h.mean(axis=2, keepdims=True)) / np.sqrt(h.var(axis=2, keepdims=True) + 1e-5) * w["norm_w"] + w["norm_b"]
     scores = np.tanh(h @ w["pool_w"].T + w["pool_b"]) @ w["pool_q"].T
-    return _unit((h * _softmax(scores, 0)).sum(axis=0))
+    return _unit((h * _softmax(scores, 1)).sum(axis=1))
+
+
+def user_vector(w: dict, seq: np.ndarray, heads: int = 8) -> np.ndarray:
+    return user_vectors(w, seq[None], heads)[0]
 
 
 def encode_articles(articles: DataFrame, weights: dict | None = None, dim: int = 64) -> DataFrame:
@@ -52,7 +67,7 @@ def encode_articles(articles: DataFrame, weights: dict | None = None, dim: int =
     if weights is None:
         base = [F.col(c) for c in ("learned_embedding", "embedding") if c in articles.columns]
         return articles.select("article_id", X.l2_normalize(F.coalesce(*base, zeros)).alias("vector"))
-    shared = articles.sparkSession.sparkContext.broadcast(weights)
+    shared = _shared(articles.sparkSession, weights)
     summary = F.coalesce("embedding", zeros)
     title = F.coalesce("title_embedding", summary) if "title_embedding" in articles.columns else summary
 
@@ -67,14 +82,20 @@ def encode_articles(articles: DataFrame, weights: dict | None = None, dim: int =
 def _pooled(dim: int, weights):
     @F.pandas_udf(VECTOR)
     def pool(flat: pd.Series) -> pd.Series:
-        out = []
-        for values in flat:
-            seq = np.asarray(values, dtype=np.float64).reshape(-1, dim)
+        # sequences of one length are one product; there are at most HISTORY_SIZE lengths
+        size = flat.map(len).to_numpy() // dim
+        out = np.empty(len(flat), dtype=object)
+        for n in np.unique(size):
+            at = np.flatnonzero(size == n)
+            seqs = np.stack([np.asarray(v, dtype=np.float64) for v in flat.iloc[at]]).reshape(len(at), n, dim)
             if weights is None:
-                mean = seq.mean(axis=0)
-                out.append(mean / n if (n := np.linalg.norm(mean)) > 0 else mean)
+                mean = seqs.mean(axis=1)
+                length = np.linalg.norm(mean, axis=1, keepdims=True)
+                rows = mean / np.where(length > 0, length, 1.0)
             else:
-                out.append(user_vector(weights.value, seq))
+                rows = user_vectors(weights.value, seqs)
+            for i, row in zip(at, rows):
+                out[i] = row
         return pd.Series(out, dtype=object)
     return pool
 
@@ -88,7 +109,7 @@ def encode_users(history: DataFrame, vectors: DataFrame, subject: str, weights:
     rows = (history.where(F.col("hpos") <= K.HISTORY_SIZE).join(vectors.select("article_id", "vector"), "article_id", "left")
             .withColumn("vector", F.coalesce("vector", zeros)))
     seq = rows.groupBy(subject).agg(F.array_sort(F.collect_list(F.struct((-F.col("hpos")).alias("o"), "vector"))).alias("seq"))
-    shared = None if weights is None else history.sparkSession.sparkContext.broadcast(weights)
+    shared = None if weights is None else _shared(history.sparkSession, weights)
     flat = F.flatten(F.transform("seq", lambda s: s["vector"]))
     return seq.select(subject, _pooled(dim, shared)(flat).alias("user_vector"))
 
