@@ -1,7 +1,6 @@
 """Helpers of the operators: word arrays over Arrow text columns, column-adding maps, written intermediates."""
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -10,6 +9,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
+from ..session import drop_written, write_once
+
 #: Text bytes that one vectorised step works on; a longer document is a step of its own.
 CHUNK_BYTES = 3 << 20
 
@@ -26,27 +27,8 @@ LOWER_BYTES = LOWER.tobytes()
 
 # --- sessions and intermediates -------------------------------------------------------------------
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; where it is unset (tests), a folder in the warehouse."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return (named or spark.conf.get("spark.sql.warehouse.dir") + "/_work").rstrip("/")
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Written once below the shared folder and read back: cuts lineage and survives lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out.saved_at = path
-    return out
-
-
-def forget(*frames: DataFrame) -> None:
-    """Delete the files of saved() frames that nothing reads any more."""
-    for df in frames:
-        jvm = df.sparkSession._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df.saved_at)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+#: An intermediate written once below the shared folder and read back (survives lost executors), and its removal.
+saved, forget = write_once, drop_written
 
 
 def parts(spark: SparkSession) -> int:
@@ -87,11 +69,11 @@ def pieces_of(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
         at = to
 
 
-def runs(data: np.ndarray, offsets: np.ndarray, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Maximal runs of kept bytes inside each text: (starts, ends, index of each text's first run)."""
+def runs(data: np.ndarray, offsets: np.ndarray, kept: np.ndarray, cuts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal runs of kept bytes inside each text: (starts, ends, index of each text's first run); cuts: flags of places that end a run."""
     inside = kept[data]
     before, after = np.concatenate(([False], inside)), np.concatenate((inside, [False]))
-    cut = np.zeros(len(data) + 1, bool)
+    cut = np.zeros(len(data) + 1, bool) if cuts is None else cuts.copy()
     cut[offsets] = True
     starts = np.flatnonzero(after & (~before | cut))
     ends = np.flatnonzero(before & (~after | cut))

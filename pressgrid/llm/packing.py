@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
-from .arrays import SPACED, forget, parts, pieces_of, runs, saved, span_hashes, text_bytes, tidy
+from .arrays import LOWER, SPACED, forget, parts, pieces_of, runs, saved, span_hashes, text_bytes, tidy
 
 CAPACITY = 4096
 END_ID = 1
@@ -37,16 +37,53 @@ def tokenizer_path() -> str:
     return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
+# classes of bytes: white space, letter, digit, other ASCII, apostrophe, part of any other character
+_SPACE, _LETTER, _DIGIT, _OTHER, _APOSTROPHE, _UNKNOWN = range(6)
+_CLASS = np.full(256, _UNKNOWN, np.uint8)
+_CLASS[:128] = _OTHER
+_CLASS[~SPACED] = _SPACE
+_CLASS[ord("'")] = _APOSTROPHE
+_CLASS[48:58] = _DIGIT
+_CLASS[65:91] = _CLASS[97:123] = _LETTER
+#: Neighbouring classes between which the tokenizer always starts a new piece.
+_PARTS = np.zeros((6, 6), bool)
+_PARTS[_DIGIT, 1:5] = _PARTS[1:5, _DIGIT] = True
+_PARTS[_LETTER, [_OTHER, _APOSTROPHE]] = _PARTS[_OTHER, _LETTER] = True
+
+
+#: The signs for times and divided by, and a capital whose small form is more than one letter.
+_NO_LETTERS = np.array([0xC397, 0xC3B7, 0xC4B0], np.uint16)
+
+
+def cuts(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Flags of the places inside words where a new piece always starts, and of bytes that may take part in several pieces.
+
+    Letters of ASCII and of U+00C0 to U+023F count as such; next to any other character nothing is cut.
+    """
+    kind = _CLASS[data]
+    lead = np.flatnonzero((data[:-1] >= 0xC3) & (data[:-1] <= 0xC8))
+    pair = data[lead].astype(np.uint16) << 8 | data[lead + 1]
+    lead = lead[~np.isin(pair, _NO_LETTERS)]
+    kind[lead] = kind[lead + 1] = _LETTER
+    out = np.zeros(len(data) + 1, bool)
+    out[1:-1] = _PARTS.reshape(-1)[kind[:-1] * np.uint8(6) + kind[1:]]
+    return out, kind >= _APOSTROPHE
+
+
 class WordTokens:
-    """Token ids of texts by way of their words.
+    """Token ids of texts by way of parts of their words.
 
-    The tokenizer's pieces never cross white space, so a text's ids are those of its words in a row;
-    each distinct word is encoded once while it stays in the store.
+    The tokenizer lowers case and its pieces cross neither white space nor the places of cuts(), so a
+    text's ids are those of its parts in a row; each distinct part is encoded once while it stays in the store.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.encoder = Tokenizer.from_file(path)
+        names = self.encoder.get_vocab(with_added_tokens=True)
+        #: Tokens that end a piece.
+        self.is_end = np.zeros(max(names.values()) + 1, bool)
+        self.is_end[[k for name, k in names.items() if name.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
@@ -54,29 +91,50 @@ class WordTokens:
         self.begin, self.size = np.zeros(1, np.int64), np.zeros(1, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
-    def learn(self, hashes: list[int], words: list[bytes]) -> None:
-        place = np.cumsum([0] + [len(w.decode("utf-8", "replace")) + 1 for w in words])
-        encoded = self.encoder.encode(" ".join(w.decode("utf-8", "replace") for w in words), add_special_tokens=False)
+    def _sizes(self, words: list[str], single: bool) -> tuple[list[int], np.ndarray]:
+        """(ids of the words in a row, how many each has); single: every word is one piece of the tokenizer."""
+        text = " ".join(words)
+        if single:
+            ids = self.encoder.encode_batch_fast([text], add_special_tokens=False)[0].ids
+            stop = np.flatnonzero(self.is_end[ids])
+            if len(stop) == len(words) and stop[-1] == len(ids) - 1:
+                return ids, np.diff(stop, prepend=-1)
+        place = np.cumsum([0] + [len(w) + 1 for w in words])
+        encoded = self.encoder.encode(text, add_special_tokens=False)
         at = np.fromiter((a for a, _ in encoded.offsets), np.int64, len(encoded.ids))
-        size = np.bincount(np.searchsorted(place, at, side="right") - 1, minlength=len(words))
-        n = len(self.slot)
-        self.slot.update(zip(hashes, range(n, n + len(words))))
-        begin = len(self.ids) + np.cumsum(size) - size
-        self.begin, self.size = np.concatenate((self.begin[:n], begin, [0])), np.concatenate((self.size[:n], size, [0]))
-        self.ids = np.concatenate((self.ids, np.array(encoded.ids, np.uint32)))
+        return encoded.ids, np.bincount(np.searchsorted(place, at, side="right") - 1, minlength=len(words))
+
+    def learn(self, hashes: list[int], words: list[str], single: np.ndarray) -> None:
+        for kind in (True, False):
+            some = np.flatnonzero(single == kind).tolist()
+            if not some:
+                continue
+            ids, size = self._sizes([words[k] for k in some], kind)
+            n = len(self.slot)
+            self.slot.update(zip([hashes[k] for k in some], range(n, n + len(some))))
+            begin = len(self.ids) + np.cumsum(size) - size
+            self.begin, self.size = np.concatenate((self.begin[:n], begin, [0])), np.concatenate((self.size[:n], size, [0]))
+            self.ids = np.concatenate((self.ids, np.array(ids, np.uint32)))
 
     def encode(self, column: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each followed by end_id; bounds of the texts)."""
         data, offsets = text_bytes(column)
-        starts, ends, first = runs(data, offsets, SPACED)
+        # the tokenizer's own marks are found before case is lowered and would be cut: such texts go by whole words
+        plain = len(data) > 1 and bool(((data[:-1] == ord("<")) & (data[1:] == ord("|"))).any())
+        if not plain:
+            data = LOWER[data]
+        places, mixed = (None, np.ones(len(data), bool)) if plain or not len(data) else cuts(data)
+        starts, ends, first = runs(data, offsets, SPACED, places)
         distinct, at, which = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
         keys = distinct.tolist()
         if len(self.slot) + len(keys) > CACHED_WORDS:
             self.clear()
         new = [k for k, h in enumerate(keys) if h not in self.slot]
         if new:
-            raw = data.tobytes()
-            self.learn([keys[k] for k in new], [raw[starts[at[k]]:ends[at[k]]] for k in new])
+            raw, place = data.tobytes(), at[new]
+            bound = np.concatenate(([0], np.cumsum(mixed)))
+            a, b = starts[place], ends[place]
+            self.learn([keys[k] for k in new], [raw[x:y].decode() for x, y in zip(a.tolist(), b.tolist())], bound[a] == bound[b])
         slots = np.fromiter(map(self.slot.__getitem__, keys), np.int64, len(keys))
         words = np.insert(slots[which], first[1:], len(self.slot)) if len(which) else np.full(len(first) - 1, len(self.slot))
         end_slot = words == len(self.slot)
