@@ -104,11 +104,13 @@ def invariant_failures(results: DataFrame) -> DataFrame:
 def _cells(rows: DataFrame, score: str, label: str, by: list[str]) -> DataFrame:
     """Counts of distinct (group, score, label) values, combined map-side and written once.
 
+    Rows that stand for several (column n_rows) count as many.
+
     Everything after this works on the distinct values only.
     """
     return write_once(rows.where(F.col(score).isNotNull() & F.col(label).isNotNull())
                        .groupBy(*by, F.col(score).cast("double").alias("s"), F.col(label).cast("double").alias("l"))
-                       .agg(F.count("*").alias("n")))
+                       .agg((F.sum("n_rows") if "n_rows" in rows.columns else F.count("*")).alias("n")))
 
 
 def _spearman(cells: DataFrame, by: list[str]) -> DataFrame:
@@ -242,8 +244,13 @@ def with_alphas(rows: DataFrame, base: str = "base_score", fact: str = "fact_sco
     return out.withColumn("blend", mix)
 
 
+def _counted(rows: DataFrame, by: list[str] = ()) -> DataFrame:
+    """Distinct (by, label, base, fact) cells with n_rows: the fan-outs copy cells, not rows."""
+    return rows.groupBy(*by, "label", "base_score", "fact_score").agg(F.count("*").alias("n_rows"))
+
+
 def blend_sweep(rows: DataFrame) -> DataFrame:
-    return rank_metrics(with_alphas(rows), "blend", "label", ["alpha"])
+    return rank_metrics(with_alphas(_counted(rows)), "blend", "label", ["alpha"])
 
 
 def stratified_folds(rows: DataFrame, folds: int = 5) -> DataFrame:
@@ -258,7 +265,7 @@ def blend_cross_validation(folded: DataFrame, folds: int = 5) -> tuple[DataFrame
     Spearman, the smaller alpha on ties.
     """
     blended = with_alphas(folded)
-    train = blended.withColumn("held", F.explode(F.array(*[F.lit(i) for i in range(folds)]))).where("held <> fold")
+    train = with_alphas(_counted(folded, ["fold"])).withColumn("held", F.explode(F.array(*[F.lit(i) for i in range(folds)]))).where("held <> fold")
     m = rank_metrics(train, "blend", "label", ["held", "alpha"])
     base = m.where("alpha = 0").select("held", F.col("extreme_auc").alias("base_auc"))
     ok = m.join(base, "held").where("extreme_auc is null or base_auc is null or extreme_auc >= base_auc")
