@@ -12,7 +12,10 @@ QUICK = ["session_funnel", "daily_active_sessions", "top_viewed_articles", "reco
          "weight_sensitivity", "binary_metrics", "blend_cross_validation", "hybrid_search", "related_articles", "near_duplicate_pairs",
          "title_similarity_anti_join", "best_candidate_match", "recommend", "encoder_candidates", "temporal_samples", "legacy_samples",
          "offline_replay", "best_weights", "retrieval_metrics", "extractive_highlights", "build_eval_set", "read_jsonl", "read_csv_strings",
-         "append_jsonl_resume", "stream_event_log", "stream_impression_batches", "stream_positive_dedupe", "stream_history_state"]
+         "append_jsonl_resume", "stream_event_log", "stream_impression_batches", "stream_positive_dedupe", "stream_history_state",
+         "stream_recommendation_ctr", "stream_web_vitals", "redact_json", "clean_news_body", "greedy_near_dup_in_store", "greedy_near_dup_in_batch",
+         "ingest_clean_dedupe", "chunk_invariants", "html_text_squeezed", "append_event_log", "invariant_failures", "embedding_alignment",
+         "encode_articles_attention", "weight_grid_search", "near_duplicate_pairs_low_threshold"]
 
 
 def test_every_query_is_callable_and_sql_belongs_to_a_query():

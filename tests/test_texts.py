@@ -15,7 +15,12 @@ from pressgrid.sources import pages as PG
 def test_chunks_hold_the_limits(text):
     chunks = A.chunk_text(text)
     assert all(0 < len(c) <= 400 for c in chunks)
-    assert set("".join(chunks).split() and re.sub(r"\s", "", text)) <= set(re.sub(r"\s", "", text))
+    start, end = -1, 0
+    for c in chunks:  # in order, and nothing but blanks between two chunks
+        at = text.index(c, max(start + 1, end - 150))
+        assert not text[end:at].strip()
+        start, end = at, at + len(c)
+    assert not text[end:].strip()
 
 
 def test_chunks_cover_and_overlap():
