@@ -1,8 +1,8 @@
 """Interaction samples from behaviour logs.
 
 Subjects can be extremely uneven (all guests share one), so the log is cut into blocks by
-(subject, time).  A block starts with the state its subject had before: the articles already
-read, the last 20 reads and the latest unread impressions.  With that state every block can
+(subject, time).  A block starts with the state its subject had before: the last 20 reads and the
+newest items on show that its positives can ask for.  With that state every block can
 be replayed on its own, in one sorted pass.
 """
 from __future__ import annotations
@@ -100,24 +100,22 @@ _ROW = ["subject", "blk", "phase", "created_at", "kind", "ids", "pos", "article_
 
 
 def _replay(history_size: int, negative_count: int):
+    """One block after another: phase 1 rows are the last reads before it, phase 2 rows the items on show at its start."""
     def scan(batches):
-        at, read, recent, shown = None, set(), [], OrderedDict()
+        at, recent, shown = None, [], OrderedDict()
         for b in batches:
             out = []
-            for subject, blk, phase, when, kind, ids, art in zip(b["subject"], b["blk"], b["phase"], b["created_at"], b["kind"], b["ids"], b["article_id"]):
+            for subject, blk, phase, when, kind, alive, art in zip(b["subject"], b["blk"], b["phase"], b["created_at"], b["kind"], b["alive"], b["article_id"]):
                 if (subject, blk) != at:
-                    at, read, recent, shown = (subject, blk), set(), [], OrderedDict()
-                if phase == 0:
-                    read.add(art)
-                elif phase == 1:
+                    at, recent, shown = (subject, blk), [], OrderedDict()
+                if phase == 1:
                     recent.append(art)
                 elif phase == 2:
                     shown[art] = None
                 elif kind == 0:
-                    for i in ids:
-                        if i not in read:
-                            shown[i] = None
-                            shown.move_to_end(i)
+                    for i in alive:
+                        shown[i] = None
+                        shown.move_to_end(i)
                 else:
                     if recent:
                         latest = []
@@ -129,7 +127,6 @@ def _replay(history_size: int, negative_count: int):
                         if len(latest) == negative_count:
                             out.append((subject, when, art, list(recent), latest))
                     recent = (recent + [art])[-history_size:]
-                    read.add(art)
                     shown.pop(art, None)
             yield pd.DataFrame(out, columns=["subject", "event_at", "positive", "history", "negatives"], dtype=object)
     return scan
@@ -138,59 +135,93 @@ def _replay(history_size: int, negative_count: int):
 def temporal_samples(events: DataFrame, feedback: DataFrame, allowed: DataFrame | None = None, history_size: int = K.HISTORY_SIZE,
                      negative_count: int = 4, seconds: int = DEDUPE_SECONDS) -> DataFrame:
     """(subject, event_at, positive, history, negatives): only impressions seen before a positive are
-    its negatives, newest first; positives without history or with too few negatives give no sample."""
+    its negatives, newest first; positives without history or with too few negatives give no sample.
+
+    An item leaves the show with its first read, which is known beforehand: every impression carries only
+    the items that have not been read before it, so no task keeps the set of all reads.
+    """
     seen, positives = actions(events, feedback, allowed)
-    kept = kept_positives(positives, seconds)
-    empty = F.expr(_NO_IDS)
+    kept = write_once(kept_positives(positives, seconds), "positives")
+    first = kept.groupBy("subject", "article_id").agg(F.min("created_at").alias("first_read"))
+    items = seen.distinct().select("subject", "created_at", "ids", F.posexplode("ids").alias("p", "article_id")).join(first, ["subject", "article_id"], "left")
+    item = F.struct("p", F.col("article_id").alias("a"), F.col("first_read").alias("d"))
+    fresh = (items.where("first_read is null or first_read >= created_at").groupBy("subject", "created_at", "ids")
+             .agg(F.array_sort(F.collect_list(item)).alias("items")))  # an impression holds a handful of items
     null = F.lit(None).cast("string")
-    rows = seen.select("subject", "created_at", F.lit(0).alias("kind"), "ids", null.alias("article_id")).unionByName(
-        kept.select("subject", "created_at", F.lit(1).alias("kind"), empty.alias("ids"), "article_id"))
-    keyed = write_once(rows.withColumn("key", F.concat("subject", F.lit("\u0001"), "created_at")))
-    keyed = keyed.withColumn("blk", range_number(F.col("key"), splitters(keyed, "key"))).drop("key")
-    base = keyed.select("subject", "blk", F.lit(3).alias("phase"), "created_at", "kind", "ids", F.lit(0).alias("pos"), "article_id")
+    no_items = F.expr("cast(array() as array<struct<p: int, a: string, d: string>>)")
+    rows = fresh.select("subject", "created_at", F.lit(0).alias("kind"), "ids", "items", null.alias("article_id")).unionByName(
+        kept.select("subject", "created_at", F.lit(1).alias("kind"), F.expr(_NO_IDS).alias("ids"), no_items.alias("items"), "article_id"))
+    keyed = write_once(rows.withColumn("key", F.concat("subject", F.lit("\u0001"), "created_at")), "actions")
+    keyed = write_once(keyed.withColumn("blk", range_number(F.col("key"), splitters(keyed, "key"))).drop("key"), "blocks")
+    base = keyed.select("subject", "blk", F.lit(3).alias("phase"), "created_at", "kind", "ids", F.transform("items", lambda x: x["a"]).alias("alive"),
+                        F.lit(0).alias("pos"), "article_id")
     state = _entry_state(keyed, history_size, negative_count)
     ordered = base.unionByName(state).repartition("subject", "blk").sortWithinPartitions(*_ROW)
     return ordered.mapInPandas(_replay(history_size, negative_count),
                                "subject string, event_at string, positive string, history array<string>, negatives array<string>")
 
 
+def pruned(shown: list[tuple], most: int) -> list[tuple]:
+    """Of (item, first read) from the newest on, those that can still be among the ``most`` newest later: items
+    that are never read stay on show for good, so nothing behind ``most`` of them can come up again."""
+    out, lasting = [], 0
+    for item in shown:
+        if lasting == most:
+            break
+        out.append(item)
+        lasting += item[1] is None
+    return out
+
+
+def _on_show():
+    """Fold over the blocks of a subject: the newest unread items at the start of each, as many as it can ask for."""
+    def fold(batches):
+        at, shown = None, []
+        for b in batches:
+            out = []
+            for subject, blk, opens, asks, most, items in zip(b["subject"], b["blk"], b["opens"], b["asks"], b["most"], b["items"]):
+                if subject != at:
+                    at, shown = subject, []
+                shown = [x for x in shown if x[1] is None or x[1] >= opens]
+                out += [(subject, blk, len(shown) - n, a) for n, (a, _) in enumerate(shown[:asks])]
+                new = [(x["a"], x["d"]) for x in items]
+                again = {a for a, _ in new}
+                shown = pruned(new + [x for x in shown if x[0] not in again], most)
+            yield pd.DataFrame(out, columns=["subject", "blk", "pos", "article_id"], dtype=object)
+    return fold
+
+
 def _entry_state(keyed: DataFrame, history_size: int, negative_count: int) -> DataFrame:
     """Rows that give every later block of a subject its starting state.
 
-    Only subjects cut by a block border have any: at most one per border.
+    Only subjects cut by a block border have any: at most one per border.  A block gets history_size
+    reads and as many items as its positives can ask for, so the rows are linear in the log.
     """
-    empty, null = F.expr(_NO_IDS), F.lit(None).cast("string")
-    span = keyed.groupBy("subject").agg(F.min("blk").alias("lo"), F.max("blk").alias("hi")).where("lo < hi")
-    # at most one subject per block border
-    part = keyed.join(F.broadcast(span), "subject")
-    reads = part.where("kind = 1")
-    later = lambda start, stop: F.explode(F.sequence(start, stop))
-    blocks = part.select("subject", "blk").distinct()
-
-    first_read = reads.groupBy("subject", "article_id", "hi").agg(F.min("blk").alias("b0"))
-    read = (first_read.where("b0 < hi").withColumn("blk", later(F.col("b0") + 1, F.col("hi"))).join(blocks, ["subject", "blk"], "left_semi")
-            .select("subject", "blk", F.lit(0).alias("phase"), F.lit("").alias("created_at"), F.lit(0).alias("kind"), empty.alias("ids"),
-                    F.lit(0).alias("pos"), "article_id"))
+    span = keyed.groupBy("subject").agg(F.min("blk").alias("lo"), F.max("blk").alias("hi")).where("lo < hi").select("subject")
+    part = keyed.join(F.broadcast(span), "subject")  # at most one subject per block border
+    blocks = part.groupBy("subject", "blk").agg(F.min("created_at").alias("opens"), (F.sum("kind") + negative_count).cast("int").alias("asks"))
+    state = lambda phase, when: [F.lit(phase).alias("phase"), when.alias("created_at"), F.lit(phase).alias("kind"), F.expr(_NO_IDS).alias("ids"), F.expr(_NO_IDS).alias("alive")]
 
+    # the last reads up to the end of each block with reads, then of the nearest such block before
     newest = W.partitionBy("subject", "blk").orderBy(F.col("created_at").desc(), F.col("article_id").desc())
-    tails = reads.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= history_size).where("blk < hi")
-    spread = tails.withColumn("blk", later(F.col("blk") + 1, F.col("hi"))).join(blocks, ["subject", "blk"], "left_semi")
-    recent = spread.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= history_size).select(
-        "subject", "blk", F.lit(1).alias("phase"), "created_at", F.lit(1).alias("kind"), empty.alias("ids"), F.lit(0).alias("pos"), "article_id")
-
-    items = part.where("kind = 0").select("subject", "blk", "hi", "created_at", "ids", F.posexplode("ids").alias("p", "item"))
-    last = items.groupBy("subject", "blk", "hi", "item").agg(F.max(F.struct("created_at", "ids", "p")).alias("l"))
-    nxt = F.lead("blk").over(W.partitionBy("subject", "item").orderBy("blk"))
-    held = last.withColumn("until", F.coalesce(nxt, F.col("hi"))).where("blk < until").withColumn("blk", later(F.col("blk") + 1, F.col("until")))
-    held = held.join(blocks, ["subject", "blk"], "left_semi")
-    gone = first_read.select("subject", F.col("article_id").alias("item"), "b0")
-    held = held.join(gone, ["subject", "item"], "left").where("b0 is null or b0 >= blk")
-    need = part.groupBy("subject", "blk").agg(F.sum("kind").alias("n_pos"))
-    held = held.join(need, ["subject", "blk"]).withColumn("_n", F.row_number().over(W.partitionBy("subject", "blk").orderBy(F.col("l").desc())))
-    shown = held.where(F.col("_n") <= F.col("n_pos") + negative_count).select(
-        "subject", "blk", F.lit(2).alias("phase"), F.col("l.created_at").alias("created_at"), F.lit(0).alias("kind"), F.col("l.ids").alias("ids"),
-        F.col("l.p").alias("pos"), F.col("item").alias("article_id"))
-    return read.unionByName(recent).unionByName(shown)
+    tails = (part.where("kind = 1").withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= history_size)
+             .groupBy("subject", "blk").agg(F.array_sort(F.collect_list(F.struct("created_at", "article_id"))).alias("tail")))
+    upto = W.partitionBy("subject").orderBy("blk").rowsBetween(-history_size + 1, 0)
+    reads = F.flatten(F.collect_list("tail").over(upto))
+    tails = tails.withColumn("carry", F.slice(reads, F.greatest(F.size(reads) - history_size + 1, F.lit(1)), F.lit(history_size)))
+    before = F.last("carry", ignorenulls=True).over(W.partitionBy("subject").orderBy("blk").rowsBetween(W.unboundedPreceding, -1))
+    carried = blocks.select("subject", "blk").join(tails.select("subject", "blk", "carry"), ["subject", "blk"], "left").withColumn("carry", before)
+    recent = carried.select("subject", "blk", F.inline("carry")).select(
+        "subject", "blk", *state(1, F.col("created_at")), F.lit(0).alias("pos"), "article_id")
+
+    # the newest impression of every item in a block, newest first
+    most = blocks.withColumn("most", F.max("asks").over(W.partitionBy("subject")))
+    last = (part.where("kind = 0").select("subject", "blk", "created_at", "ids", F.inline("items"))
+            .groupBy("subject", "blk", "a").agg(F.max(F.struct("created_at", "ids", "p")).alias("l"), F.first("d").alias("d")))
+    lists = last.groupBy("subject", "blk").agg(F.transform(F.reverse(F.array_sort(F.collect_list(F.struct("l", "a", "d")))), lambda x: F.struct(x["a"].alias("a"), x["d"].alias("d"))).alias("items"))
+    steps = most.join(lists, ["subject", "blk"], "left").withColumn("items", F.coalesce("items", F.expr("cast(array() as array<struct<a: string, d: string>>)")))
+    shown = steps.repartition("subject").sortWithinPartitions("subject", "blk").mapInPandas(_on_show(), "subject string, blk int, pos int, article_id string")
+    return recent.unionByName(shown.select("subject", "blk", *state(2, F.lit("")), "pos", "article_id"))
 
 
 def legacy_samples(events: DataFrame, feedback: DataFrame, catalog: DataFrame, history_size: int = K.HISTORY_SIZE,

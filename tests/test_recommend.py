@@ -105,3 +105,23 @@ def test_encoders_give_unit_vectors(spark):
     h = spark.createDataFrame([("u", str(i), i + 1) for i in range(6)], "request_id string, article_id string, hpos int")
     u = E.encode_users(h, v, "request_id", w, 16).first()["user_vector"]
     assert len(u) == 16 and np.isclose(np.linalg.norm(u), 1.0)
+
+
+def test_entry_state_is_linear_in_the_log(spark):
+    """A subject over many blocks: each block starts with at most the last reads and what its positives can ask for."""
+    import random
+    from pressgrid.plans import samples as S
+    rnd = random.Random(2)
+    rows, n_pos, blocks = [], 0, 40
+    for b in range(blocks):
+        for k in range(30):
+            at = f"2024-01-01T{b // 60:02d}:{b % 60:02d}:{k:02d}"
+            if rnd.random() < 0.1:
+                n_pos += 1
+                rows.append(("s", b, at, 1, [], [], f"a{rnd.randint(0, 400)}"))
+            else:
+                shown = [f"a{rnd.randint(0, 400)}" for _ in range(5)]
+                rows.append(("s", b, at, 0, shown, [(p, a, None) for p, a in enumerate(shown)], None))
+    keyed = spark.createDataFrame(rows, "subject string, blk int, created_at string, kind int, ids array<string>, items array<struct<p: int, a: string, d: string>>, article_id string")
+    assert S._entry_state(keyed, 20, 4).count() <= blocks * (20 + 4) + n_pos
+    assert S.pruned([("a", None), ("b", "t"), ("c", None), ("d", "t"), ("e", None)], 2) == [("a", None), ("b", "t"), ("c", None)]
