@@ -280,8 +280,8 @@ def _unread_catalog(positives: DataFrame, negatives: DataFrame, catalog: DataFra
     reads = positives.groupBy("subject", "article_id").agg(F.min("ord").alias("first"))
     short = reads.groupBy("subject").agg(F.count("*").alias("m")).join(negatives.where(F.size("neg") >= need).select("subject"), "subject", "left_anti")
     hashed = catalog.select("article_id").distinct().withColumn("h", F.concat(F.sha2(F.concat(F.lit(seed), F.lit("|"), F.col("article_id")), 256), "article_id"))
-    placed = positions(hashed, [], "h", "place").select(F.col("article_id").alias("a"), "h", F.col("place").cast("int").alias("place"))
-    rows = short.select("subject", F.explode(F.sequence(F.lit(0), (F.col("m") + need).cast("int"))).alias("place")).join(placed, "place")
+    placed = positions(hashed, [], "h", "place").select(F.col("article_id").alias("a"), "h", F.col("place").cast("long").alias("place"))
+    rows = short.select("subject", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") + need)).alias("place")).join(placed, "place")
     rows = rows.join(reads.withColumnRenamed("article_id", "a"), ["subject", "a"], "left")
     unread = F.sum(F.col("first").isNull().cast("int")).over(W.partitionBy("subject").orderBy("h").rowsBetween(W.unboundedPreceding, -1))
     kept = rows.withColumn("_u", F.coalesce(unread, F.lit(0))).where(F.col("_u") <= need)
