@@ -34,8 +34,8 @@ BROADCAST_TARGETS = 2_000_000
 _START = np.uint64(0x5851F42D4C957F2D)
 _ENTRY = (["<u1", "<i4", "<u4", "<u1"], [False, True, True, True])
 _SUMS = (["<i4", "<f8"], [True, False])
-#: Entries of a shard that are worked off at once.
-STEP = 1 << 18
+#: Shares of a shard's keys that are sorted one after another, and entries that are worked off at once.
+PASSES, STEP = 4, 1 << 18
 
 
 def _chunks(batches, ids: bool = False):
@@ -150,7 +150,6 @@ def _shard_losses(key: np.ndarray, n: np.ndarray, mark: np.ndarray, alpha: float
     order = np.argsort(key).astype(np.uint32)
     ranked = key[order]
     head = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
-    del key, ranked
     out = np.empty((2, len(n)))
     at = 0
     while at < len(head):
@@ -173,19 +172,28 @@ def _total(alpha: float, vocab: int):
         for shard, got in shards.each_shard(batches, ["chunk", "entries", "ids", "tokens", "sums"]):
             meta = [k for k, x in enumerate(got["ids"]) if x is not None]
             if meta:
-                yield shards.rows(names, [[got["chunk"][k] for k in meta], [-1] * len(meta)] + [[got[c][k] for k in meta] for c in ("ids", "tokens", "sums")], types)
+                yield shards.rows(names, [[got["chunk"][k] for k in meta], [-1] * len(meta)] + [[bytes(got[c][k]) for k in meta] for c in ("ids", "tokens", "sums")], types)
             some = [k for k, e in enumerate(got["entries"]) if e is not None]
             if not some:
                 continue
             chunks = [got["chunk"][k] for k in some]
-            cols = [shards.unpack(got["entries"][k], *_ENTRY) for k in some]
+            blobs = [got["entries"][k] for k in some]
             del got
-            key = np.concatenate([shards.from_low_bytes(c[0], 5) for c in cols])
-            doc, n, mark = (np.concatenate([c[i] for c in cols]) for i in (1, 2, 3))
-            bound = np.cumsum([0] + [len(c[1]) for c in cols])
-            del cols
-            terms = _shard_losses(key, n, mark, alpha, vocab)
-            del key
+            doc = [shards.unpack(b, *_ENTRY)[1] for b in blobs]
+            bound = np.cumsum([0] + [len(x) for x in doc])
+            doc, terms = np.concatenate(doc), np.empty((2, bound[-1]))
+            for part in range(PASSES):  # a share of the keys at a time, so that sorting them takes little memory
+                place, key, n, mark = [], [], [], []
+                for at, blob in zip(bound.tolist(), blobs):
+                    low, _, count, kind = shards.unpack(blob, *_ENTRY)
+                    own = np.flatnonzero(low[::5] % PASSES == part)
+                    place.append(own + at)
+                    key.append(shards.from_low_bytes(low.reshape(-1, 5)[own].reshape(-1), 5))
+                    n.append(count[own])
+                    mark.append(kind[own])
+                place = np.concatenate(place)
+                terms[:, place] = _shard_losses(np.concatenate(key), np.concatenate(n), np.concatenate(mark), alpha, vocab)
+            del blobs
             for a in range(0, len(chunks), 64):
                 back = []
                 for k in range(a, min(a + 64, len(chunks))):

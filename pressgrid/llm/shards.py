@@ -31,7 +31,7 @@ def pack(arrays: list[np.ndarray], squeeze: list[bool]) -> bytes:
     return b"".join(out)
 
 
-def unpack(blob: bytes, dtypes: list[str], squeeze: list[bool]) -> list[np.ndarray]:
+def unpack(blob: bytes | memoryview, dtypes: list[str], squeeze: list[bool]) -> list[np.ndarray]:
     out, at = [], 0
     for kind, s in zip(dtypes, squeeze):
         n = struct.unpack_from("<I", blob, at)[0]
@@ -53,18 +53,22 @@ def by_shard(shard: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]
 
 
 def each_shard(batches, columns: list[str]):
-    """Over rows sorted by ``shard``: (shard, {column: list of its values}), one shard at a time."""
+    """Over rows sorted by ``shard``: (shard, {column: list of its values}), one shard at a time.
+
+    Blobs are views of the batches they came in, not copies.
+    """
     now, rows = None, {c: [] for c in columns}
     for batch in batches:
         shard = batch.column("shard").to_numpy()
-        cols = {c: batch.column(c).to_pylist() for c in columns}
-        for k, s in enumerate(shard.tolist()):
-            if s != now and now is not None:
+        starts = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1]))) if len(shard) else []
+        for a, b in zip(starts, [*starts[1:], len(shard)]):
+            if now is not None and shard[a] != now:
                 yield now, rows
                 rows = {c: [] for c in columns}
-            now = s
+            now = int(shard[a])
             for c in columns:
-                rows[c].append(cols[c][k])
+                part = batch.column(c).slice(a, b - a)
+                rows[c] += [memoryview(x.as_buffer()) if x.is_valid else None for x in part] if pa.types.is_binary(part.type) or pa.types.is_large_binary(part.type) else part.to_pylist()
     if now is not None:
         yield now, rows
 
