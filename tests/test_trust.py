@@ -73,5 +73,10 @@ def test_invariant_pairs(spark):
                                   "pair_id string, side string, per_criteria map<string,struct<score:int,reason:string>>")
     pairs = spark.createDataFrame([("P1", "pair", "s", "a_gt_a_prime", None), ("P9", "single", "s", None, [40, 69]), ("P2", "pair", "s", None, None)],
                                   "pair_id string, type string, signal string, expected string, expected_range array<int>")
-    rows = {r["variant"]: r for r in T.invariant_pass_rate(T.pair_results(cache, pairs)).collect()}
-    assert len(rows) == 5 and all(r["cases"] == 2 and r["passed"] == 2 and r["failed_cases"] == "" for r in rows.values())
+    results = T.pair_results(cache, pairs)
+    rows = {r["variant"]: r for r in T.invariant_pass_rate(results).collect()}
+    assert len(rows) == 5 and all(r["cases"] == 2 and r["passed"] == 2 for r in rows.values())
+    assert T.invariant_failures(results).count() == 0
+    turned = pairs.withColumn("expected", F.when(F.col("pair_id") == "P1", "a_prime_gt_a"))
+    failed = T.invariant_failures(T.pair_results(cache, turned)).collect()
+    assert failed and {r["pair_id"] for r in failed} == {"P1"} and len(failed) == 5
