@@ -2,8 +2,8 @@
 
 Each language is a distribution over character trigrams of padded words, counted over all training
 documents.  A document is a mixture of languages: expectation-maximisation over its words, each with
-its trigram likelihood in every language, estimates the proportions.  The language set is the one
-of the nested sets of leading languages with the best penalised likelihood; each further language
+its trigram likelihood in every language, estimates the proportions to a tolerance.  The language set is the one
+of the nested sets of leading languages, up to all of them, with the best penalised likelihood; each further language
 costs ``PENALTY`` times the logarithm of the number of words.  The prediction is the leading language of
 the set, the score its proportion in it.
 
@@ -22,9 +22,11 @@ from .arrays import add_columns, mix, pieces_of, runs, text_bytes, text_of, tidy
 
 BUCKETS = 1 << 17
 SMOOTHING = 0.5
-ROUNDS = 12
 PENALTY = 2.0
-LARGEST_SET = 4
+#: Rounds go on until the log likelihood of a text is at most this below its maximum.
+GAP = 0.01
+#: No share of a set falls below this; a set's rounds start at no less than that.
+LEAST_SHARE, START_SHARE = 1e-12, 1e-3
 UNKNOWN = "und"
 SCHEMA = "lang_pred string, score double, languages array<struct<lang: string, share: double>>"
 
@@ -81,36 +83,74 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list
     return names, np.log((counts + SMOOTHING) / (counts.sum(axis=1, keepdims=True) + SMOOTHING * BUCKETS)) if names else counts
 
 
-def _by_text(values: np.ndarray, first: np.ndarray) -> np.ndarray:
-    total = np.concatenate((np.zeros((1, values.shape[1])), np.cumsum(values, axis=0)))
-    return total[first[1:]] - total[first[:-1]]
+def _rises(share: np.ndarray, like: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Factor by which the next round multiplies each share[text, language]; every text has words."""
+    like = like / (share[text_of(first)] * like).sum(axis=1, keepdims=True)
+    return np.add.reduceat(like, first[:-1], axis=0) / np.diff(first)[:, None]
+
+
+def _some(texts: np.ndarray, like: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words and bounds of the texts marked."""
+    n = np.diff(first)
+    return like[np.repeat(texts, n)], np.concatenate(([0], np.cumsum(n[texts])))
+
+
+def _converged(share: np.ndarray, like: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Shares whose log likelihood is at most GAP below the best one over the languages that have a share.
+
+    The best is never more than n * log(largest rise) above: the mean of a logarithm is below the
+    logarithm of the mean.  Texts that are there leave the rounds.
+    """
+    share, left, inside = share.copy(), np.arange(len(share)), share > 0
+    while len(left):
+        now, own = share[left], inside[left]
+        rise = np.where(own, _rises(now, like, first), 0)
+        more = np.diff(first) * np.log(rise.max(axis=1)) > GAP
+        now = np.where(own, np.maximum(now * rise, LEAST_SHARE), 0)
+        share[left] = now / now.sum(axis=1, keepdims=True)
+        if not more.all():
+            like, first = _some(more, like, first)
+            left = left[more]
+    return share
+
+
+def _log_likelihood(share: np.ndarray, like: np.ndarray, first: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(np.log((share[text_of(first)] * like).sum(axis=1)), first[:-1])
 
 
 def mixtures(fit: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(shares[text, language] within the chosen set, size of the set); fit: log likelihood[word, language]."""
+    """(shares[text, language] within the chosen set, size of the set); fit: log likelihood[word, language].
+
+    Sets grow until the likelihood of all languages together, less the price of the next set, is not
+    above the best value so far; then no larger set can be.
+    """
     texts, langs = len(first) - 1, fit.shape[1]
-    n = np.maximum(np.diff(first), 1)[:, None]
-    doc = text_of(first)
-    best = fit.max(axis=1, keepdims=True)
-    like = np.exp(fit - best)
-    share = np.full((texts, langs), 1 / langs)
-
-    def step(now: np.ndarray) -> np.ndarray:
-        part = now[doc] * like
-        part /= np.maximum(part.sum(axis=1, keepdims=True), 1e-300)
-        return _by_text(part, first) / n
-
-    for _ in range(ROUNDS):
-        share = step(share)
+    chosen, size = np.zeros((texts, langs)), np.ones(texts, int)
+    chosen[:, 0] = 1
+    worded = np.diff(first) > 0
+    if not worded.any():
+        return chosen, size
+    like = np.exp(np.maximum(fit - fit.max(axis=1, keepdims=True), -600))  # never 0
+    first = np.concatenate(([0], np.cumsum(np.diff(first)[worded])))
+    n = np.diff(first)
+    price = PENALTY * np.log(n + 1)
+    share = _converged(np.full((len(n), langs), 1 / langs), like, first)
+    bound = _log_likelihood(share, like, first) + n * np.log(np.maximum(_rises(share, like, first).max(axis=1), 1))
     rank = np.argsort(np.argsort(-share, axis=1, kind="stable"), axis=1)
-    chosen, size, top = share, np.full(texts, 0), np.full(texts, -np.inf)
-    for k in range(1, min(LARGEST_SET, langs) + 1):
-        own = np.where(rank < k, np.maximum(share, 1e-9), 0)
-        own = step(own / own.sum(axis=1, keepdims=True)) if k > 1 else own / own.sum(axis=1, keepdims=True)
-        value = _by_text(np.log(np.maximum((own[doc] * like).sum(axis=1), 1e-300))[:, None], first)[:, 0] - PENALTY * k * np.log(n[:, 0] + 1)
-        better = value > top
-        chosen = np.where(better[:, None], own, chosen)
-        size, top = np.where(better, k, size), np.maximum(value, top)
+    best, count, top = share.copy(), np.zeros(len(n), int), np.full(len(n), -np.inf)
+    left = np.arange(len(n))
+    for k in range(1, langs + 1):
+        more = top[left] < bound[left] - k * price[left]
+        if not more.any():
+            break
+        like, first = _some(more, like, first)
+        left = left[more]
+        own = np.where(rank[left] < k, np.maximum(share[left], START_SHARE), 0)
+        own = _converged(own / own.sum(axis=1, keepdims=True), like, first)
+        value = _log_likelihood(own, like, first) - k * price[left]
+        better = value > top[left]
+        best[left[better]], count[left[better]], top[left[better]] = own[better], k, value[better]
+    chosen[worded], size[worded] = best, count
     return chosen, size
 
 

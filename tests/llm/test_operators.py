@@ -428,3 +428,30 @@ def test_mixtures_and_unknown(spark, odd_docs, no_docs):
     assert language_mixture.predict(no_docs, model).count() == 0
     untrained = language_mixture.train(no_docs)
     assert {r.lang_pred for r in language_mixture.predict(odd_docs, untrained).collect()} == {"und"}
+
+
+@pytest.mark.parametrize("langs", [5, 6])
+def test_mixtures_of_more_than_four_languages(spark, langs):
+    rnd = random.Random(9)
+    alphabets = ["abcd", "efgh", "ijkl", "mnop", "qrst", "uvwx", "yzäö"]
+    say = lambda k, n: " ".join("".join(rnd.choice(alphabets[k]) for _ in range(rnd.randint(3, 8))) for _ in range(n))
+    model = language_mixture.train(spark.createDataFrame([(say(k, 400), f"l{k}") for k in range(7)], "text string, lang string"))
+    sizes = [120, 100, 80, 60, 50, 40][:langs]
+    asked = [(1, " ".join(say(k, n) for k, n in enumerate(sizes))), (2, say(6, 90)), (3, "")]
+    got = {r.doc_id: r for r in language_mixture.predict(spark.createDataFrame(asked, "doc_id long, text string"), model).collect()}
+    assert [x.lang for x in got[1].languages] == [f"l{k}" for k in range(langs)]
+    assert all(abs(x.share - n / sum(sizes)) < 0.01 for x, n in zip(got[1].languages, sizes)) and abs(got[1].score - 120 / sum(sizes)) < 0.01
+    assert [x.lang for x in got[2].languages] == ["l6"] and got[3].lang_pred == "und"
+
+
+def test_shares_of_close_languages_converge():
+    rnd = np.random.default_rng(2)
+    fit = rnd.normal(0, 0.3, (2000, 3))
+    fit[:1200, 0] += 0.4
+    fit[1200:, 1] += 0.4
+    like, now = np.exp(fit), np.array([[0.4, 0.3, 0.3]])
+    for _ in range(5000):
+        now = (now * like / (now * like).sum(axis=1, keepdims=True)).mean(axis=0, keepdims=True)
+    got = language_mixture._converged(np.full((1, 3), 1 / 3), like, np.array([0, 2000]))
+    value = lambda s: np.log((s * like).sum(axis=1)).sum()
+    assert value(now) - value(got) <= language_mixture.GAP + 1e-9
