@@ -28,8 +28,13 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _CARD_RUN, _CARD = re.compile(r"[0-9 -]+"), re.compile(r"[0-9](?:[ -]?[0-9])+")
 _DOTTED_RUN, _DIGIT_RUN = re.compile(r"[0-9.]+"), re.compile(r"[0-9]+")
 _PHONE_RUN = re.compile(r"[ ().0-9-]+")
-_LOGIN = re.compile(r"[^\s/@:]{1,256}(?::[^\s/@]{0,256})?@(?=[A-Za-z0-9\[])")
-_IBAN = re.compile(r"[\s:.#-]{0,4}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})(?![A-Za-z0-9])")
+_LOGIN = re.compile(r"[^\s/@:]++(?::[^\s/@]*+)?@(?=[A-Za-z0-9\[])")
+_IBAN = re.compile(r"[\s:.#-]{0,4}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})")
+#: Characters of an IBAN by country.
+_IBAN_SIZE = {c: int(x[:2]) for x in (
+    "15 NO", "16 BE", "18 DK FI FK FO GL NL SD", "19 MK SI", "20 AT BA EE KZ LT LU MN XK", "21 CH HR LI LV", "22 BG BH CR DE GB GE IE ME RS VA",
+    "23 AE GI IL IQ OM SO TL", "24 AD CZ ES MD PK RO SA SE SK TN VG", "25 LY PT ST", "26 IS TR", "27 BI DJ FR GR IT MC MR SM",
+    "28 AL AZ BY CY DO GT HU LB NI PL SV", "29 BR EG PS QA UA", "30 JO KW MU YE", "31 MT SC", "32 LC", "33 RU") for c in x[3:].split()}
 _ACCOUNT = re.compile(r"(?:[ ]?(?:number|no|nr|num|numéro|nummer|número|id))?[\s.:#=-]{1,4}([0-9](?:[ -]?[0-9]){5,16})(?![0-9A-Za-z])", re.I)
 _HOUSE_BEFORE = re.compile(r"(?<![0-9A-Za-z.,])([0-9]{1,5}[A-Za-z]?,? (?:\w[\w.'-]* ){0,4})$")
 _HOUSE_AFTER = re.compile(r"(?: (?:de|del|la|las|los|du|des|le|les))*(?: [A-ZÀ-Þ][\w.'-]*){0,4},? [0-9]{1,5}[A-Za-z]?(?![0-9A-Za-z.,-])")
@@ -112,9 +117,17 @@ def _iban(text: str, cue_end: int) -> tuple[int, int] | None:
     m = _IBAN.match(text, cue_end)
     if not m:
         return None
-    raw = m[1].replace(" ", "")
-    number = "".join(str(int(c, 36)) for c in raw[4:] + raw[:4])
-    return m.span(1) if 15 <= len(raw) <= 34 and int(number) % 97 == 1 else None
+    places = [k for k in range(m.start(1), m.end(1)) if text[k] != " "]
+    size = _IBAN_SIZE.get(m[1][:2])
+    # a country that is not known: every end, from long to short
+    for n in [size] if size else range(len(places), 14, -1):
+        end = places[n - 1] + 1 if n <= len(places) else len(text) + 1
+        if end > len(text) or (end < len(text) and re.match("[A-Za-z0-9]", text[end])):
+            continue
+        raw = "".join(text[k] for k in places[:n])
+        if int("".join(str(int(c, 36)) for c in raw[4:] + raw[:4])) % 97 == 1:
+            return m.start(1), end
+    return None
 
 
 def _address(text: str, start: int, end: int) -> tuple[int, int] | None:

@@ -202,6 +202,24 @@ def test_spans_of_odd_and_empty_tables(odd_docs, no_docs, texts):
     assert pii_anchors.personal_data(no_docs).count() == 0
 
 
+@pytest.mark.parametrize("behind", [" BIC COBADEFFXXX", " 12 May", " 12", "", ".", " May", ", BIC X", " AND THE REST OF THE LINE IN CAPITALS 2024"])
+def test_iban_ends_with_its_country(behind):
+    for iban in ("DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "ZZ13 1234 5678 9012 345"):
+        if iban[:2] == "ZZ":  # a country without a known length
+            raw = iban.replace(" ", "")
+            iban = f"ZZ{98 - int(''.join(str(int(c, 36)) for c in raw[4:] + 'ZZ00')) % 97:02}{iban[4:]}"
+            if re.match(" [0-9A-Z]", behind):
+                continue  # a longer end may have the remainder by chance
+        t = f"IBAN {iban}{behind}"
+        assert [t[a:b] for k, a, b in pii_anchors.find_spans(t) if k == "iban"] == [iban]
+    assert not [k for k, _, _ in pii_anchors.find_spans("IBAN DE89370400440532013001 BIC X IBAN DE89370400440532013000X") if k == "iban"]
+
+
+def test_long_logins():
+    t = "see https://" + "u" * 400 + ":" + "p" * 700 + "@host.org/x"
+    assert [(a, b) for k, a, b in pii_anchors.find_spans(t) if k == "login"] == [(12, 12 + 1101)]
+
+
 # --- 5 --------------------------------------------------------------------------------------------
 
 def brute_hits(docs, items, window=10):
