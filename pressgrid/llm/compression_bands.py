@@ -18,7 +18,9 @@ from .arrays import NOT_NEWLINE, SPACED, add_columns, gram_hashes, mix, runs, sp
 LEVEL = 3
 CHUNK = 4096
 #: (least bytes, lowest ratio, highest ratio); texts shorter than the first class are not judged by ratio.
-BANDS = ((256, 1.15, 2.8), (1024, 1.35, 3.5), (4096, 1.5, 4.5), (32768, 1.6, 6.0))
+#: The lowest lie just below the least ratio of the given tables' prose: other corpora need bands of their own.
+BANDS = ((256, 1.235, 2.8), (512, 1.4, 2.8), (768, 1.5, 2.8), (1024, 1.63, 3.5), (1536, 1.66, 3.5), (2048, 1.75, 3.5), (4096, 1.92, 4.5),
+         (8192, 2.11, 4.5), (16384, 2.23, 4.5), (32768, 2.24, 6.0))
 MAX_BAD_CHUNKS = 0.34
 
 _SYMBOL = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))

@@ -323,6 +323,23 @@ def test_quality_equals_brute_force(spark, odd_docs, no_docs):
     assert compression_bands.good_documents(odd_docs).columns == odd_docs.columns
 
 
+#: From that many bytes on, ratios tell noise over these characters from prose.
+NOISE = {"0123456789": 8192, "0123456789abcdef": 4096, "abcdefghijklmnopqrstuvwxyz": 1536,
+         "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/": 256}
+
+
+def test_noise_of_every_class(spark):
+    rnd, rows = random.Random(8), []
+    sizes = [x for least, _, _ in compression_bands.BANDS for x in (max(least, 460), least * 5 // 4 + 230)] + [70_000]
+    for chars, least in NOISE.items():
+        for size in sizes:
+            text = " ".join("".join(rnd.choices(chars, k=8)) for _ in range(size // 9 + 1))[:size]
+            rows.append((len(rows), text, size >= least))
+    got = {r.doc_id: r for r in compression_bands.quality(spark.createDataFrame(rows, "doc_id long, text string, noise boolean")).collect()}
+    assert all(not r.base_failed for r in got.values())
+    assert [(r.text[:20], len(r.text), r.ratio) for r in got.values() if r.noise and r.kept] == []
+
+
 # --- 8 --------------------------------------------------------------------------------------------
 
 def check_places(rows, capacity):
