@@ -4,7 +4,7 @@ from __future__ import annotations
 import importlib
 
 MODULES = ["lm_scoring", "secret_scan", "rlz_dedup", "pii_anchors", "decontamination", "line_frequency", "compression_bands", "packing", "simhash",
-           "language_mixture"]
+           "language_mixture", "spelling_variants", "toxicity", "merkle_manifest"]
 
 
 def load():
