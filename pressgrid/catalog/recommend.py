@@ -8,6 +8,7 @@ from ..plans import encoders as E, history as H, recommend as R
 from ..sources import views as V
 from .oracle_views import lst
 from .registry import query
+from .search import chunk_index, learned_index
 
 LIMIT = 10
 POS = lst(K.POSITIVE_EVENTS)[1:-1]
@@ -138,7 +139,7 @@ def _(spark, d):
 def _(spark, d):
     p = parts(spark, d)
     prof = R.profile_vectors(R.both_histories(*p), V.article_vectors(spark, d))
-    return R.profile_candidates(prof, V.chunks(spark, d), p[3], R.merged_history(*p), LIMIT)
+    return R.profile_candidates(prof, V.chunks(spark, d), p[3], R.merged_history(*p), LIMIT, chunk_index(spark, d))
 
 
 @query("category_recency_weights", "SELECT request_id, category, round(weight, 6) AS weight FROM catw", RV)
@@ -148,7 +149,7 @@ def _(spark, d):
 
 
 def _ranked(spark, d):
-    return R.ranked_profile(*parts(spark, d), V.article_vectors(spark, d), V.chunks(spark, d), LIMIT)[1]
+    return R.ranked_profile(*parts(spark, d), V.article_vectors(spark, d), V.chunks(spark, d), LIMIT, index=chunk_index(spark, d))[1]
 
 
 @query("rerank_hybrid", "SELECT request_id, article_id, rank_score, pos FROM reranked", RV)
@@ -198,7 +199,7 @@ def _(spark, d):
 
 
 def _recs(spark, d):
-    return R.recommend(*parts(spark, d), V.article_vectors(spark, d), V.chunks(spark, d), LIMIT)
+    return R.recommend(*parts(spark, d), V.article_vectors(spark, d), V.chunks(spark, d), LIMIT, index=chunk_index(spark, d))
 
 
 @query("recommend", "SELECT request_id, pos, article_id, rec_source, coalesce(rec_score, -1) AS rec_score FROM recs", RV)
@@ -296,5 +297,5 @@ def _(spark, d):
 
 @query("encoder_candidates", "SELECT request_id, article_id, score, rank FROM enc", EV)
 def _(spark, d):
-    return R.encoder_candidates(_user_units(spark, d), V.learned_vectors(spark, d), R.merged_history(*parts(spark, d)), LIMIT).select(
+    return R.encoder_candidates(_user_units(spark, d), V.learned_vectors(spark, d), R.merged_history(*parts(spark, d)), LIMIT, learned_index(spark, d)).select(
         "request_id", "article_id", "score", "rank")

@@ -4,12 +4,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..operators.vector_topk import cosine_topk
 from ..plans import replay as R, samples as SM
 from ..sources import views as V
 from .oracle_views import lst
 from .recommend import RV, r6
 from .registry import query
+from .search import all_chunks_index
 
 N = 3  # negatives per sample, as in the offline evaluation
 POS = lst(K.POSITIVE_EVENTS)[1:-1]
@@ -338,7 +338,7 @@ def _(spark, d):
 def _(spark, d):
     c = V.chunks(spark, d)
     q = V.search_queries(spark, d).select(F.col("query_id").alias("qid"), F.col("query_vector").alias("qvec"))
-    hits = cosine_topk(q, c.select(F.col("chunk_id").alias("cid"), F.col("embedding").alias("cvec")), 1 << 30, 0.5)
+    hits = all_chunks_index(spark, d).within(q, 0.5)
     return hits.join(c.select(F.col("chunk_id").alias("cid"), "article_id"), "cid").groupBy(F.col("qid").alias("query_id"), "article_id").agg(F.max("score").alias("score"))
 
 
@@ -350,7 +350,7 @@ def _retrieval_sql(space, col):
 def _retrieval(spark, d, which):
     raw, learned, chunks = spaces(spark, d)
     q = raw.withColumnRenamed("embedding", "vector") if which == "raw" else learned.withColumnRenamed("learned_embedding", "vector")
-    return r6(R.retrieval_metrics(R.self_retrieval_ranks(q, chunks)), "top1", "top5", "mrr")
+    return r6(R.retrieval_metrics(R.self_retrieval_ranks(q, chunks, all_chunks_index(spark, d))), "top1", "top5", "mrr")
 
 
 @query("retrieval_metrics", _retrieval_sql("article_vectors", "embedding"))
@@ -365,7 +365,7 @@ _PAIRED = "SELECT count(*) AS paired_articles, round(avg(c), 6) AS mean_cosine,
   SELECT 'raw' AS space, n AS ranked, top1, top5, mrr FROM ({_retrieval_sql("article_vectors", "embedding")})
   UNION ALL SELECT 'learned', n, top1, top5, mrr FROM ({_retrieval_sql("learned_vectors", "learned_embedding")})), ({_PAIRED})""")
 def _(spark, d):
-    return r6(R.embedding_alignment(*spaces(spark, d)), "top1", "top5", "mrr", "mean_cosine", "median_cosine")
+    return r6(R.embedding_alignment(*spaces(spark, d), all_chunks_index(spark, d)), "top1", "top5", "mrr", "mean_cosine", "median_cosine")
 
 
 def _mixed(space):

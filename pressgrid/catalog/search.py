@@ -5,6 +5,9 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..operators import near_dup as N
+from ..operators.postings import create_postings
+from ..operators.vector_index import kept, kept_index
+from ..operators.vector_rank import chunk_units
 from ..operators.vector_topk import cosine_topk
 from ..plans import search as S
 from ..sources import views as V
@@ -52,9 +55,27 @@ def r6(df, *cols):
     return df.withColumns({c: F.round(c, 6) for c in cols})
 
 
+def chunk_index(spark, d):
+    """The session's index of the chunks of known articles."""
+    return kept_index(spark, "chunks", [f"{d}/documents.parquet", f"{d}/embeddings.parquet"], lambda: S.known_chunks(V.chunks(spark, d), V.articles(spark, d)))
+
+
+def learned_index(spark, d):
+    return kept_index(spark, "learned", [f"{d}/embeddings.parquet"], lambda: S.learned_rows(V.learned_vectors(spark, d)))
+
+
+def postings(spark, d):
+    """The session's inverted index of all articles."""
+    return kept(spark, "postings", [f"{d}/documents.parquet"], lambda path: create_postings(V.articles(spark, d), path))
+
+
+def semantic(spark, d, *args):
+    return S.semantic_search(V.search_queries(spark, d), V.chunks(spark, d), V.articles(spark, d), *args, index=chunk_index(spark, d))
+
+
 def hybrid(spark, d):
     a = V.articles(spark, d)
-    return S.hybrid_search(V.search_queries(spark, d), V.chunks(spark, d), a, S.bm25_postings(a))
+    return S.hybrid_search(V.search_queries(spark, d), V.chunks(spark, d), a, postings(spark, d), index=chunk_index(spark, d))
 
 
 def hybrid_out(df):
@@ -64,45 +85,49 @@ def hybrid_out(df):
 
 @query("semantic_search", "SELECT query_id, article_id, chunk_id, score, rank FROM sem", semantic_sql(10, 0.5))
 def _(spark, d):
-    return S.semantic_search(V.search_queries(spark, d), V.chunks(spark, d), V.articles(spark, d))
+    return semantic(spark, d)
+
+
+def all_chunks_index(spark, d):
+    """The session's index of all chunks, those of unknown articles too."""
+    return kept_index(spark, "all_chunks", [f"{d}/documents.parquet", f"{d}/embeddings.parquet"], lambda: chunk_units(V.chunks(spark, d)))
 
 
-@query("min_similarity_filter", f"SELECT count(*) AS n FROM (SELECT {COS.format('query_vector', 'embedding')} AS s FROM search_queries, chunks WHERE query_vector IS NOT NULL) WHERE s >= 0.7")
+@query("min_similarity_filter", f"SELECT query_id, chunk_id, s AS score FROM (SELECT query_id, chunk_id, {COS.format('query_vector', 'embedding')} AS s FROM search_queries, chunks WHERE query_vector IS NOT NULL) WHERE s >= 0.7")
 def _(spark, d):
     q = V.search_queries(spark, d).select(F.col("query_id").alias("qid"), F.col("query_vector").alias("qvec"))
-    c = V.chunks(spark, d).select(F.col("chunk_id").alias("cid"), F.col("embedding").alias("cvec"))
-    return cosine_topk(q, c, 1 << 30, 0.7).agg(F.count("*").alias("n"))
+    return all_chunks_index(spark, d).within(q, 0.7).select(F.col("qid").alias("query_id"), F.col("cid").alias("chunk_id"), "score")
 
 
 @query("chunk_article_join", "SELECT s.query_id, s.article_id, a.title, a.source, a.published_at, coalesce(a.trust_score, 0) AS trust_score FROM sem s JOIN articles a ON s.article_id = a.article_id", semantic_sql(10, 0.5))
 def _(spark, d):
     a = V.articles(spark, d)
-    top = S.semantic_search(V.search_queries(spark, d), V.chunks(spark, d), a)
+    top = semantic(spark, d)
     shown = a.select("article_id", "title", "source", "published_at", F.coalesce("trust_score", F.lit(0)).alias("trust_score"))
     return top.select("query_id", "article_id").join(shown, "article_id")
 
 
 @query("best_chunk_per_article", "SELECT query_id, article_id, chunk_id, rank FROM sem", semantic_sql(10, 0.6))
 def _(spark, d):
-    s = S.semantic_search(V.search_queries(spark, d), V.chunks(spark, d), V.articles(spark, d), 10, 0.6)
+    s = semantic(spark, d, 10, 0.6)
     return s.select("query_id", "article_id", "chunk_id", "rank")
 
 
 @query("bm25_corpus_stats", "SELECT term, df, round(idf, 6) AS idf FROM idfs", bm25_sql(10))
 def _(spark, d):
-    return r6(S.bm25_corpus_stats(S.bm25_postings(V.articles(spark, d)))[0], "idf")
+    return r6(S.bm25_corpus_stats(postings(spark, d))[0], "idf")
 
 
 @query("bm25_search", "SELECT query_id, article_id, bm25_score, rank FROM lex", bm25_sql(10))
 def _(spark, d):
-    return S.bm25_search(V.search_queries(spark, d), S.bm25_postings(V.articles(spark, d)))
+    return S.bm25_search(V.search_queries(spark, d), postings(spark, d))
 
 
 @query("rrf_rank", "SELECT query_id, article_id, 's' AS list, rank FROM sem UNION ALL SELECT query_id, article_id, 'l', rank FROM lex", {**semantic_sql(20, 0.5), **bm25_sql(20)})
 def _(spark, d):
     a, q = V.articles(spark, d), V.search_queries(spark, d)
-    s = S.semantic_search(q, V.chunks(spark, d), a, 20).select("query_id", "article_id", F.lit("s").alias("list"), "rank")
-    l = S.bm25_search(q, S.bm25_postings(a), 20).select("query_id", "article_id", F.lit("l").alias("list"), "rank")
+    s = semantic(spark, d, 20).select("query_id", "article_id", F.lit("s").alias("list"), "rank")
+    l = S.bm25_search(q, postings(spark, d), 20).select("query_id", "article_id", F.lit("l").alias("list"), "rank")
     return s.unionByName(l)
 
 
@@ -141,15 +166,14 @@ def related_sql(limit: int, min_score: float) -> dict[str, str]:
 
 @query("related_articles", "SELECT for_article_id, article_id, chunk_id, score, rank FROM rel", related_sql(5, K.RELATED_MIN_SCORE))
 def _(spark, d):
-    return S.related_articles(V.article_vectors(spark, d), V.chunks(spark, d), V.articles(spark, d))
+    return S.related_articles(V.article_vectors(spark, d), V.chunks(spark, d), V.articles(spark, d), index=chunk_index(spark, d))
 
 
 @query("vector_topk", f"""SELECT query_id, chunk_id, score, rank FROM (SELECT query_id, chunk_id, {COS.format('query_vector', 'embedding')} AS score,
   row_number() OVER (PARTITION BY query_id ORDER BY {COS.format('query_vector', 'embedding')} DESC, chunk_id) AS rank FROM search_queries, chunks WHERE query_vector IS NOT NULL) WHERE rank <= 10""")
 def _(spark, d):
     q = V.search_queries(spark, d).select(F.col("query_id").alias("qid"), F.col("query_vector").alias("qvec"))
-    c = V.chunks(spark, d).select(F.col("chunk_id").alias("cid"), F.col("embedding").alias("cvec"))
-    return cosine_topk(q, c, 10).select(F.col("qid").alias("query_id"), F.col("cid").alias("chunk_id"), "score", "rank")
+    return cosine_topk(q, all_chunks_index(spark, d), 10).select(F.col("qid").alias("query_id"), F.col("cid").alias("chunk_id"), "score", "rank")
 
 
 @query("vector_topk_join", f"""SELECT qid, cid, score, rank FROM (SELECT a.article_id AS qid, b.article_id AS cid, {COS.format('a.embedding', 'b.embedding')} AS score,
@@ -164,7 +188,7 @@ def _(spark, d):
 @query("learned_vector_topk", f"""SELECT query_id, article_id, score, rank FROM (SELECT query_id, article_id, {COS.format('query_vector', 'learned_embedding')} AS score,
   row_number() OVER (PARTITION BY query_id ORDER BY {COS.format('query_vector', 'learned_embedding')} DESC, article_id) AS rank FROM search_queries, learned_vectors WHERE query_vector IS NOT NULL) WHERE rank <= 10""")
 def _(spark, d):
-    return S.learned_topk(V.search_queries(spark, d), V.learned_vectors(spark, d), 10)
+    return S.learned_topk(V.search_queries(spark, d), V.learned_vectors(spark, d), 10, learned_index(spark, d))
 
 
 # ---- near duplicates -------------------------------------------------------------------

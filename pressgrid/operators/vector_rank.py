@@ -1,65 +1,27 @@
 """Rank of each article's own chunks among all articles, by best chunk."""
 from __future__ import annotations
 
-import math
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import vectors as X
-from .vector_topk import SCORE_DIGITS, _matrix
-
-
-def _best_per_article(q: pd.DataFrame, c: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(queries x articles) best scores and the article ids."""
-    ids, code = np.unique(c["cid"].to_numpy().astype(str), return_inverse=True)
-    order = np.argsort(code, kind="stable")
-    starts = np.searchsorted(code[order], np.arange(len(ids)))
-    scores = np.round(_matrix(q["qvec"]) @ _matrix(c["cvec"]).T, SCORE_DIGITS)[:, order]
-    return np.maximum.reduceat(scores, starts, axis=1), ids
-
-
-def _count_better(_key, q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-    if len(q) == 0 or len(c) == 0:
-        return pd.DataFrame({"qid": pd.Series([], dtype=object), "better": pd.Series([], dtype="int64")})
-    best, ids = _best_per_article(q, c)
-    own = q["own"].to_numpy()[:, None]
-    after = ids[None, :] > q["qid"].to_numpy().astype(str)[:, None]
-    beats = (best > own) | ((best == own) & after)
-    return pd.DataFrame({"qid": pd.Series(list(q["qid"]), dtype=object), "better": beats.sum(axis=1).astype("int64")})
+from ..session import new_path
+from .vector_index import BLOCK_ROWS, SCORE_DIGITS, VectorIndex, create
 
 
-def _block_best(_key, q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-    if len(q) == 0 or len(c) == 0:
-        return pd.DataFrame({"qid": pd.Series([], dtype=object), "cid": pd.Series([], dtype=object), "score": pd.Series([], dtype="float64")})
-    best, ids = _best_per_article(q, c)
-    return pd.DataFrame({"qid": pd.Series(np.repeat(q["qid"].to_numpy(), len(ids)), dtype=object),
-                         "cid": pd.Series(np.tile(ids, len(q)), dtype=object), "score": best.ravel()})
+def chunk_units(chunks: DataFrame) -> DataFrame:
+    """Index rows of chunks (chunk_id, article_id, embedding); the chunks of an article are one unit."""
+    return chunks.select(F.col("chunk_id").alias("cid"), F.col("article_id").alias("ckey"), F.col("embedding").alias("cvec"))
 
 
-def better_articles(queries: DataFrame, chunks: DataFrame, block_rows: int = 2048) -> DataFrame:
-    """(article_id, rank) for ``queries`` (article_id, vector) against ``chunks`` (article_id, embedding).
+def better_articles(queries: DataFrame, chunks: DataFrame, index: VectorIndex | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(article_id, rank) for ``queries`` (article_id, vector) against ``chunks`` (chunk_id, article_id, embedding).
 
-    Queries and chunks meet as blocks; all chunks of an article share a block, so a block only
-    returns one count per query.  Articles with more chunks than a block holds are split by row
-    and reduced to one best score per query first; there are at most total / block_rows of them.
+    A query's own score is its floor: cells of the index that lie wholly below it are left out,
+    cells wholly above it are counted without a visit.
     """
     q = queries.select(F.col("article_id").alias("qid"), F.col("vector").alias("qvec"))
-    c = chunks.select(F.col("article_id").alias("cid"), F.col("embedding").alias("cvec"))
-    own = q.join(c, F.col("qid") == F.col("cid")).groupBy("qid").agg(
-        F.round(F.max(X.cosine(F.col("qvec"), F.col("cvec"))), SCORE_DIGITS).alias("own"))
-    q = q.join(own, "qid")
-    nq, nc = (max(1, math.ceil(n / block_rows)) for n in (queries.count(), chunks.count()))
-    sizes = c.groupBy("cid").agg(F.count("*").alias("n"))
-    big = sizes.where(F.col("n") > block_rows).select("cid")
-    grid = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    qb = q.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(nq)).cast("int")).withColumn("cb", grid(nc))
-    small = c.join(big, "cid", "left_anti").withColumn("cb", F.pmod(F.xxhash64("cid"), F.lit(nc)).cast("int")).withColumn("qb", grid(nq))
-    counts = qb.groupBy("qb", "cb").cogroup(small.groupBy("qb", "cb")).applyInPandas(_count_better, "qid string, better bigint")
-    split = c.join(big, "cid", "left_semi").withColumn("cb", F.pmod(F.xxhash64("cvec"), F.lit(nc)).cast("int")).withColumn("qb", grid(nq))
-    best = qb.groupBy("qb", "cb").cogroup(split.groupBy("qb", "cb")).applyInPandas(_block_best, "qid string, cid string, score double")
-    best = best.groupBy("qid", "cid").agg(F.max("score").alias("score")).join(own, "qid")
-    ahead = (F.col("score") > F.col("own")) | ((F.col("score") == F.col("own")) & (F.col("cid") > F.col("qid")))
-    counts = counts.unionByName(best.groupBy("qid").agg(F.sum(ahead.cast("bigint")).alias("better")))
-    return counts.groupBy("qid").agg((F.sum("better") + 1).alias("rank")).select(F.col("qid").alias("article_id"), "rank")
+    own = q.join(chunks.select(F.col("article_id").alias("qid"), "embedding"), "qid").groupBy("qid").agg(
+        F.round(F.max(X.cosine(F.col("qvec"), F.col("embedding"))), SCORE_DIGITS).alias("own"))
+    index = index or create(chunk_units(chunks), new_path(queries.sparkSession, "index"))
+    better = index.count_above(q.join(own, "qid"), block_rows)
+    return better.select(F.col("qid").alias("article_id"), (F.col("better") + 1).alias("rank"))

@@ -1,164 +1,18 @@
-"""Exact cosine top-k of a query table against a vector table.
-
-The vector table is cut into cells around centroids (spherical k-means over a bounded sample; the
-sample only decides how well cells separate).  Two steps find the best rows without a loss:
-
-1. every query looks into one block of its nearest cell; the k-th score found there is a floor that
-   its final k-th score cannot fall below;
-2. a cell can only hold a match if angle(query, centroid) - cell radius <= angle(floor) (triangle
-   inequality), so the query travels to those cells only.
-
-Cells and the queries that reach them are salted into blocks of ``block_rows``: a task multiplies one
-query block and one vector block as two matrices and keeps at most k rows per query.
-"""
+"""Exact cosine top-k of a query table against a vector table, by an index of its own or a saved one."""
 from __future__ import annotations
 
-import math
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F, types as T
-
-from ..functions import vectors as X
-from ..session import write_once
-
-SCORE_DIGITS = 9
-#: Numbers in the sample that the centroids are fitted on.
-SAMPLE_NUMBERS = 1 << 22
-ROUNDS = 6
-
-
-def _matrix(column: pd.Series) -> np.ndarray:
-    m = np.stack([np.asarray(v, dtype=np.float64) for v in column])
-    return m / np.linalg.norm(m, axis=1, keepdims=True)
-
-
-def _usable(df: DataFrame, vec: str) -> DataFrame:
-    return df.where(F.col(vec).isNotNull() & X.has_length(F.col(vec)))
-
-
-def _centroids(c: DataFrame, cells: int) -> np.ndarray:
-    """Unit centroids of a repeatable sample of at most SAMPLE_NUMBERS numbers."""
-    dim = c.select(F.size("cvec")).first()[0]
-    rows = c.orderBy(F.xxhash64("cid"), "cid").limit(max(cells, min(64 * cells, SAMPLE_NUMBERS // dim))).select("cvec").collect()
-    points = _matrix(pd.Series([r["cvec"] for r in rows]))
-    centres = points[:cells]
-    for _ in range(ROUNDS if cells > 1 else 0):
-        near = (points @ centres.T).argmax(axis=1)
-        total = np.zeros_like(centres)
-        np.add.at(total, near, points)
-        size = np.linalg.norm(total, axis=1, keepdims=True)
-        centres = np.where(size > 1e-9, total / np.maximum(size, 1e-9), centres)
-    return centres
+from pyspark.sql import DataFrame
 
+from ..session import new_path
+from .vector_index import BLOCK_ROWS, VectorIndex, create
 
-def _nearest(df: DataFrame, vec: str, name: str, centres: np.ndarray, among: np.ndarray) -> DataFrame:
-    """Adds the nearest of the centroids in ``among`` and the angle to it."""
-    def assign(batches):
-        for b in batches:
-            if len(b):
-                sims = np.clip(_matrix(b[vec]) @ centres[among].T, -1.0, 1.0)
-                best = sims.argmax(axis=1)
-                yield b.assign(**{name: among[best].astype("int32"), "_a": np.arccos(sims[np.arange(len(best)), best])})
 
-    return df.mapInPandas(assign, T.StructType([*df.schema.fields, T.StructField(name, T.IntegerType()), T.StructField("_a", T.DoubleType())]))
-
-
-def _reachable(q: DataFrame, centres: np.ndarray, radius: np.ndarray) -> DataFrame:
-    """One row per (query, cell that can hold a match); ``floor`` is the score a match must reach."""
-    def route(batches):
-        for b in batches:
-            if len(b):
-                angles = np.arccos(np.clip(_matrix(b["qvec"]) @ centres.T, -1.0, 1.0))
-                reach = np.arccos(np.clip(b["floor"].to_numpy() - 10.0 ** -SCORE_DIGITS, -1.0, 1.0))
-                row, cell = np.nonzero(angles - radius <= reach[:, None] + 1e-9)
-                yield b.iloc[row].assign(ccell=cell.astype("int32"))
-
-    return q.mapInPandas(route, T.StructType([*q.schema.fields, T.StructField("ccell", T.IntegerType())]))
-
-
-def _rows(qid, cid, score) -> pd.DataFrame:
-    return pd.DataFrame({"qid": pd.Series(qid, dtype=object), "cid": pd.Series(cid, dtype=object),
-                         "score": pd.Series(score, dtype="float64")})
-
-
-def _block_topk(k: int, min_score: float | None, exclude: bool):
-    def best(_key, q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        if len(q) == 0 or len(c) == 0:
-            return _rows([], [], [])
-        c = c.iloc[np.argsort(c["cid"].to_numpy().astype(str), kind="stable")]
-        scores = np.round(_matrix(q["qvec"]) @ _matrix(c["cvec"]).T, SCORE_DIGITS)
-        floor = np.full(len(q), -2.0 if min_score is None else min_score)
-        if "floor" in q:
-            floor = np.maximum(floor, q["floor"].to_numpy() - 1e-12)
-        good = scores >= floor[:, None]
-        if exclude:
-            good &= q["qkey"].to_numpy()[:, None] != c["ckey"].to_numpy()[None, :]
-        n = len(c)
-        # one integer a pair: the score, then the place in the order of ids
-        rank = np.where(good, np.rint(scores * 10 ** SCORE_DIGITS).astype(np.int64) * n + np.arange(n - 1, -1, -1), -(1 << 62))
-        if n > k:
-            cols = np.argpartition(-rank, k - 1, axis=1)[:, :k]
-        else:
-            cols = np.broadcast_to(np.arange(n), rank.shape)
-        rows, at = np.nonzero(np.take_along_axis(good, cols, axis=1))
-        cols = cols[rows, at]
-        return _rows(q["qid"].to_numpy()[rows], c["cid"].to_numpy()[cols], scores[rows, cols])
-    return best
-
-
-def cosine_topk(queries: DataFrame, corpus: DataFrame, k: int, min_score: float | None = None,
-                block_rows: int = 2048, pivot_count: int | None = None) -> DataFrame:
+def cosine_topk(queries: DataFrame, corpus: DataFrame | VectorIndex, k: int, min_score: float | None = None,
+                block_rows: int = BLOCK_ROWS, pivot_count: int | None = None) -> DataFrame:
     """(qid, cid, score, rank): the k best rows with score >= min_score, ties by cid.
 
-    ``queries`` has qid and qvec, ``corpus`` cid and cvec.  When both also have qkey / ckey,
+    ``queries`` has qid and qvec, ``corpus`` cid and cvec, or is an index.  When both also have qkey / ckey,
     rows with equal keys never match.
     """
-    exclude = "qkey" in queries.columns and "ckey" in corpus.columns
-    q = _usable(queries, "qvec").withColumn("qid", F.col("qid").cast("string"))
-    c = _usable(corpus, "cvec").withColumn("cid", F.col("cid").cast("string"))
-    total = c.count()
-    schema = "qid string, cid string, score double"
-    if not total:
-        return q.sparkSession.createDataFrame([], schema + ", rank int")
-    cells = min(total, pivot_count or max(math.ceil(total / block_rows), math.ceil(math.sqrt(total) / 2)))
-    centres = _centroids(c, cells)
-    c = write_once(_nearest(c, "cvec", "ccell", centres, np.arange(len(centres))), "vectors")
-    stat = c.groupBy("ccell").agg(F.count("*").alias("n"), F.max("_a").alias("r")).collect()  # one row a cell
-    size, radius = np.zeros(len(centres), np.int64), np.full(len(centres), -10.0)
-    for r in stat:
-        size[r["ccell"]], radius[r["ccell"]] = r["n"], r["r"]
-    keys = ["ccell", "qsub", "csub"]
-    local = _block_topk(k, min_score, exclude)
-    salt = lambda col, n: F.pmod(F.xxhash64(col, F.lit(7)), n).cast("int")
-    per_cell = lambda values: F.element_at(F.array(*[F.lit(int(v)) for v in values]), F.col("ccell") + 1)
-    blocks = np.maximum(1, -(-size // block_rows))
-    extra_q, extra_c = (["qkey"], ["ckey"]) if exclude else ([], [])
-    c_block = c.withColumn("csub", salt("cid", per_cell(blocks)))
-
-    def joined(qs: DataFrame, cs: DataFrame, asked: np.ndarray) -> DataFrame:
-        groups = np.maximum(1, -(-asked // block_rows))
-        qb = qs.withColumn("qsub", salt("qid", per_cell(groups)))
-        cb = cs.where(per_cell(asked) > 0).withColumn("qsub", F.explode(F.sequence(F.lit(0), per_cell(groups) - 1)))
-        return (qb.select(*keys, "qid", "qvec", "floor", *extra_q).groupBy(*keys)
-                .cogroup(cb.select(*keys, "cid", "cvec", *extra_c).groupBy(*keys)).applyInPandas(local, schema))
-
-    def asked_of(qs: DataFrame) -> np.ndarray:
-        out = np.zeros(len(centres), np.int64)
-        for r in qs.groupBy("ccell").count().collect():  # at most one row a cell
-            out[r["ccell"]] = r["count"]
-        return out
-
-    least = -2.0 if min_score is None else min_score
-    q = q.withColumn("floor", F.lit(float(least)))
-    if len(stat) > 1 and k <= block_rows:
-        first = _nearest(q, "qvec", "ccell", centres, np.array([r["ccell"] for r in stat])).drop("_a").withColumn("csub", F.lit(0))
-        first = write_once(first, "queries")
-        found = joined(first, c_block.where("csub = 0"), asked_of(first))
-        bound = found.groupBy("qid").agg(F.count("*").alias("_n"), F.min("score").alias("_s")).where(F.col("_n") >= k).select("qid", "_s")
-        q = first.drop("ccell", "csub").join(bound, "qid", "left").withColumn("floor", F.greatest("floor", F.coalesce("_s", "floor"))).drop("_s")
-    routed = write_once(_reachable(q, centres, radius), "routes") if len(centres) > 1 else q.withColumn("ccell", F.lit(0))
-    spread_q = routed.withColumn("csub", F.explode(F.sequence(F.lit(0), per_cell(blocks) - 1)))
-    hits = joined(spread_q, c_block, asked_of(routed))
-    w = W.partitionBy("qid").orderBy(F.col("score").desc(), F.col("cid").asc())
-    return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    index = corpus if isinstance(corpus, VectorIndex) else create(corpus, new_path(queries.sparkSession, "index"), pivot_count, block_rows)
+    return index.topk(queries, k, min_score, block_rows)

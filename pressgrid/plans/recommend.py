@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .. import constants as K
 from ..functions import vectors as X
+from ..operators.vector_index import VectorIndex
 from ..operators.vector_topk import cosine_topk
 from ..session import write_once
 from . import encoders as E, search as S
@@ -55,18 +56,18 @@ def _excluded(history: DataFrame) -> DataFrame:
     return history.where(F.col("hpos") <= K.RECENT_EXCLUDED).select("request_id", "article_id")
 
 
-def profile_candidates(profiles: DataFrame, chunks: DataFrame, articles: DataFrame, history: DataFrame, limit: int) -> DataFrame:
+def profile_candidates(profiles: DataFrame, chunks: DataFrame, articles: DataFrame, history: DataFrame, limit: int, index: VectorIndex | None = None) -> DataFrame:
     """(request_id, article_id, score): semantic search from the profile, 3 x limit, newest reads removed."""
     found = S.semantic_search(profiles.select(F.col("request_id").alias("query_id"), F.col("profile").alias("query_vector")),
-                              chunks, articles, limit * 3, K.RELEVANCE_FLOOR)
+                              chunks, articles, limit * 3, K.RELEVANCE_FLOOR, index=index)
     rows = found.select(F.col("query_id").alias("request_id"), "article_id", "score")
     return rows.join(_excluded(history), ["request_id", "article_id"], "left_anti")
 
 
-def encoder_candidates(user_vectors: DataFrame, learned: DataFrame, history: DataFrame, limit: int) -> DataFrame:
+def encoder_candidates(user_vectors: DataFrame, learned: DataFrame, history: DataFrame, limit: int, index: VectorIndex | None = None) -> DataFrame:
     """(request_id, article_id, score, rank): learned-space top 2 x limit outside the newest reads."""
     hits = cosine_topk(user_vectors.select(F.col("request_id").alias("qid"), F.col("user_vector").alias("qvec")),
-                       learned.select(F.col("article_id").alias("cid"), F.col("learned_embedding").alias("cvec")),
+                       index or S.learned_rows(learned),
                        limit * 2 + K.RECENT_EXCLUDED)
     rows = hits.select(F.col("qid").alias("request_id"), F.col("cid").alias("article_id"), "score")
     w = W.partitionBy("request_id").orderBy(F.col("score").desc(), "article_id")
@@ -212,28 +213,29 @@ def _with_articles(rows: DataFrame, articles: DataFrame) -> DataFrame:
     return rows.join(articles.select("article_id", "category", "trust_score", "published_at"), "article_id")
 
 
-def ranked_profile(requests, events, feedback, articles, vectors, chunks, limit: int, dim: int = 64, strict: bool = True):
+def ranked_profile(requests, events, feedback, articles, vectors, chunks, limit: int, dim: int = 64, strict: bool = True, index: VectorIndex | None = None):
     """(history, reranked profile candidates) of all requests."""
     # at most 40 rows per request; read by several stages, so written once
     raw = write_once(both_histories(requests, events, feedback, articles, strict))
     history = merge_histories(raw)
-    cand = profile_candidates(profile_vectors(raw, vectors, dim), chunks, articles, history, limit)
+    cand = profile_candidates(profile_vectors(raw, vectors, dim), chunks, articles, history, limit, index)
     weights = category_recency_weights(history, ["request_id"], F.col("hpos") - 1)
     return history, rerank_hybrid(_with_articles(cand, articles), weights, ["request_id"])
 
 
 def recommend(requests: DataFrame, events: DataFrame, feedback: DataFrame, articles: DataFrame, vectors: DataFrame,
               chunks: DataFrame, limit: int = 10, user_vectors: DataFrame | None = None, learned: DataFrame | None = None,
-              dim: int = 64, strict: bool = True) -> DataFrame:
+              dim: int = 64, strict: bool = True, index: VectorIndex | None = None, learned_index: VectorIndex | None = None) -> DataFrame:
     """(request_id, pos, article_id, rec_source, rec_score) for every request.
 
     encoder (when ``user_vectors`` and ``learned`` are given) -> profile -> category -> latest.
     Encoder and profile lists are diversified, guarded, cut, filled and get an explore slot.
+    ``index`` and ``learned_index``: saved indexes of the known chunks and of the learned vectors.
     """
-    history, profiled = ranked_profile(requests, events, feedback, articles, vectors, chunks, limit, dim, strict)
+    history, profiled = ranked_profile(requests, events, feedback, articles, vectors, chunks, limit, dim, strict, index)
     rows = profiled.withColumn("_src", F.lit("profile"))
     if user_vectors is not None and learned is not None:
-        enc = _with_articles(encoder_candidates(user_vectors, learned, history, limit), articles).withColumn("pos", F.col("rank"))
+        enc = _with_articles(encoder_candidates(user_vectors, learned, history, limit, learned_index), articles).withColumn("pos", F.col("rank"))
         cols = ["request_id", "article_id", "category", "trust_score", "score", "pos"]
         enc = enc.select(*cols, F.lit("encoder").alias("_src"))
         rows = enc.unionByName(rows.join(enc.select("request_id").distinct(), "request_id", "left_anti").select(*cols, "_src"))

@@ -282,23 +282,23 @@ def cosine_summary(raw: DataFrame, learned: DataFrame) -> DataFrame:
     return one.join(F.broadcast(middle), how="cross").select("paired_articles", "mean_cosine", ((F.col("a") + F.col("b")) / 2).alias("median_cosine"))
 
 
-def self_retrieval_ranks(queries: DataFrame, chunks: DataFrame) -> DataFrame:
+def self_retrieval_ranks(queries: DataFrame, chunks: DataFrame, index=None) -> DataFrame:
     """(article_id, rank) of every article among all articles by its best chunk; ties by article id, descending.
 
-    Only the article's own best score is needed to rank it, so the job counts better articles
-    per vector block instead of keeping all scores.
+    Only the article's own best score is needed to rank it: it is the floor from which better articles are
+    counted.  ``index``: a saved index of chunk_units(chunks).
     """
     from ..operators.vector_rank import better_articles
-    return better_articles(queries, chunks)
+    return better_articles(queries, chunks, index)
 
 
-def embedding_alignment(raw: DataFrame, learned: DataFrame, chunks: DataFrame) -> DataFrame:
+def embedding_alignment(raw: DataFrame, learned: DataFrame, chunks: DataFrame, index=None) -> DataFrame:
     """Two rows (space raw and learned): paired cosines of the spaces and the self-retrieval of each."""
     pairs = cosine_summary(raw, learned)
     spaces = {"raw": raw.withColumnRenamed("embedding", "vector"), "learned": learned.withColumnRenamed("learned_embedding", "vector")}
     out = None
     for name, q in spaces.items():
-        row = retrieval_metrics(self_retrieval_ranks(q, chunks)).select(F.lit(name).alias("space"), F.col("n").alias("ranked"), "top1", "top5", "mrr")
+        row = retrieval_metrics(self_retrieval_ranks(q, chunks, index)).select(F.lit(name).alias("space"), F.col("n").alias("ranked"), "top1", "top5", "mrr")
         out = row if out is None else out.unionByName(row)
     return out.join(F.broadcast(pairs), how="cross")  # one row
 

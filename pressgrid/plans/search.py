@@ -5,6 +5,9 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .. import constants as K
 from ..functions import text as T
+from ..operators.postings import Postings, raw_idf
+from ..operators.vector_index import VectorIndex
+from ..operators.vector_rank import chunk_units
 from ..operators.vector_topk import cosine_topk
 from ..session import write_once
 
@@ -19,85 +22,69 @@ def _best_chunks(hits: DataFrame, chunks: DataFrame, limit: int) -> DataFrame:
             .select(F.col("qid").alias("query_id"), "article_id", F.col("cid").alias("chunk_id"), "score", "rank"))
 
 
+def known_chunks(chunks: DataFrame, articles: DataFrame) -> DataFrame:
+    """Index rows of the chunks of known articles; the chunks of an article are one unit."""
+    return chunk_units(chunks.join(articles.select("article_id"), "article_id", "left_semi"))
+
+
 def semantic_search(queries: DataFrame, chunks: DataFrame, articles: DataFrame, limit: int = 10,
-                    min_score: float = K.SEMANTIC_MIN_SCORE, overfetch: int = K.OVERFETCH) -> DataFrame:
+                    min_score: float = K.SEMANTIC_MIN_SCORE, overfetch: int = K.OVERFETCH, index: VectorIndex | None = None) -> DataFrame:
     """(query_id, article_id, chunk_id, score, rank) from ``queries`` (query_id, query_vector).
 
     Chunks of unknown articles never match.  The top limit x overfetch chunks are de-duplicated
-    per article, so fewer than ``limit`` articles can come back.
+    per article, so fewer than ``limit`` articles can come back.  ``index``: a saved index of known_chunks().
     """
-    known = chunks.join(articles.select("article_id"), "article_id", "left_semi")
     hits = cosine_topk(queries.select(F.col("query_id").alias("qid"), F.col("query_vector").alias("qvec")),
-                       known.select(F.col("chunk_id").alias("cid"), F.col("embedding").alias("cvec")), limit * overfetch, min_score)
+                       index or known_chunks(chunks, articles), limit * overfetch, min_score)
     return _best_chunks(hits, chunks, limit)
 
 
 def related_articles(vectors: DataFrame, chunks: DataFrame, articles: DataFrame, limit: int = 5,
-                     min_score: float = K.RELATED_MIN_SCORE) -> DataFrame:
+                     min_score: float = K.RELATED_MIN_SCORE, index: VectorIndex | None = None) -> DataFrame:
     """Related articles of every article that has a vector; its own chunks never count."""
     if not 1 <= limit <= 20:
         raise ValueError("limit must be between 1 and 20")
-    known = chunks.join(articles.select("article_id"), "article_id", "left_semi")
     hits = cosine_topk(
         vectors.select(F.col("article_id").alias("qid"), F.col("embedding").alias("qvec"), F.col("article_id").alias("qkey")),
-        known.select(F.col("chunk_id").alias("cid"), F.col("embedding").alias("cvec"), F.col("article_id").alias("ckey")),
+        index or known_chunks(chunks, articles),
         limit * K.OVERFETCH, min_score)
     return _best_chunks(hits, chunks, limit).withColumnRenamed("query_id", "for_article_id")
 
 
-def learned_topk(queries: DataFrame, learned: DataFrame, limit: int) -> DataFrame:
+def learned_rows(learned: DataFrame) -> DataFrame:
+    return learned.select(F.col("article_id").alias("cid"), F.col("learned_embedding").alias("cvec"))
+
+
+def learned_topk(queries: DataFrame, learned: DataFrame, limit: int, index: VectorIndex | None = None) -> DataFrame:
     """Top articles in the learned space, no floor.  ``queries``: (query_id, query_vector)."""
-    hits = cosine_topk(queries.select(F.col("query_id").alias("qid"), F.col("query_vector").alias("qvec")),
-                       learned.select(F.col("article_id").alias("cid"), F.col("learned_embedding").alias("cvec")), limit)
+    hits = cosine_topk(queries.select(F.col("query_id").alias("qid"), F.col("query_vector").alias("qvec")), index or learned_rows(learned), limit)
     return hits.select(F.col("qid").alias("query_id"), F.col("cid").alias("article_id"), "score", "rank")
 
 
 # ---- BM25 ----------------------------------------------------------------------------
 
-def bm25_postings(articles: DataFrame) -> DataFrame:
-    """(term, article_id, tf, dl) of title and body, written once."""
-    toks = articles.select("article_id", T.tokenize_ko(F.concat(F.coalesce("title", F.lit("")), F.lit(" "),
-                                                                F.coalesce("full_text", F.lit("")))).alias("toks"))
-    words = toks.select("article_id", F.size("toks").alias("dl"), F.explode("toks").alias("term"))
-    return write_once(words.groupBy("article_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl")))
-
-
-def bm25_corpus_stats(postings: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(term, df, idf) and the one-row corpus stats (docs, avgdl, mean_idf).
+def bm25_corpus_stats(index: Postings) -> tuple[DataFrame, DataFrame]:
+    """(term, df, idf) and the one-row corpus stats (docs, avgdl, mean_idf), from the index's counts; no posting is read.
 
     Negative idf values are replaced by a quarter of the mean idf; the mean runs over the
     whole vocabulary, negative values included.
     """
-    docs = postings.groupBy("article_id").agg(F.first("dl").alias("dl")).agg(F.count("*").alias("docs"), F.avg("dl").alias("avgdl"))
-    one = docs.withColumn("_o", F.lit(1))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    raw = (df.withColumn("_o", F.lit(1)).join(F.broadcast(one), "_o")
-           .withColumn("raw_idf", F.log(F.col("docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)))
-    mean = raw.agg(F.avg("raw_idf").alias("mean_idf")).withColumn("_o", F.lit(1))
-    idf = F.when(F.col("raw_idf") < 0, F.col("mean_idf") * K.BM25_FLOOR).otherwise(F.col("raw_idf"))
-    terms = raw.join(F.broadcast(mean), "_o").select("term", "df", idf.alias("idf"))
-    return terms, one.join(F.broadcast(mean), "_o").drop("_o")
-
-
-def bm25_constants(postings: DataFrame) -> tuple[int, float, float]:
-    """(documents, mean length, mean idf of the whole vocabulary): three numbers."""
-    docs, avgdl = postings.groupBy("article_id").agg(F.first("dl").alias("dl")).agg(F.count("*"), F.avg("dl")).first()
-    raw = F.log(F.lit(docs) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    mean = postings.groupBy("term").agg(F.count("*").alias("df")).agg(F.avg(raw)).first()[0]
-    return docs, avgdl or 0.0, mean or 0.0
-
-
-def bm25_search(queries: DataFrame, postings: DataFrame, limit: int = 10) -> DataFrame:
+    raw = raw_idf(F.lit(index.docs), F.col("df"))
+    terms = index.counts().select("term", "df", F.when(raw < 0, index.mean_idf * K.BM25_FLOOR).otherwise(raw).alias("idf"))
+    return terms, index.spark.createDataFrame([(index.docs, index.avgdl, index.mean_idf)], "docs long, avgdl double, mean_idf double")
+
+
+def bm25_search(queries: DataFrame, index: Postings, limit: int = 10) -> DataFrame:
     """(query_id, article_id, bm25_score, rank): documents with every query term, relative to the best one.
 
-    Only postings of asked terms are kept.  Candidates come from each query's rarest term; the other
+    Only the buckets of asked terms are read.  Candidates come from each query's rarest term; the other
     terms are then looked up by (article, term), so a common word never pulls its whole posting list.
     """
-    docs, avgdl, mean = bm25_constants(postings)
+    docs, avgdl, mean = index.docs, index.avgdl, index.mean_idf
     asked = write_once(queries.select("query_id", F.explode(T.tokenize_ko(F.col("query"))).alias("term"))
                        .groupBy("query_id", "term").agg(F.count("*").alias("times")), "asked")
-    mine = write_once(postings.join(asked.select("term").distinct(), "term", "left_semi"), "postings")
-    raw = F.log(F.lit(docs) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    mine = write_once(index.postings(asked), "postings")
+    raw = raw_idf(F.lit(docs), F.col("df"))
     terms = mine.groupBy("term").agg(F.count("*").alias("df")).withColumn("idf", F.when(raw < 0, mean * K.BM25_FLOOR).otherwise(raw))
     weighted = write_once(asked.join(terms, "term", "left"), "terms")
     plan = weighted.groupBy("query_id").agg(F.count("*").alias("n_terms"), F.min(F.struct("df", "term")).alias("rarest"),
@@ -134,9 +121,9 @@ def rrf_fusion(semantic: DataFrame, lexical: DataFrame, limit: int, rrf_k: int =
     return top.withColumn("score", F.col("rrf_score") / best)
 
 
-def hybrid_search(queries: DataFrame, chunks: DataFrame, articles: DataFrame, postings: DataFrame, limit: int = 10,
-                  min_semantic_score: float = K.SEMANTIC_MIN_SCORE) -> DataFrame:
-    semantic = semantic_search(queries, chunks, articles, limit * 2, min_semantic_score)
+def hybrid_search(queries: DataFrame, chunks: DataFrame, articles: DataFrame, postings: Postings, limit: int = 10,
+                  min_semantic_score: float = K.SEMANTIC_MIN_SCORE, index: VectorIndex | None = None) -> DataFrame:
+    semantic = semantic_search(queries, chunks, articles, limit * 2, min_semantic_score, index=index)
     return rrf_fusion(semantic, bm25_search(queries, postings, limit * 2), limit)
 
 

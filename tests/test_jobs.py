@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pressgrid.functions import arrow
-from pressgrid.operators import merges as M, near_dup as N, ordering as O, vector_topk as VT
+from pressgrid.operators import merges as M, near_dup as N, ordering as O, vector_index as VI, vector_topk as VT
 from pressgrid.plans import encoders as E
 from pressgrid.streaming import jobs as J
 
@@ -92,8 +92,8 @@ def test_clusters_are_pruned_without_loss(spark, monkeypatch):
     frame = spark.createDataFrame([(str(k), p.tolist()) for k, p in enumerate(points)], "cid string, cvec array<double>")
     asked = spark.createDataFrame([(str(k), points[k].tolist()) for k in range(0, 800, 7)], "qid string, qvec array<double>")
     routed = []
-    real = VT._reachable
-    monkeypatch.setattr(VT, "_reachable", lambda q, c, r: routed.append(real(q, c, r)) or routed[-1])
+    real = VI.VectorIndex._routed
+    monkeypatch.setattr(VI.VectorIndex, "_routed", lambda self, q: routed.append(real(self, q)) or routed[-1])
     got = {(r.qid, r.cid) for r in VT.cosine_topk(asked, frame, 5, pivot_count=8).collect()}
     unit = points / np.linalg.norm(points, axis=1, keepdims=True)
     for k in range(0, 800, 7):
