@@ -63,14 +63,15 @@ INGEST = {
     "ing_clean": f"SELECT * FROM (SELECT article_id, {_TITLE} AS title, source, category, published_at AS date, CASE WHEN CAST(article_id AS BIGINT) % 23 = 0 THEN '?' ELSE source END AS reporter, {clean_body_sql('full_text')} AS content FROM articles) WHERE length(content) >= 100",
     "ing_best": "SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY content ORDER BY length(title) DESC, article_id DESC) AS n FROM ing_clean) WHERE n = 1 AND NOT contains(coalesce(reporter, ''), '?')",
     **greedy_sql("ing", f"SELECT article_id AS id, -length(content) AS k, list_sort({WORDS.format('title')}) AS toks FROM ing_best", 0.7),
-    "ing_old": f"SELECT DISTINCT {WORDS.format('title')} AS toks FROM articles WHERE lang = 'fr'",
+    "ing_old": f"SELECT DISTINCT {WORDS.format('title')} AS toks FROM (SELECT regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages)",
     "ing_new": f"SELECT *, {WORDS.format('title')} AS toks FROM ing_best WHERE article_id NOT IN (SELECT id FROM ing_drop)"}
 
 
 @query("ingest_clean_dedupe", f"""SELECT article_id, title, source, category, date, CASE WHEN contains(reporter, '기자') THEN reporter ELSE reporter || ' 기자' END AS reporter, content
   FROM ing_new n WHERE NOT EXISTS (SELECT 1 FROM ing_old o WHERE len(o.toks) > 0 AND len(n.toks) > 0 AND {_JAC} >= 0.8)""", INGEST)
 def _(spark, d):
-    stored = V.articles(spark, d).where("lang = 'fr'").select("title")
+    # the store holds the titles of all given web pages
+    stored = V.table(spark, d, "pages").select(F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
     return G.ingest_clean_dedupe(raw_rows(spark, d), stored)
 
 

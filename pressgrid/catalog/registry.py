@@ -5,6 +5,8 @@ from .oracle_views import with_views
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+#: (SQL, views) of a query, for others that must give the same rows in another way.
+SAME: dict[str, tuple] = {}
 
 
 def query(name: str, sql: str | None = None, extra: dict[str, str] | None = None):
@@ -13,5 +15,6 @@ def query(name: str, sql: str | None = None, extra: dict[str, str] | None = None
         QUERIES[name] = fn
         if sql is not None:
             ORACLES[name] = with_views(sql, extra)
+            SAME[name] = (sql, extra)
         return fn
     return keep

@@ -186,9 +186,9 @@ def _(spark, d):
     return metrics6(R.ranking_metrics(R.rank_latest(rows(spark, d)[2])))
 
 
-@query("sample_closure_filter", "SELECT sample_id FROM samples s WHERE NOT EXISTS (SELECT 1 FROM (SELECT unnest(list_concat(list_concat([s.positive], s.negatives), s.history)) AS a) u WHERE a NOT IN (SELECT article_id FROM articles WHERE trust_score > 5))", SV)
+@query("sample_closure_filter", "SELECT sample_id FROM samples s WHERE NOT EXISTS (SELECT 1 FROM (SELECT unnest(list_concat(list_concat([s.positive], s.negatives), s.history)) AS a) u WHERE a NOT IN (SELECT article_id FROM articles))", SV)
 def _(spark, d):
-    return R.closed_samples(samples(spark, d), V.articles(spark, d).where("trust_score > 5")).select("sample_id")
+    return R.closed_samples(samples(spark, d), V.articles(spark, d)).select("sample_id")
 
 
 @query("time_ordered_split", "SELECT sample_id, CASE WHEN row_number() OVER (ORDER BY event_at, sample_id) - 1 < floor(count(*) OVER () * CAST(0.8 AS DOUBLE)) THEN 'train' ELSE 'validation' END AS part FROM samples", SV)

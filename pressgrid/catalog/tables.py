@@ -9,7 +9,7 @@ from ..operators import articles as A, dashboards as D, merges as M
 from ..schemas import LIST_COLUMNS, article_response
 from ..sources import views as V
 from .oracle_views import lst
-from .registry import query
+from .registry import SAME, query
 
 LIST = ", ".join(LIST_COLUMNS)
 NEWEST = "ORDER BY published_at DESC, article_id"
@@ -170,21 +170,34 @@ def _(spark, d):
     return D.daily_active_sessions(V.event_log(spark, d), latest=True)
 
 
+_RETIRED = """SELECT log_id, event_type, article_id FROM event_log
+  UNION ALL SELECT 'r' || page_id, CASE WHEN page_id % 3 = 0 THEN 'open_trust_modal' ELSE 'view_article_detail' END, 'p' || page_id FROM pages"""
+
+
+def _with_retired(spark, d):
+    """The log, and events on articles that are not in the table any more: the given web pages, whose ids no article has."""
+    page = F.col("page_id").cast("string")
+    retired = V.table(spark, d, "pages").select(F.concat(F.lit("r"), page).alias("log_id"),
+                                                F.when(F.col("page_id") % 3 == 0, "open_trust_modal").otherwise("view_article_detail").alias("event_type"),
+                                                F.concat(F.lit("p"), page).alias("article_id"))
+    return V.event_log(spark, d).select("log_id", "event_type", "article_id").unionByName(retired)
+
+
 @query("top_viewed_articles", f"""SELECT coalesce(a.title, '{K.DELETED_TITLE}') AS title,
   count(CASE WHEN e.event_type = 'view_article_detail' THEN 1 END) AS view_cnt, count(CASE WHEN e.event_type = 'open_trust_modal' THEN 1 END) AS trust_cnt,
   count(CASE WHEN e.event_type = 'click_feedback' THEN 1 END) AS feedback_cnt
-  FROM event_log e LEFT JOIN (SELECT * FROM articles WHERE trust_score IS NOT NULL) a ON e.article_id = a.article_id WHERE e.article_id IS NOT NULL AND e.article_id <> ''
+  FROM ({_RETIRED}) e LEFT JOIN articles a ON e.article_id = a.article_id WHERE e.article_id IS NOT NULL AND e.article_id <> ''
   GROUP BY a.article_id, a.title HAVING count(CASE WHEN e.event_type = 'view_article_detail' THEN 1 END) > 0
   ORDER BY view_cnt DESC, a.article_id NULLS LAST LIMIT 10""")
 def _(spark, d):
-    return D.top_viewed_articles(V.event_log(spark, d), V.articles(spark, d).where("trust_score is not null"))
+    return D.top_viewed_articles(_with_retired(spark, d), V.articles(spark, d))
 
 
-@query("events_left_article", """SELECT e.log_id, e.event_type, e.article_id, a.title FROM event_log e
-  LEFT JOIN (SELECT * FROM articles WHERE trust_score IS NOT NULL) a ON e.article_id = a.article_id WHERE e.article_id IS NOT NULL""")
+@query("events_left_article", f"""SELECT e.log_id, e.event_type, e.article_id, a.title FROM ({_RETIRED}) e
+  LEFT JOIN articles a ON e.article_id = a.article_id WHERE e.article_id IS NOT NULL""")
 def _(spark, d):
-    a = V.articles(spark, d).where("trust_score is not null").select("article_id", "title")
-    return V.event_log(spark, d).where("article_id is not null").select("log_id", "event_type", "article_id").join(a, "article_id", "left")
+    a = V.articles(spark, d).select("article_id", "title")
+    return _with_retired(spark, d).where("article_id is not null").join(a, "article_id", "left")
 
 
 AS_OF = "2024-01-31"
@@ -231,9 +244,9 @@ def _(spark, d):
 
 
 @query("missing_categories", f"""SELECT category, 0 AS total, 0 AS unanalyzed, 0 AS today_articles FROM (SELECT unnest({lst(K.CATEGORY_DISPLAY_ORDER)}) AS category)
-  WHERE category NOT IN (SELECT category FROM articles WHERE category IS NOT NULL AND lang <> 'en' AND trust_score > 95)""")
+  WHERE category NOT IN (SELECT category FROM articles WHERE category IS NOT NULL)""")
 def _(spark, d):
-    return D.missing_categories(V.articles(spark, d).where("lang <> 'en' and trust_score > 95"))
+    return D.missing_categories(V.articles(spark, d))
 
 
 @query("source_list", "SELECT DISTINCT source FROM articles WHERE source IS NOT NULL")
@@ -444,3 +457,58 @@ def _(spark, d):
 def _(spark, d):
     from ..plans import history as H
     return H.impression_negatives(V.event_log(spark, d), user_id="7", limit=20)
+
+
+# ---- saved tables ----------------------------------------------------------------------
+
+def _log_by_day(spark, d):
+    """The whole event table, appended in two halves to a log by day."""
+    from ..operators.event_log import EventLog
+    from ..session import new_path
+    raw = V.raw_events(spark, d).drop("event_time")
+    users, half = V.users(spark, d), F.col("log_id").cast("bigint") % 2
+    log = EventLog(spark, new_path(spark, "event-log"), M.prepare_events(raw, users).schema)
+    log.append(raw.where(half == 0), users)
+    log.append(raw, users)
+    return log
+
+
+@query("event_log_by_day", """SELECT substr(created_at, 1, 10) AS day, event_type, count(*) AS events, count(DISTINCT log_id) AS ids, count(user_id) AS with_user
+  FROM event_log WHERE substr(created_at, 1, 10) >= '2024-01-17' GROUP BY 1, 2""")
+def _(spark, d):
+    log = _log_by_day(spark, d).read(since="2024-01-17")
+    return log.groupBy(F.substring("created_at", 1, 10).alias("day"), "event_type").agg(
+        F.count("*").alias("events"), F.count_distinct("log_id").alias("ids"), F.count("user_id").alias("with_user"))
+
+
+def _in_buckets(rows, key):
+    from ..operators.bucketed import create_table
+    from ..session import new_path
+    return create_table(rows, new_path(rows.sparkSession, "buckets"), key)
+
+
+@query("upsert_articles_in_buckets", *SAME["upsert_articles"])
+def _(spark, d):
+    table = _in_buckets(V.articles(spark, d).drop("lang").withColumn("embed_summary", F.lit("[1]")), "article_id")
+    table.upsert(_incoming(spark, d).select("article_id", "title", "embed_summary"), keep=M.KEEP_ON_CONFLICT)
+    return table.read().select("article_id", "title", "embed_summary")
+
+
+@query("upsert_chunks_in_buckets", *SAME["upsert_chunks"])
+def _(spark, d):
+    c = V.chunks(spark, d)
+    edit = c.where(F.col("chunk_id").cast("int") % 3 == 0).withColumns({"chunk_text": F.lit("edited"), "article_id": F.lit("x")})
+    table = _in_buckets(c, "chunk_id")
+    table.upsert_chunks(edit.unionByName(edit.withColumn("chunk_id", F.concat(F.lit("n"), "chunk_id"))))
+    return table.read().select("chunk_id", "article_id", "chunk_text")
+
+
+@query("delete_cascade_in_buckets", *SAME["delete_cascade"])
+def _(spark, d):
+    from ..operators.bucketed import delete_cascade
+    a = V.articles(spark, d)
+    tables = {"articles": _in_buckets(a.select("article_id", "title", "lang"), "article_id"), "chunks": _in_buckets(V.chunks(spark, d).select("chunk_id", "article_id"), "article_id"),
+              "feedback": _in_buckets(V.feedback(spark, d), "article_id")}
+    delete_cascade(tables, a.where("lang = 'fr'").select("article_id"))
+    parts = [t.read().agg(F.lit(n).alias("part"), F.count("*").alias("n")) for n, t in tables.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])

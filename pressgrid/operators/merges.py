@@ -111,12 +111,11 @@ def prepare_events(events: DataFrame, users: DataFrame) -> DataFrame:
     return safe_users(events, users).withColumn("event_data", arrow.redact_json("event_data"))
 
 
-def append_events(events: DataFrame, users: DataFrame, path: str, at: Column | None = None, id_col: str = "log_id") -> DataFrame:
-    """Append prepared events to the log table at a path and read the log back.
+def new_events(events: DataFrame, users: DataFrame, at: Column | None = None, id_col: str = "log_id") -> DataFrame:
+    """Prepared events with an id and a time each, one row an id.
 
     An event without an id gets a repeatable one from its content and its place among equal events, so a
-    repeated task writes the same row; one without a time gets ``at`` (the current time).  An id that
-    the log has already is not appended again.
+    repeated task writes the same row; one without a time gets ``at`` (the current time).
     """
     rows = prepare_events(events, users)
     content = F.sha2(F.to_json(F.struct(*[F.col(c) for c in rows.columns if c not in (id_col, "created_at")]), {"ignoreNullFields": "false"}), 256)
@@ -125,7 +124,12 @@ def append_events(events: DataFrame, users: DataFrame, path: str, at: Column | N
     new = rows.where(F.col(id_col).isNull())
     place = F.row_number().over(W.partitionBy("_c", "created_at").orderBy("_c"))
     new = new.withColumn(id_col, F.concat_ws("-", F.lit("e"), F.substring("_c", 1, 32), F.sha2("created_at", 224).substr(1, 8), place))
-    rows = rows.where(F.col(id_col).isNotNull()).unionByName(new).drop("_c").dropDuplicates([id_col])
+    return rows.where(F.col(id_col).isNotNull()).unionByName(new).drop("_c").dropDuplicates([id_col])
+
+
+def append_events(events: DataFrame, users: DataFrame, path: str, at: Column | None = None, id_col: str = "log_id") -> DataFrame:
+    """Append new events to the log table at a path and read the log back; an id that the log has already is not appended again."""
+    rows = new_events(events, users, at, id_col)
     spark = events.sparkSession
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):

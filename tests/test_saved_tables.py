@@ -80,3 +80,24 @@ def test_votes_replace_each_other_within_their_bucket(spark):
     table = B.create_table(old, new_path(spark, "votes"), "article_id", 8)
     assert len(table.replace_feedback(new, users)) == 1
     assert {r.feedback_id: r.user_id for r in table.read().collect()} == {"f4": "u1", "f5": None, "f3": "u1"}
+
+
+def test_log_by_day_reads_asked_days_and_compacts_one(spark):
+    from pressgrid.operators.event_log import EventLog
+    schema = "log_id string, session_id string, event_type string, article_id string, event_data string, created_at string, user_id string"
+    rows = [(f"e{k}", "s", "view", "a", "{}", f"2024-01-{1 + k % 5:02d}T00:00:{k:02d}", "u1" if k % 2 else "nobody") for k in range(40)]
+    users = spark.createDataFrame([("u1",)], "user_id string")
+    frame = lambda r: spark.createDataFrame(r, schema)
+    log = EventLog(spark, new_path(spark, "log"), frame(rows).schema)
+    for part in (rows[:15], rows[10:30], rows[25:]):
+        log.append(frame(part), users)
+    want = sorted((*r[:6], "u1" if r[6] == "u1" else None) for r in rows)
+    assert rows_of(log.read()) == want
+    late = log.read(since="2024-01-04")
+    assert rows_of(late) == [r for r in want if r[5] >= "2024-01-04"]
+    assert re.search(r"PartitionFilters: \[[^\]]*day#\d+ >= 2024-01-04", late._jdf.queryExecution().executedPlan().toString())
+    of_day = lambda: {d: {f for f in log.read().inputFiles() if f"day=2024-01-{d}" in f} for d in ("02", "03")}
+    before = of_day()
+    assert len(before["02"]) == 3 and log.compact("2024-01-02") == 1
+    after = of_day()
+    assert len(after["02"]) == 1 and after["03"] == before["03"] and rows_of(log.read()) == want
