@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pressgrid.llm.arrays import saved
+from pressgrid.llm.arrays import forget, saved
 from pressgrid.llm.compression_bands import good_documents
 from pressgrid.llm.decontamination import clean_documents
 from pressgrid.llm.line_frequency import without_boilerplate
@@ -49,7 +49,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, written = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES:
         docs = saved(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+        forget(*written)
+        written = [docs]
     return docs

@@ -1,6 +1,7 @@
 """Helpers of the operators: word arrays over Arrow text columns, column-adding maps, written intermediates."""
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,6 +14,8 @@ from ..session import drop_written, write_once
 
 #: Text bytes that one vectorised step works on; a longer document is a step of its own.
 CHUNK_BYTES = 3 << 20
+#: The same for maps that work row by row, where larger steps gain nothing.
+MAP_BYTES = 1 << 20
 
 _ALL = np.arange(256)
 #: Bytes of words that white space (blank and the controls 9 to 13) separates.
@@ -59,12 +62,12 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
-def pieces_of(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """The batch in runs of rows with about CHUNK_BYTES of text each."""
+def pieces_of(batch: pa.RecordBatch, column: str, size: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows with about so many bytes of text each."""
     _, offsets = text_bytes(batch.column(column))
     at = 0
     while at < batch.num_rows:
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK_BYTES, side="right")) - 1)
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, side="right")) - 1)
         yield batch.slice(at, to - at)
         at = to
 
@@ -92,7 +95,7 @@ def _power(kind: str, n: int) -> np.ndarray:
         have = np.full(max(n, 1 << 16), base, np.uint64)
         have[0] = 1
         have = np.cumprod(have, dtype=np.uint64)
-        if n <= 8 * CHUNK_BYTES:
+        if n <= CHUNK_BYTES + (1 << 20):
             _powers[kind] = have
     return have[:n]
 
@@ -135,6 +138,14 @@ def sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 # --- maps -----------------------------------------------------------------------------------------
 
+def release() -> None:
+    """Give freed memory back to the system: a worker goes on to other stages, beside others of its executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the GNU library has it
+    if trim:
+        trim(0)
+
+
 def add_columns(docs: DataFrame, schema: str, make: Callable[[], Callable[[pa.Array], list]], text: str = "text",
                 keep: list[str] | None = None) -> DataFrame:
     """Rows of docs with columns computed from the text, in Arrow batches.
@@ -152,8 +163,10 @@ def add_columns(docs: DataFrame, schema: str, make: Callable[[], Callable[[pa.Ar
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            for part in pieces_of(batch, "_input_text"):
+            for part in pieces_of(batch, "_input_text", MAP_BYTES):
                 done = work(part.column("_input_text"))
                 yield pa.RecordBatch.from_arrays([part.column(i) for i in range(len(stay))] + [pa.array(x) if isinstance(x, np.ndarray) else x for x in done], names=out.names)
+                del done, part
+            release()
 
     return source.mapInArrow(run, out)

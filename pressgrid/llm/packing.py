@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
-from .arrays import LOWER, SPACED, forget, parts, pieces_of, runs, saved, span_hashes, text_bytes, tidy
+from .arrays import LOWER, MAP_BYTES, SPACED, forget, parts, pieces_of, release, runs, saved, span_hashes, text_bytes, tidy
 
 CAPACITY = 4096
 END_ID = 1
@@ -147,6 +147,7 @@ class WordTokens:
         return ids, bounds
 
 
+#: Tokenizers of a worker, loaded once; their parts of words go at the end of each task.
 _workers: dict[str, WordTokens] = {}
 
 
@@ -162,21 +163,25 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
 
     def run(batches):
         own = _workers.setdefault(tokenizer, WordTokens(tokenizer)) if tokenizer not in _workers else _workers[tokenizer]
-        for batch in batches:
-            for part in pieces_of(batch, "_input_text"):
-                ids, bounds = own.encode(part.column("_input_text"), end_id)
-                total = np.diff(bounds)
-                n = -(-total // capacity)
-                row = np.repeat(np.arange(len(total)), n)
-                piece = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                start = piece * capacity
-                length = np.minimum(total[row] - start, capacity)
-                raw = ids.astype("<u4")
-                begin = bounds[row] + start
-                crc = np.array([zlib.crc32(raw[a:a + k]) for a, k in zip(begin.tolist(), length.tolist())], np.int64)
-                kept = [part.column(i).take(pa.array(row)) for i in range(len(stay))]
-                more = [pa.ListArray.from_arrays(pa.array(np.append(begin, len(ids)).astype(np.int32)), pa.array(ids.astype(np.int32)))] if with_ids else []
-                yield pa.RecordBatch.from_arrays(kept + [pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc)] + more, names=out.names)
+        try:
+            for batch in batches:
+                for part in pieces_of(batch, "_input_text", MAP_BYTES):
+                    ids, bounds = own.encode(part.column("_input_text"), end_id)
+                    total = np.diff(bounds)
+                    n = -(-total // capacity)
+                    row = np.repeat(np.arange(len(total)), n)
+                    piece = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    start = piece * capacity
+                    length = np.minimum(total[row] - start, capacity)
+                    raw = ids.astype("<u4")
+                    begin = bounds[row] + start
+                    crc = np.array([zlib.crc32(raw[a:a + k]) for a, k in zip(begin.tolist(), length.tolist())], np.int64)
+                    kept = [part.column(i).take(pa.array(row)) for i in range(len(stay))]
+                    more = [pa.ListArray.from_arrays(pa.array(np.append(begin, len(ids)).astype(np.int32)), pa.array(ids.astype(np.int32)))] if with_ids else []
+                    yield pa.RecordBatch.from_arrays(kept + [pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc)] + more, names=out.names)
+        finally:  # the worker goes on to other stages
+            own.clear()
+            release()
 
     return source.mapInArrow(run, out)
 
