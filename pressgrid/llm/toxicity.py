@@ -32,11 +32,13 @@ from pyspark.sql.types import StructType
 
 from .arrays import ALNUM, LOWER, forget, mix, pieces_of, runs, saved, span_hashes, text_bytes, text_of, tidy
 
-SAMPLE_BYTES = 32 << 20
+SAMPLE_BYTES = 16 << 20
 SAMPLE_ROWS = 200_000
 #: Discounts in standard errors of a count: of pairs, of words; the least discount, and that of the shared counts.
 PAIR_ERRORS, WORD_ERRORS, DISCOUNT = 4.0, 2.0, 0.75
 LIMIT, MARGIN = 3.0, 0.5
+#: Text bytes that one vectorised step works on.
+STEP_BYTES = 1 << 20
 THRESHOLD = 0.3
 FOLDS = 4
 
@@ -91,7 +93,7 @@ def count_texts(sample: DataFrame) -> DataFrame:
     """(before, word, n0, n1, ...): texts that hold the pair, n[fold * 2 + class]; with a null before, texts that hold the word."""
     def count(batches):
         for batch in batches:
-            for part in pieces_of(batch, "text"):
+            for part in pieces_of(batch, "text", STEP_BYTES):
                 words, before, first = tokens(part.column("text"))
                 text = text_of(first)
                 place = part.column("fold").to_numpy() * 2 + part.column("toxic").to_numpy()
@@ -188,7 +190,7 @@ def mean_ratios(docs: DataFrame, models: list[dict[str, np.ndarray]], keep: list
         tables, knots = sent.value
         x, y = np.array(knots).T
         for batch in batches:
-            for part in pieces_of(batch, "_text"):
+            for part in pieces_of(batch, "_text", STEP_BYTES):
                 words, before, first = tokens(part.column("_text"))
                 fold = part.column("_fold").to_numpy()[text_of(first)]
                 ratio = np.zeros(len(words))
