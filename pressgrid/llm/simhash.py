@@ -5,7 +5,7 @@ one node before anything is compared.
 
 Candidates, without loss: two fingerprints within radius r differ in at most r of b bit blocks, so
 they agree on at least b - r whole blocks.  Every choice of b - r blocks is a key; b grows with the
-number of fingerprints so that a key keeps its selectivity (5 blocks up to half a million, then 6,
+number of fingerprints so that a key keeps its selectivity (5 blocks up to 262,144, then 6,
 7, 8).  A key with more than TILE fingerprints is cut into tiles that several tasks compare.
 
 Comparison: the fingerprints of a key are stored vertically, 64 of them in one word for each bit
