@@ -67,14 +67,15 @@ def candidates(docs: DataFrame, path: str = "source", text: str = "text", id_col
         inside = (word.contains("=") | word.contains(":")) & word.rlike(f"{_NAME}{_SIGN}")
         return ((F.length(word) >= MIN_LENGTH) & word.rlike(_TOKEN)) | ((F.length(word) >= MIN_ASSIGNED) & (inside | follows(F.get("w", i - 1), F.get("w", i - 2))))
 
-    found = words.select("doc_id", "path", "w", F.explode(F.filter(F.sequence(F.lit(0), F.size("w") - 1), asked)).alias("place"))
-    near = lambda k: F.coalesce(F.get("w", F.col("place") + k), F.lit(""))
-    found = found.select("doc_id", "path", F.col("place").cast("long").alias("place"), near(-1).alias("before"), near(-2).alias("near"), near(1).alias("after"),
-                         F.get("w", F.col("place")).alias("word"))
+    # a candidate takes its word and the words beside it along: the array of all words ends here, so a text costs its length
+    at = lambda i: F.coalesce(F.get("w", i), F.lit(""))
+    beside = lambda i: F.struct(i.cast("long").alias("place"), at(i - 1).alias("before"), at(i - 2).alias("near"), at(i + 1).alias("after"), at(i).alias("word"))
+    places = F.filter(F.sequence(F.lit(0), F.size("w") - 1), asked)
+    found = words.select("doc_id", "path", F.explode_outer(F.transform(places, beside)).alias("c")).where("c is not null").select("doc_id", "path", "c.*")
     marked = F.regexp_replace(F.replace("word", F.lit(_MARK), F.lit(" ")), f"({_NAME})({_SIGN}[\\\\{_QUOTE}]*)", f"$1{_MARK}$2{_MARK}")
     marked = F.when(follows(F.col("before"), F.col("near")), F.regexp_replace(marked, f"^([\\\\{_QUOTE}]*)", f"$1{_MARK}")).otherwise(marked)
     found = found.withColumn("marked", marked).withColumns({"leads": F.regexp_extract_all("marked", F.lit(_EACH), 1), "runs": F.regexp_extract_all("marked", F.lit(_EACH), 2)})
-    found = found.select("*", F.posexplode("runs").alias("run", "finding"))
+    found = found.select("*", F.posexplode_outer("runs").alias("run", "finding")).where("finding is not null")
     lead = F.get("leads", F.col("run"))
     return found.select("doc_id", "path", "place", F.col("run").cast("long").alias("run"), F.rtrim("finding", F.lit("\\")).alias("finding"), "before", "near", "after", "word",
                         F.replace(F.concat(F.coalesce(F.get("runs", F.col("run") - 1), F.lit("")), lead), F.lit(_MARK), F.lit("")).alias("lead"),

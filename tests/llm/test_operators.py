@@ -267,6 +267,56 @@ def test_hits_of_odd_and_empty_tables(spark, odd_docs, no_docs, item_rows):
     assert decontamination.contaminated_words(no_docs, items).count() == 0
 
 
+def brute_candidates(text):
+    """(place, run, finding) of a text, character by character."""
+    name, quotes = f"(?i:{secret_scan.CREDENTIAL_WORDS})(?i:[_-]?key)?[\\\\\"'`]*", "\"'`"
+    token = lambda c: c.isascii() and (c.isalnum() or c in "+/_=.-")
+    out, before, near = [], "", ""
+    for place, word in enumerate(re.split("[ \t-\r]+", text)):
+        assigned = bool(re.search(f"{name}[=:]{{1,2}}>?$", before) or (re.search("^[=:]{1,2}>?$", before) and re.search(f"{name}$", near)))
+        m = re.sub(f"({name})([=:]{{1,2}}>?[\\\\\"'`]*)", "\\1\0\\2\0", word.replace("\0", " "))
+        m = re.sub("^([\\\\\"'`]*)", "\\1\0", m) if assigned else m
+        i = run = 0
+        while i < len(m):
+            end, quote = i, m[i - 2] if i > 1 and m[i - 2] in quotes else ""
+            if i and m[i - 1] == "\0":
+                while end < len(m) and m[end] not in (quote or quotes + ",;&(){}[]<>") + "\0":
+                    end += 1
+            if end - i < secret_scan.MIN_ASSIGNED:
+                end = i
+                while end < len(m) and token(m[end]):
+                    end += 1
+                if end - i < secret_scan.MIN_LENGTH:
+                    i += 1
+                    continue
+            out.append((place, run, m[i:end].rstrip("\\")))
+            i, run = end, run + 1
+        before, near = word, before
+    return out
+
+
+def test_candidates_equal_brute_force_on_random_texts(spark):
+    rnd = random.Random(21)
+    parts = ["password", "api_key", "Token", "auth", "=", ":", "=>", "\"", "'", "\\", ",", "&", " ", " ", "\n", "abc", "X9", "0f" * 9, "k-" * 8, "é", "日本", "/", "(", "]", "s3cr3t", "plain"]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 40))) for _ in range(3000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("source", F.lit("a"))
+    got = defaultdict(list)
+    for r in secret_scan.candidates(docs).orderBy("doc_id", "place", "run").collect():
+        got[r.doc_id].append((r.place, r.run, r.finding))
+    want = {k: brute_candidates(t) for k, t in enumerate(texts)}
+    assert sum(map(len, want.values())) > 2000
+    assert dict(got) == {k: v for k, v in want.items() if v}
+
+
+def test_one_text_of_many_candidates(spark):
+    """The words beside a candidate travel with it, not the whole text: 160,000 candidates of one text."""
+    n = 160_000
+    docs = spark.range(1).select(F.col("id").alias("doc_id"), F.lit("a").alias("source"),
+                                 F.array_join(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.substring(F.sha2(i.cast("string").cast("binary"), 256), 1, 20)), " ").alias("text"))
+    rows = secret_scan.candidates(docs).select(F.count("*"), F.min("place"), F.max("place"), F.countDistinct("before")).first()
+    assert tuple(rows) == (n, 0, n - 1, n)
+
+
 # --- 6 --------------------------------------------------------------------------------------------
 
 def test_boilerplate_lines_go_and_copies_count_once(spark):
@@ -281,6 +331,24 @@ def test_boilerplate_lines_go_and_copies_count_once(spark):
     assert got[300].text is None and got[300].n_lines == 0 and got[301].text == "" and got[302].text == "x\nfooter of a"
 
 
+def test_small_sites_lose_lines_of_all_their_pages(spark):
+    rows = [(k, f"text {k}\nhead\n{'some' if k != 3 else 'other'}", f"s{k % 2}") for k in (2, 3, 4, 5, 6)] + [(9, "text\nhead", "single"), (10, "text\nhead", "single")]
+    got = {r.doc_id: r.text for r in line_frequency.without_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    # s0 has three pages, all with head and some; s1 has two, both with head only
+    assert got == {2: "text 2", 4: "text 4", 6: "text 6", 3: "text 3\nother", 5: "text 5\nsome", 9: "text\nhead", 10: "text\nhead"}
+
+
+def test_lists_too_large_to_broadcast_are_joined_in_parts(spark, odd_docs):
+    rnd = random.Random(8)
+    rows = [(k, f"own {k}\nfoot\n{prose(rnd, 4)}", "hot" if k % 3 else f"s{k % 9}") for k in range(150)] + [(500 + k, "copy\nfoot", "hot") for k in range(80)] + [(600, "x\nfoot", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for table in (docs, odd_docs):
+        whole = line_frequency.without_boilerplate(table)
+        parts = line_frequency.without_boilerplate(table, broadcast_bytes=-1, part_pages=7)
+        assert sorted(map(str, parts.collect())) == sorted(map(str, whole.collect()))
+    assert "BroadcastHashJoin" in line_frequency.without_boilerplate(docs)._jdf.queryExecution().toString()
+
+
 def test_lines_of_odd_and_empty_tables(odd_docs, no_docs):
     out = line_frequency.without_boilerplate(odd_docs)
     assert out.count() == odd_docs.count() and [c.lower() for c in out.columns].count("n_lines") == 1

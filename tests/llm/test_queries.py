@@ -39,7 +39,7 @@ def _without_boilerplate(docs):
         for line in d["text"].split("\n"):
             if line.strip(" "):
                 held[d["source"], line.strip(" ")].add(d["text"])
-    gone = {k for k, v in held.items() if len(v) >= line_frequency.MIN_PAGES and len(v) > len(pages[k[0]]) * line_frequency.MAX_RATIO}
+    gone = {k for k, v in held.items() if len(v) >= max(2, min(line_frequency.MIN_PAGES, len(pages[k[0]]))) and len(v) > len(pages[k[0]]) * line_frequency.MAX_RATIO}
     return [d | {"text": "\n".join(x for x in d["text"].split("\n") if (d["source"], x.strip(" ")) not in gone)} for d in docs]
 
 
