@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..sources import views as V
-from ..streaming import jobs as J
+from ..streaming import jobs as J, stateful as S
 from .oracle_views import lst
 from .registry import query
 from .replay import POS
@@ -41,8 +41,9 @@ _SESS = {
 
 @query("stream_impression_batches", """SELECT session_id, context, strftime(t0, '%Y-%m-%dT%H:%M:%S.%g') AS opened_at, n AS items FROM sess""", _SESS)
 def _(spark, d):
-    emitted = J.run_append(J.impression_batches(J.impression_items(log(spark, d))), "batches")
-    out = J.open_batches(emitted, J.impression_items(V.event_log(spark, d)))
+    with S.rocksdb_state(spark):
+        updates = J.run_update(S.impression_batches(J.impression_items(log(spark, d))), "batches")
+    out = S.settled(updates)
     return out.select("session_id", "context", F.date_format("opened_at", ISO).alias("opened_at"), F.size("articles").cast("bigint").alias("items"))
 
 
@@ -79,5 +80,6 @@ def _(spark, d):
 @query("stream_history_state", f"""SELECT subject, article_id, created_at, pos FROM (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY created_at DESC, article_id DESC) AS pos FROM (
   SELECT CASE WHEN user_id IS NOT NULL THEN 'user:' || user_id ELSE 'session:' || session_id END AS subject, article_id, created_at FROM event_log WHERE event_type IN ({POS}) AND article_id <> '')) WHERE pos <= 20""")
 def _(spark, d):
-    out = J.run_update(J.history_state(log(spark, d)), "history")
+    with S.rocksdb_state(spark):
+        out = J.run_update(S.history_state(log(spark, d)), "history")
     return J.latest_state(out).select("subject", "article_id", "created_at", "pos")

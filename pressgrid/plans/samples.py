@@ -14,10 +14,12 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .. import constants as K
 from ..functions import payload as P, text as T
-from ..operators.ordering import positions, range_number, splitters
+from ..operators.ordering import positions, ranged
 from ..session import write_once
 
 DEDUPE_SECONDS = 30
+#: Places of the catalog's hash order that are broadcast to all subjects.
+HEAD_PLACES = 4096
 _NO_IDS = "cast(array() as array<string>)"
 
 
@@ -75,10 +77,10 @@ def kept_positives(positives: DataFrame, seconds: int = DEDUPE_SECONDS) -> DataF
     no longer than ``seconds`` keeps its first row (an aggregate).  Only longer bursts need the
     sequential scan, which holds one row of state.
     """
-    rows = write_once(positives.withColumn("t", (F.unix_micros(T.parse_iso(F.col("created_at"))) / 1e6)))
-    bad = rows.where("t is null").select("subject", "article_id", "created_at")
-    rows = rows.withColumn("_b", range_number(F.col("created_at"), splitters(rows, "created_at")))
     keys = ["subject", "article_id"]
+    rows = positives.withColumn("t", (F.unix_micros(T.parse_iso(F.col("created_at"))) / 1e6))
+    rows = ranged(rows, [*keys, "created_at"]).withColumnRenamed("_r", "_b")  # a hot pair of subject and article has several ranges
+    bad = rows.where("t is null").select("subject", "article_id", "created_at")
     r = _previous(rows, keys, "created_at", F.coalesce("t", F.lit(-1e18)), "prev", "_b")
     starts = F.when(F.col("prev").isNull() | (F.col("t") - F.col("prev") > seconds), F.col("created_at"))
     r = r.where("t is not null").withColumn("_start", starts)
@@ -151,8 +153,7 @@ def temporal_samples(events: DataFrame, feedback: DataFrame, allowed: DataFrame
     no_items = F.expr("cast(array() as array<struct<p: int, a: string, d: string>>)")
     rows = fresh.select("subject", "created_at", F.lit(0).alias("kind"), "ids", "items", null.alias("article_id")).unionByName(
         kept.select("subject", "created_at", F.lit(1).alias("kind"), F.expr(_NO_IDS).alias("ids"), no_items.alias("items"), "article_id"))
-    keyed = write_once(rows.withColumn("key", F.concat("subject", F.lit("\u0001"), "created_at")), "actions")
-    keyed = write_once(keyed.withColumn("blk", range_number(F.col("key"), splitters(keyed, "key"))).drop("key"), "blocks")
+    keyed = ranged(rows, ["subject", "created_at"]).withColumnRenamed("_r", "blk")
     base = keyed.select("subject", "blk", F.lit(3).alias("phase"), "created_at", "kind", "ids", F.transform("items", lambda x: x["a"]).alias("alive"),
                         F.lit(0).alias("pos"), "article_id")
     state = _entry_state(keyed, history_size, negative_count)
@@ -247,8 +248,8 @@ def legacy_samples(events: DataFrame, feedback: DataFrame, catalog: DataFrame, h
 
 def _with_history(positives, negatives, catalog, history_size, negative_count, seed) -> DataFrame:
     # Position of every positive inside its subject, found per time block so that a hot subject is spread.
-    rows = positives.withColumn("ord", F.concat("created_at", F.lit("\u0001"), "key"))
-    rows = rows.withColumn("_b", range_number(F.col("ord"), splitters(rows, "ord")))
+    ordered = positives.withColumn("ord", F.concat("created_at", F.lit("\u0001"), "key"))
+    rows = ranged(ordered, ["subject", "ord"]).withColumnRenamed("_r", "_b")
     inside = W.partitionBy("subject", "_b").orderBy("ord")
     tails = rows.withColumn("_n", F.row_number().over(W.partitionBy("subject", "_b").orderBy(F.col("ord").desc()))).where(F.col("_n") <= history_size)
     tails = tails.groupBy("subject", "_b").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "article_id"))), lambda s: s["article_id"]).alias("tail"),
@@ -261,7 +262,7 @@ def _with_history(positives, negatives, catalog, history_size, negative_count, s
     full = F.concat("carry", local)
     hist = F.when(F.size(full) > history_size, F.slice(full, -history_size, history_size)).otherwise(full)
     s = rows.join(carried, ["subject", "_b"]).withColumn("history", hist).where(F.size("history") > 0).join(negatives, "subject", "left")
-    spare = _unread_catalog(positives.withColumn("ord", F.concat("created_at", F.lit("\u0001"), "key")), negatives, catalog, negative_count, seed)
+    spare = _unread_catalog(rows, negatives, catalog, negative_count, seed)
     s = s.join(spare, "subject", "left")
     neg = F.coalesce("neg", F.expr(_NO_IDS))
     usable = F.filter("spare", lambda x: (x["a"] != F.col("article_id")) & F.coalesce(x["first"] >= F.col("ord"), F.lit(True)))
@@ -281,7 +282,11 @@ def _unread_catalog(positives: DataFrame, negatives: DataFrame, catalog: DataFra
     short = reads.groupBy("subject").agg(F.count("*").alias("m")).join(negatives.where(F.size("neg") >= need).select("subject"), "subject", "left_anti")
     hashed = catalog.select("article_id").distinct().withColumn("h", F.concat(F.sha2(F.concat(F.lit(seed), F.lit("|"), F.col("article_id")), 256), "article_id"))
     placed = positions(hashed, [], "h", "place").select(F.col("article_id").alias("a"), "h", F.col("place").cast("long").alias("place"))
-    rows = short.select("subject", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") + need)).alias("place")).join(placed, "place")
+    asked = short.select("subject", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") + need)).alias("place"))
+    # every subject asks for the first places: those few rows are broadcast; later ones are asked for by busy subjects only
+    placed = write_once(placed, "places")
+    near, far = F.col("place") < HEAD_PLACES, F.col("place") >= HEAD_PLACES
+    rows = asked.where(near).join(F.broadcast(placed.where(near)), "place").unionByName(asked.where(far).join(placed.where(far), "place"))
     rows = rows.join(reads.withColumnRenamed("article_id", "a"), ["subject", "a"], "left")
     unread = F.sum(F.col("first").isNull().cast("int")).over(W.partitionBy("subject").orderBy("h").rowsBetween(W.unboundedPreceding, -1))
     kept = rows.withColumn("_u", F.coalesce(unread, F.lit(0))).where(F.col("_u") <= need)

@@ -66,24 +66,6 @@ def impression_dedupe(items: DataFrame, delay: str = "1 day") -> DataFrame:
     return items.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(["session_id", "context", "article_id", "position"])
 
 
-def impression_batches(items: DataFrame, quiet: str = "350 milliseconds", delay: str = "1 minute") -> DataFrame:
-    """Items of one session and context gathered until the context has been quiet."""
-    w = F.session_window("event_time", quiet)
-    return (items.withWatermark("event_time", delay).groupBy(w, "session_id", "context")
-            .agg(F.array_sort(F.collect_set(F.struct("article_id", "position"))).alias("articles"))
-            .select("session_id", "context", F.col("session_window.start").alias("opened_at"), F.col("session_window.end").alias("closed_at"), "articles"))
-
-
-def open_batches(emitted: DataFrame, items: DataFrame, quiet: str = "350 milliseconds", delay: str = "1 minute") -> DataFrame:
-    """Emitted batches and those that the watermark has not closed yet, read back from the static log.
-
-    Session windows only know append mode, so after a drain the open tail has to come from the log.
-    """
-    closed = items.agg((F.date_trunc("millisecond", F.max("event_time")) - F.expr(f"interval {delay}")).alias("_mark"))
-    tail = impression_batches(items, quiet, delay).join(F.broadcast(closed), F.col("closed_at") > F.col("_mark")).drop("_mark")
-    return emitted.unionByName(tail)
-
-
 def _keep_spaced(seconds: float, memory: float):
     def keep(key, frames, state: GroupState):
         if state.hasTimedOut:
@@ -164,26 +146,6 @@ def web_vitals(events: DataFrame, delay: str = "1 hour", span: str = "24 hours",
             .select(F.col("w.start").alias("starts_at"), "path", "lcp_p50", "lcp_p75", "lcp_p95", "cls_p75", "inp_p75", "sample_count"))
 
 
-def _latest(size: int):
-    def merge(key, frames, state: GroupState):
-        items = list(zip(*state.get)) if state.exists else []
-        for b in frames:  # order-free, so a busy subject is merged batch by batch
-            items = sorted(items + list(zip(b["created_at"], b["article_id"])), reverse=True)[:size]
-        state.update(tuple(list(c) for c in zip(*items)))
-        yield pd.DataFrame({"subject": [key[0]] * len(items), "pos": range(1, len(items) + 1),
-                            "article_id": [i[1] for i in items], "created_at": [i[0] for i in items]})
-    return merge
-
-
-def history_state(events: DataFrame, size: int = K.HISTORY_SIZE) -> DataFrame:
-    """Latest positives per subject; the state is a list of at most ``size`` rows."""
-    rows = events.where(F.col("event_type").isin(K.POSITIVE_EVENTS) & (F.col("article_id") != "")).select(
-        P.subject_key(F.col("user_id"), F.col("session_id")).alias("subject"), "article_id", "created_at")
-    return rows.groupBy("subject").applyInPandasWithState(
-        _latest(size), "subject string, pos int, article_id string, created_at string", "times array<string>, ids array<string>",
-        "update", GroupStateTimeout.NoTimeout)
-
-
 def latest_state(updates: DataFrame) -> DataFrame:
     """The rows of each subject's last update; updates write a subject's list in full."""
     last = updates.groupBy("subject").agg(F.max("batch_id").alias("batch_id"))

@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -110,7 +112,7 @@ def test_encoders_give_unit_vectors(spark):
 def test_entry_state_is_linear_in_the_log(spark):
     """A subject over many blocks: each block starts with at most the last reads and what its positives can ask for."""
     import random
-    from pressgrid.plans import samples as S
+
     rnd = random.Random(2)
     rows, n_pos, blocks = [], 0, 40
     for b in range(blocks):
@@ -125,3 +127,14 @@ def test_entry_state_is_linear_in_the_log(spark):
     keyed = spark.createDataFrame(rows, "subject string, blk int, created_at string, kind int, ids array<string>, items array<struct<p: int, a: string, d: string>>, article_id string")
     assert S._entry_state(keyed, 20, 4).count() <= blocks * (20 + 4) + n_pos
     assert S.pruned([("a", None), ("b", "t"), ("c", None), ("d", "t"), ("e", None)], 2) == [("a", None), ("b", "t"), ("c", None)]
+
+
+def test_places_beyond_the_broadcast_head_give_the_same_samples(spark, monkeypatch):
+    rnd = random.Random(9)
+    events = spark.createDataFrame([(f"e{k}", f"s{k % 3}", None, "click_article", f"a{rnd.randint(0, 30)}", None, f"2024-01-01T10:{k // 60:02d}:{k % 60:02d}") for k in range(200)],
+                                   "log_id string, session_id string, user_id string, event_type string, article_id string, event_data string, created_at string")
+    feedback = spark.createDataFrame([], "feedback_id string, user_id string, feedback_type string, article_id string, created_at string")
+    catalog = spark.createDataFrame([(f"a{k}",) for k in range(60)], "article_id string")
+    whole = sorted(map(str, SM.legacy_samples(events, feedback, catalog).collect()))
+    monkeypatch.setattr(SM, "HEAD_PLACES", 5)
+    assert sorted(map(str, SM.legacy_samples(events, feedback, catalog).collect())) == whole and len(whole) > 150
