@@ -15,7 +15,7 @@ sampled, cut off or broadcast but the heavy keys: those with over HEAVY of the t
 and half as much of the corpus.  There can be no more than 4 / HEAVY of them; they are counted in a scan of
 their own and never reach a shard, so no shard is hot.
 
-Keys are 64-bit hashes; a shard tells its keys apart by 40 of the bits, besides those that name it.
+Keys are 64-bit hashes; a shard tells its keys apart by 56 of the bits, besides those that name it.
 """
 from __future__ import annotations
 
@@ -36,6 +36,8 @@ _ENTRY = (["<u1", "<i4", "<u4", "<u1"], [False, True, True, True])
 _SUMS = (["<i4", "<f8"], [True, False])
 #: Shares of a shard's keys that are sorted one after another, and entries that are worked off at once.
 PASSES, STEP = 4, 1 << 18
+#: Low bytes of a key that travel to its shard.
+KEY_BYTES = 7
 
 
 def _chunks(batches, ids: bool = False):
@@ -137,7 +139,7 @@ def _entries(n_shards: int, heavy, alpha: float, vocab: int):
             key, own, kind, count = (x[by_doc] for x in (key, own, kind, count))
             order, cuts = shards.by_shard(((key >> np.uint64(41)) % np.uint64(n_shards)).astype(np.int64))
             mark = kind | (target[own].astype(np.uint8) << 1)
-            blobs = [shards.pack([shards.low_bytes(key[order[a:b]], 5), own[order[a:b]].astype(np.int32), count[order[a:b]].astype(np.uint32), mark[order[a:b]]], _ENTRY[1]) for _, a, b in cuts]
+            blobs = [shards.pack([shards.low_bytes(key[order[a:b]], KEY_BYTES), own[order[a:b]].astype(np.int32), count[order[a:b]].astype(np.uint32), mark[order[a:b]]], _ENTRY[1]) for _, a, b in cuts]
             m = len(cuts)
             yield shards.rows(names, [[s for s, _, _ in cuts] + [int(chunk % n_shards)], [chunk] * (m + 1), blobs + [None],
                                       [None] * m + [ids.tobytes() + nulls.tobytes()], [None] * m + [np.diff(first).astype(np.int64).tobytes()], [None] * m + [sums.tobytes()]], types)
@@ -186,9 +188,9 @@ def _total(alpha: float, vocab: int):
                 place, key, n, mark = [], [], [], []
                 for at, blob in zip(bound.tolist(), blobs):
                     low, _, count, kind = shards.unpack(blob, *_ENTRY)
-                    own = np.flatnonzero(low[::5] % PASSES == part)
+                    own = np.flatnonzero(low[::KEY_BYTES] % PASSES == part)
                     place.append(own + at)
-                    key.append(shards.from_low_bytes(low.reshape(-1, 5)[own].reshape(-1), 5))
+                    key.append(shards.from_low_bytes(low.reshape(-1, KEY_BYTES)[own].reshape(-1), KEY_BYTES))
                     n.append(count[own])
                     mark.append(kind[own])
                 place = np.concatenate(place)
