@@ -18,9 +18,9 @@ from .arrays import NOT_NEWLINE, SPACED, add_columns, gram_hashes, mix, runs, sp
 LEVEL = 3
 CHUNK = 4096
 #: (least bytes, lowest ratio, highest ratio); texts shorter than the first class are not judged by ratio.
-#: The lowest lie just below the least ratio of the given tables' prose: other corpora need bands of their own.
-BANDS = ((256, 1.235, 2.8), (512, 1.4, 2.8), (768, 1.5, 2.8), (1024, 1.63, 3.5), (1536, 1.66, 3.5), (2048, 1.75, 3.5), (4096, 1.92, 4.5),
-         (8192, 2.11, 4.5), (16384, 2.23, 4.5), (32768, 2.24, 6.0))
+#: The lowest are fitted_bands() of the documents that labels calls good in check_l: other corpora need bands of their own.
+BANDS = ((256, 1.293, 2.8), (512, 1.418, 2.8), (768, 1.496, 2.8), (1024, 1.614, 3.5), (1536, 1.721, 3.5), (2048, 1.767, 3.5), (4096, 1.933, 4.5),
+         (8192, 2.122, 4.5), (16384, 2.225, 4.5), (32768, 2.288, 6.0))
 MAX_BAD_CHUNKS = 0.34
 
 _SYMBOL = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
@@ -116,6 +116,32 @@ def good_documents(docs: DataFrame, **options) -> DataFrame:
     return passed.select(*[F.col(f"`in_{c}`").alias(c) for c in docs.columns])
 
 
+def fitted_bands(docs: DataFrame, bands: tuple = BANDS, margin: float = 0.01, held_out: int = 5, id_col: str = "doc_id",
+                 text: str = "text", **options) -> tuple[tuple, int, int]:
+    """(bands, held-out texts, held-out texts that they reject): lowest ratios from documents that are known to be good.
+
+    A class's lowest ratio is the least one of its texts, less the margin, cut to three decimals.  Texts that the base
+    rules fail take no part, nor does the part of ids that crc32 leaves for the report (one in held_out; a null id is
+    never held out).  A class without texts has the limit of the class below it, 0 in the first; the highest ratios stay.
+    """
+    inner = tidy(docs).select(F.col(f"`{id_col}`").cast("string").alias("in_id"), F.col(f"`{text}`").cast("string").alias("in_text"))
+    inner = inner.withColumn("in_bytes", F.octet_length("in_text"))
+    held = F.coalesce(F.crc32(F.col("in_id").cast("binary")) % held_out == 0, F.lit(False))
+    measured = quality(inner, text="in_text", keep=["in_id", "in_bytes"], **options).where("not base_failed")
+    size = F.lit(0)
+    for least, _, _ in bands:
+        size = F.when(F.col("in_bytes") >= least, least).otherwise(size)
+    lowest = dict(measured.where(~held).groupBy(size.alias("size")).agg(F.min("ratio")).collect())  # one row a class
+    new, limit = [], 0.0
+    for least, _, high in bands:
+        if least in lowest:
+            limit = int(lowest[least] * (1 - margin) * 1000) / 1000
+        new.append((least, limit, high))
+    judged = quality(inner.where(held), text="in_text", bands=tuple(new), **options).where("not base_failed")
+    n, bad = judged.agg(F.count("*"), F.count(F.when(~F.col("kept"), 1))).first()
+    return tuple(new), n, bad
+
+
 def op7_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return quality(docs, keep=["doc_id"])

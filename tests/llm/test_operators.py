@@ -396,6 +396,26 @@ NOISE = {"0123456789": 8192, "0123456789abcdef": 4096, "abcdefghijklmnopqrstuvwx
          "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/": 256}
 
 
+def test_bands_are_fitted_to_texts_outside_the_held_out_part(spark, no_docs):
+    rnd = random.Random(13)
+    words = ["".join(rnd.choice("abcdefghijklmno") for _ in range(rnd.randint(2, 9))) for _ in range(400)]
+    rows = [(k, " ".join(rnd.choice(words) for _ in range(rnd.randint(60, 900)))) for k in range(120)]
+    rows += [(200, None), (201, ""), (202, "too short"), (None, rows[0][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("ratio", F.lit(9))
+    classes = ((512, 0.0, 9.0), (1024, 0.0, 9.0), (4096, 0.0, 9.0), (1 << 20, 0.0, 9.0))
+    low, press = {}, zstandard.ZstdCompressor(level=3)
+    for k, t in rows:
+        if t and len(t.split()) > 50 and (k is None or zlib.crc32(str(k).encode()) % 5):
+            least = max((c for c, _, _ in classes if len(t) >= c), default=0)
+            low[least] = min(low.get(least, 99), len(t) / len(press.compress(t.encode())))
+    got, n, bad = compression_bands.fitted_bands(docs, classes)
+    want = [int(low[c] * 0.99 * 1000) / 1000 for c in (512, 1024, 4096)]
+    assert [b[1] for b in got] == want + want[-1:] and [b[2] for b in got] == [9.0] * 4
+    held = [t for k, t in rows[:120] if zlib.crc32(str(k).encode()) % 5 == 0]
+    assert n == len(held) and 0 <= bad < n / 4
+    assert compression_bands.fitted_bands(no_docs, classes) == (tuple((c, 0.0, 9.0) for c, _, _ in classes), 0, 0)
+
+
 def test_noise_of_every_class(spark):
     rnd, rows = random.Random(8), []
     sizes = [x for least, _, _ in compression_bands.BANDS for x in (max(least, 460), least * 5 // 4 + 230)] + [70_000]
