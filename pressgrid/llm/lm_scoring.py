@@ -35,7 +35,7 @@ _START = np.uint64(0x5851F42D4C957F2D)
 _ENTRY = (["<u1", "<i4", "<u4", "<u1"], [False, True, True, True])
 _SUMS = (["<i4", "<f8"], [True, False])
 #: Shares of a shard's keys that are sorted one after another, and entries that are worked off at once.
-PASSES, STEP = 4, 1 << 18
+PASSES, STEP = 8, 1 << 18
 #: Low bytes of a key that travel to its shard.
 KEY_BYTES = 7
 
@@ -250,7 +250,7 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame, alpha: float =
     heavy_counts = (heavy, counts["b"].to_numpy(), counts["t"].to_numpy()) if len(heavy) else (heavy, np.zeros(0, np.int64), np.zeros(0, np.int64))
     sent = source.mapInArrow(_entries(n, spark.sparkContext.broadcast(heavy_counts), alpha, vocab),
                              "shard int, chunk long, entries binary, ids binary, tokens binary, sums binary")
-    back = (sent.repartition(n, "shard").sortWithinPartitions("shard")
+    back = (sent.repartitionById(n, F.col("shard")).sortWithinPartitions("shard")
             .mapInArrow(_total(alpha, vocab), "chunk long, shard int, ids binary, tokens binary, sums binary"))
     return back.groupBy("chunk").applyInArrow(_gather, "doc_id long, n_tokens long, loss_target double, loss_background double, score double")
 
