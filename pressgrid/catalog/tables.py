@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import payload as P
-from ..operators import articles as A, dashboards as D, merges as M
+from ..operators import articles as A, dashboards as D, merges as M, sketches as SK
 from ..schemas import LIST_COLUMNS, article_response
 from ..sources import views as V
 from .oracle_views import lst
@@ -227,6 +227,22 @@ def _(spark, d):
     return D.web_vitals_percentiles(V.performance_log(spark, d), AS_OF, 480)
 
 
+# Estimates, so no SQL: tests/test_sketches.py holds them against the exact forms.
+@query("session_funnel_sketch")
+def _(spark, d):
+    return SK.funnel_estimate(SK.session_sketches(V.event_log(spark, d)))
+
+
+@query("daily_active_sessions_sketch")
+def _(spark, d):
+    return SK.active_sessions_estimate(SK.session_sketches(V.event_log(spark, d)))
+
+
+@query("web_vitals_sketch")
+def _(spark, d):
+    return SK.vitals_estimate(SK.speed_sketches(V.performance_log(spark, d)))
+
+
 _CATS = f"""SELECT c.category, c.place, count(a.article_id) AS total, count(CASE WHEN a.trust_score = 0 THEN 1 END) AS unanalyzed,
   count(CASE WHEN starts_with(a.published_at, '2024-01-09') THEN 1 END) AS today_articles
   FROM (SELECT unnest({lst(K.CATEGORY_DISPLAY_ORDER)}) AS category, unnest([0, 1, 2, 3, 4, 5, 6, 7]) AS place) c LEFT JOIN articles a ON a.category = c.category GROUP BY 1, 2"""
