@@ -20,7 +20,7 @@ def blank_title_chunks(chunks: DataFrame) -> DataFrame:
 
 def near_dup_in_store(articles: DataFrame, threshold: float = 0.8) -> DataFrame:
     """(article_id): stored rows to delete; newest first, later similar titles go."""
-    order = [_descending_text(F.coalesce("published_at", F.lit("")))]
+    order = [T.descending_text(F.coalesce("published_at", F.lit("")))]
     return greedy_dropped(articles, "article_id", F.coalesce("title", F.lit("")), order, threshold).withColumnRenamed("id", "article_id")
 
 
@@ -30,11 +30,6 @@ def near_dup_in_batch(articles: DataFrame, threshold: float = 0.7) -> DataFrame:
     return greedy_dropped(articles, "article_id", F.coalesce("title", F.lit("")), order, threshold).withColumnRenamed("id", "article_id")
 
 
-def _descending_text(value: Column) -> Column:
-    """A key whose ascending order is the descending order of the text: its hex digits mirrored."""
-    return F.concat(F.translate(F.hex(value), "0123456789ABCDEF", "FEDCBA9876543210"), F.lit("~"))
-
-
 # ---- raw rows to curated articles ---------------------------------------------------------
 
 def quality_filter(rows: DataFrame, min_chars: int = 100) -> DataFrame:
@@ -57,12 +52,15 @@ def ingest_clean_dedupe(raw: DataFrame, stored: DataFrame, id_col: str = "articl
     (0.7, longest body wins) or against the stored titles (0.8), byline with its job title."""
     clean = raw.withColumn("content", arrow.clean_news_body("content")).where(F.char_length("content") >= 100)
     clean = clean.withColumn("title", T.clean_title(F.col("title")))
-    rows = write_once(quality_filter(best_title_per_content(write_once(clean), id_col)))
-    order, title = [-F.char_length("content")], F.coalesce("title", F.lit(""))
+    clean = write_once(clean.withColumn("_chars", F.char_length("content")))
+    # the bodies are written once; what follows decides over ids, titles and lengths
+    rows = write_once(quality_filter(best_title_per_content(clean, id_col)).select(id_col, "title", "_chars"), "titles")
+    order, title = [-F.col("_chars")], F.coalesce("title", F.lit(""))
     batch = greedy_dropped(rows, id_col, title, order, 0.7).withColumnRenamed("id", id_col)
-    kept = write_once(rows.join(batch, id_col, "left_anti"))
+    kept = write_once(rows.join(batch, id_col, "left_anti").select(id_col, "title"), "titles")
     known = similar_to_stored(kept, id_col, title, stored, F.coalesce("title", F.lit("")), 0.8).withColumnRenamed("id", id_col)
-    return kept.join(known, id_col, "left_anti").withColumn("reporter", T.reporter_suffix(F.col("reporter")))
+    new = kept.select(id_col).join(known, id_col, "left_anti")
+    return quality_filter(clean).drop("_chars").join(new, id_col, "left_semi").withColumn("reporter", T.reporter_suffix(F.col("reporter")))
 
 
 def chunk_documents(articles: DataFrame, text: str = "full_text") -> DataFrame:
