@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from pressgrid.functions import vectors as X
-from pressgrid.plans import encoders as E, recommend as R, samples as SM
+from pressgrid.plans import encoders as E, recommend as R, samples as S, samples as SM
 
 EVENT = "log_id string, session_id string, user_id string, event_type string, article_id string, event_data string, created_at string"
 FEED = "feedback_id string, user_id string, article_id string, feedback_type string, created_at string"
