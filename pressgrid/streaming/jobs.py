@@ -14,6 +14,11 @@ from .. import constants as K
 from ..functions import arrow, payload as P
 from ..session import new_path
 
+#: Hash buckets of (subject, article) that positive_dedupe keeps its state in.
+DEDUPE_BUCKETS = 1024
+#: Rows of a bucket that are put in order together.
+FOLD_ROWS = 1 << 18
+
 
 def run_append(stream: DataFrame, name: str, partition_by: list[str] = ()) -> DataFrame:
     """Drain what is available into a parquet table and read it back."""
@@ -66,27 +71,43 @@ def impression_dedupe(items: DataFrame, delay: str = "1 day") -> DataFrame:
     return items.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(["session_id", "context", "article_id", "position"])
 
 
-def _keep_spaced(seconds: float, memory: float):
+def _keep_spaced(seconds: float, memory: float, most: int = FOLD_ROWS):
+    def fold(frames: list[pd.DataFrame], known: dict) -> pd.DataFrame:
+        rows = pd.concat(frames) if len(frames) > 1 else frames[0]
+        rows = rows.sort_values(["event_time", "created_at"], kind="stable")
+        out = []
+        times = (rows["event_time"].astype("int64") / _units(rows["event_time"])).tolist()
+        for subject, article, t, when in zip(rows["subject"], rows["article_id"], times, rows["created_at"]):
+            kept = known.setdefault((subject, article), [])
+            at = bisect_right(kept, t)
+            # the kept row before decides, so a late row is not taken for a repeat of a later one
+            if not at or t - kept[at - 1] > seconds:
+                kept.insert(at, t)
+                out.append((subject, article, when))
+        for key, kept in known.items():
+            if kept[0] < kept[-1] - memory:
+                known[key] = kept[bisect_right(kept, kept[-1] - memory) - 1:]
+        return pd.DataFrame(out, columns=["subject", "article_id", "created_at"])
+
     def keep(key, frames, state: GroupState):
-        if state.hasTimedOut:
+        known = {(s, a): list(k) for s, a, k in zip(*state.get)} if state.exists else {}
+        if not state.hasTimedOut:
+            held, n = [], 0
+            for rows in frames:  # in time order as a whole; a bucket of very many rows is worked off in parts
+                held.append(rows)
+                n += len(rows)
+                if n >= most:
+                    yield fold(held, known)
+                    held, n = [], 0
+            if held:
+                yield fold(held, known)
+        watermark = state.getCurrentWatermarkMs()
+        known = {k: kept for k, kept in known.items() if (kept[-1] + memory) * 1000 >= watermark}
+        if known:
+            state.update(([s for s, _ in known], [a for _, a in known], list(known.values())))
+            state.setTimeoutTimestamp(max(int((min(kept[-1] for kept in known.values()) + memory) * 1000), watermark + 1))
+        elif state.exists:
             state.remove()
-            return
-        kept = list(state.get[0]) if state.exists else []
-        for rows in frames:  # a hot key is worked off frame by frame, each in time order
-            rows = rows.sort_values(["event_time", "created_at"], kind="stable")
-            out = []
-            for t, when in zip(rows["event_time"].astype("int64") / _units(rows["event_time"]), rows["created_at"]):
-                at = bisect_right(kept, t)
-                # the kept row before decides, so a late row is not taken for a repeat of a later one
-                if not at or t - kept[at - 1] > seconds:
-                    kept.insert(at, t)
-                    out.append((key[0], key[1], when))
-            if kept and kept[0] < kept[-1] - memory:
-                kept = kept[bisect_right(kept, kept[-1] - memory) - 1:]
-            if out:
-                yield pd.DataFrame(out, columns=["subject", "article_id", "created_at"])
-        state.update((kept,))
-        state.setTimeoutTimestamp(max(int((kept[-1] + memory) * 1000), state.getCurrentWatermarkMs() + 1))
     return keep
 
 
@@ -94,16 +115,20 @@ def _units(times: pd.Series) -> float:
     return {"ns": 1e9, "us": 1e6, "ms": 1e3, "s": 1.0}[getattr(times.dtype, "unit", "ns")]
 
 
-def positive_dedupe(events: DataFrame, seconds: float = 30.0, delay: str = "1 hour", memory: float = 3600.0) -> DataFrame:
+def positive_dedupe(events: DataFrame, seconds: float = 30.0, delay: str = "1 hour", memory: float = 3600.0, buckets: int = DEDUPE_BUCKETS) -> DataFrame:
     """Repeats of an article within ``seconds`` of the kept one before it are dropped.
 
     Late rows up to ``delay`` behind the newest are decided at their own time: the state of a (subject,
-    article) is the kept times of the last ``memory`` seconds and expires with the watermark.
+    article) is the kept times of the last ``memory`` seconds and expires with the watermark.  Most pairs
+    have a single row, so the state lies in hash buckets of pairs: one call of Python for each bucket, not for
+    each pair.  A checkpoint keeps its number of ``buckets``.
     """
     rows = events.withWatermark("event_time", delay).where(F.col("event_type").isin(K.POSITIVE_EVENTS) & (F.col("article_id") != "")).select(
         P.subject_key(F.col("user_id"), F.col("session_id")).alias("subject"), "article_id", "created_at", "event_time")
-    return rows.groupBy("subject", "article_id").applyInPandasWithState(
-        _keep_spaced(seconds, memory), "subject string, article_id string, created_at string", "kept array<double>", "append",
+    bucket = F.pmod(F.xxhash64("subject", "article_id"), F.lit(buckets)).cast("int").alias("bucket")
+    return rows.select(bucket, "*").groupBy("bucket").applyInPandasWithState(
+        _keep_spaced(seconds, memory), "subject string, article_id string, created_at string",
+        "subject array<string>, article_id array<string>, kept array<array<double>>", "append",
         GroupStateTimeout.EventTimeTimeout)
 
 

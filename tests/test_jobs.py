@@ -32,6 +32,25 @@ def test_late_clicks_are_decided_at_their_own_time(spark, tmp_path):
     assert sorted(r.created_at[11:] for r in out) == ["09:40:00", "10:00:00", "10:00:40", "10:10:00"]
 
 
+def test_dedupe_state_lies_in_buckets(spark, tmp_path):
+    """Many pairs with a few rows each: what is kept is that of a scan of every pair, with one state a bucket."""
+    from pressgrid import session
+    rnd, batches, want = random.Random(4), [], set()
+    times = sorted(rnd.sample(range(3000), 600))
+    rows = [click(f"10:{t // 60:02d}:{t % 60:02d}", f"a{rnd.randint(0, 60)}", f"u{rnd.randint(0, 2)}") for t in times]
+    last = {}
+    for t, r in zip(times, rows):
+        if t - last.get((r[1], r[3]), -999) > 300:
+            last[r[1], r[3]] = t
+            want.add((f"user:{r[1]}", r[3], r[5]))
+    half = rows[:300]
+    rnd.shuffle(half)
+    out = J.run_append(J.positive_dedupe(stream_of(spark, tmp_path, [half, rows[300:]]), 300.0, buckets=4), "bucketed").collect()
+    assert {tuple(r) for r in out} == want and len(out) == len(want)
+    path = next(p for p in session._written if "/bucketed-" in p)
+    assert spark.read.format("statestore").load(path + "-cp").count() <= 4
+
+
 def test_open_days_are_counted_over_batches(spark, tmp_path):
     batches = [[click("10:00:00")], [click("11:00:00"), click("10:30:00", "a2")], [click("23:59:00")]]
     cells = J.latest(J.run_update(J.recommendation_ctr(stream_of(spark, tmp_path, batches)), "ctr"), ["starts_at", "rec_source"])
