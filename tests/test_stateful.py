@@ -2,6 +2,10 @@
 from pressgrid import session
 from pressgrid.streaming import jobs as J, stateful as S
 
+from collections import Counter
+
+from pyspark.sql import Row
+
 from test_jobs import click, stream_of
 
 
@@ -50,3 +54,86 @@ def test_settings_come_back(spark):
     with S.rocksdb_state(spark):
         assert spark.conf.get(S._PROVIDER) == S._ROCKSDB
     assert spark.conf.get(S._PROVIDER, None) == before
+
+
+class Calls:
+    """A state handle that counts its calls: each is a trip to the state store."""
+
+    def __init__(self):
+        self.n, self.values, self.timers = Counter(), {}, set()
+
+    def getListState(self, name, schema):
+        return State(self, name, [])
+
+    def getValueState(self, name, schema):
+        return State(self, name, None)
+
+    def registerTimer(self, t):
+        self.n["timer"] += 1
+        self.timers.add(t)
+
+    def deleteTimer(self, t):
+        self.n["timer"] += 1
+        self.timers.discard(t)
+
+    def listTimers(self):
+        self.n["list"] += 1
+        return iter(list(self.timers))
+
+
+class State:
+    def __init__(self, calls, name, empty):
+        self.calls, self.name, self.empty = calls, name, empty
+
+    def get(self):
+        self.calls.n["get"] += 1
+        return self.calls.values.get(self.name, self.empty)
+
+    def exists(self):
+        self.calls.n["get"] += 1
+        return self.name in self.calls.values
+
+    def put(self, value):
+        self.calls.n["put"] += 1
+        self.calls.values[self.name] = value
+
+    update = put
+
+    def clear(self):
+        self.calls.n["put"] += 1
+        self.calls.values.pop(self.name, None)
+
+
+class Times:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+def test_a_new_subject_takes_few_trips_to_the_state():
+    calls, work = Calls(), S._History(2, 1000)
+    work.init(calls)
+    rows = [Row(created_at=c, article_id=a, ms=ms) for c, a, ms in (("t1", "a", 1), ("t3", "b", 3), ("t2", "c", 2))]
+    got = [(r.pos, r.article_id, r.created_at) for r in work.handleInputRows(("s",), iter(rows), Times(0))]
+    assert got == [(1, "b", "t3"), (2, "c", "t2")] and calls.timers == {1003}
+    assert not calls.n["list"] and sum(calls.n.values()) <= 4
+    list(work.handleInputRows(("s",), iter([Row(created_at="t9", article_id="d", ms=900)]), Times(500)))
+    assert calls.timers == {1003}
+    calls.timers.clear()  # it fires, and Spark deletes it
+    list(work.handleExpiredTimer(("s",), Times(1004), None))
+    assert calls.timers == {1900} and calls.values["newest"] == (900,)
+    list(work.handleExpiredTimer(("s",), Times(1900), None))
+    assert not calls.values
+
+
+def test_a_new_impression_takes_few_trips_to_the_state():
+    calls, work = Calls(), S._Batches(350)
+    work.init(calls)
+    rows = [Row(t=1000, article_id="a", position=0), Row(t=2000, article_id="b", position=None)]
+    got = list(work.handleInputRows(("s", "c"), iter(rows), Times(0)))
+    assert [(r.opened_us, r.closed_us, len(r.articles), r.is_open) for r in got] == [(1000, 352000, 2, True)]
+    assert calls.timers == {352} and not calls.n["list"] and sum(calls.n.values()) <= 3
+    got = list(work.handleExpiredTimer(("s", "c"), Times(352), None))
+    assert [r.is_open for r in got] == [False] and not calls.values and not calls.n["list"] and sum(calls.n.values()) <= 5
