@@ -112,3 +112,18 @@ def test_page_fields():
     title, source, when, body, reporter = PG.page_fields(html, K.PAGE_SELECTORS)
     assert (source, body, title.strip()) == ("연합뉴스", "본문 둘째", "긴 제목입니다")
     assert when == "2026.01.02. 오후 1:00" and reporter == when
+
+
+def test_bodies_are_cleaned_in_parts(spark):
+    """A batch is cut into views of bounded bytes, nulls and long texts included, and cleaned as one text at a time would be."""
+    import pyarrow as pa
+    from pressgrid.functions import arrow
+    texts = ["기자 본문. 끝", None, "", "x" * (arrow.PART_BYTES + 5) + ". y"] + [f"문장 {n}. [표] 남음" * 5000 for n in range(60)]
+    parts = arrow._parts(pa.array(texts, pa.string()))
+    assert [t for p in parts for t in p.to_pylist()] == texts and len(parts) > 2
+    assert all(len(p) == 1 or sum(len(t.encode()) for t in p.to_pylist() if t) <= arrow.PART_BYTES for p in parts)
+    assert [len(p) for p in arrow._parts(pa.array([], pa.string()))] == [0]
+    some = texts[:3] + ["a. b", texts[4]]
+    frame = spark.createDataFrame(list(enumerate(some)), "n int, body string").coalesce(1)
+    got = [r.body for r in frame.withColumn("body", arrow.clean_news_body("body")).orderBy("n").collect()]
+    assert got == [arrow.clean_body_text(t) for t in some]
