@@ -3,6 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from .vectors import let
+
 
 def _kind(v: Column) -> Column:
     return F.schema_of_variant(v)
@@ -10,25 +12,26 @@ def _kind(v: Column) -> Column:
 
 def parse_object(raw: Column) -> Column:
     """Variant of a JSON object; the empty object when missing, unreadable or not an object."""
-    v = F.try_parse_json(raw)
-    return F.when(F.startswith(_kind(v), F.lit("OBJECT")), v).otherwise(F.parse_json(F.lit("{}")))
+    return let(F.try_parse_json(raw), lambda v: F.when(F.startswith(_kind(v), F.lit("OBJECT")), v).otherwise(F.parse_json(F.lit("{}"))))
 
 
 def raw_items(raw: Column) -> Column:
-    """array<variant>: ``articles``, else ``article_ids``."""
-    v = parse_object(raw)
-    articles = F.try_variant_get(v, "$.articles", "array<variant>")
-    ids = F.try_variant_get(v, "$.article_ids", "array<variant>")
-    return F.when(F.size(articles) > 0, articles).otherwise(F.coalesce(ids, F.expr("cast(array() as array<variant>)")))
+    """array<variant>: ``articles``, else ``article_ids``; the text is read once."""
+    def given(v):
+        ids = F.try_variant_get(v, "$.article_ids", "array<variant>")
+        return let(F.try_variant_get(v, "$.articles", "array<variant>"), lambda articles: F.when(F.size(articles) > 0, articles).otherwise(
+            F.coalesce(ids, F.expr("cast(array() as array<variant>)"))))
+    return let(parse_object(raw), given)
 
 
 def item_id(item: Column) -> Column:
     """Id of a shown item given as an object or plain; null for an empty text, zero or false."""
-    is_object = F.startswith(_kind(item), F.lit("OBJECT"))
-    value = F.when(is_object, F.try_variant_get(item, "$.article_id", "variant")).otherwise(item)
-    text = F.try_variant_get(value, "$", "string")
-    falsy = (text == "") | ((_kind(value) != "STRING") & text.isin("0", "false"))
-    return F.when(~falsy, text)
+    value = F.when(F.startswith(_kind(item), F.lit("OBJECT")), F.try_variant_get(item, "$.article_id", "variant")).otherwise(item)
+
+    def plain(v):
+        falsy = lambda text: (text == "") | ((_kind(v) != "STRING") & text.isin("0", "false"))
+        return let(F.try_variant_get(v, "$", "string"), lambda text: F.when(~falsy(text), text))
+    return let(value, plain)
 
 
 def impression_ids(raw: Column) -> Column:

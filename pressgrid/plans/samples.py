@@ -36,8 +36,9 @@ def actions(events: DataFrame, feedback: DataFrame, allowed: DataFrame | None =
     if allowed is not None:
         ok = allowed.select("article_id").distinct()
         positives = positives.join(ok, "article_id", "left_semi")
-        # regrouped per event: an impression holds a handful of items
-        items = seen.select("log_id", "subject", "created_at", F.posexplode("ids").alias("p", "article_id")).join(ok, "article_id", "left_semi")
+        # regrouped per event: an impression holds a handful of items; the outer form keeps Spark from testing the
+        # list before it is exploded, which would read the JSON again (an empty list's null joins nothing)
+        items = seen.select("log_id", "subject", "created_at", F.posexplode_outer("ids").alias("p", "article_id")).join(ok, "article_id", "left_semi")
         seen = items.groupBy("log_id", "subject", "created_at").agg(
             F.transform(F.array_sort(F.collect_list(F.struct("p", "article_id"))), lambda s: s["article_id"]).alias("ids"))
     return seen.where(F.size("ids") > 0).select("subject", "created_at", "ids"), positives.select("subject", "created_at", "article_id")
