@@ -78,8 +78,8 @@ def _reads(samples: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return items, _codes(samples)[row], size[row] - 1 - place
 
 
-def _profiles(samples: pa.Table, vectors: np.ndarray, known: _Articles, skip_unknown: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(profile, whether there is one) by sample code: means with weight 0.5^(age / 5) over the reads that have a vector."""
+def _profiles(samples: pa.Table, vectors: np.ndarray, known: _Articles, skip_unknown: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(profile, whether there is one, whether a read has a vector) by sample code: means with weight 0.5^(age / 5) over the reads that have a vector."""
     items, code, age = _reads(samples)
     if skip_unknown:  # the age counts known reads only
         item = np.flatnonzero(known.has(items))
@@ -91,12 +91,13 @@ def _profiles(samples: pa.Table, vectors: np.ndarray, known: _Articles, skip_unk
     item, row = item[age[item] < K.HISTORY_SIZE], row[age[item] < K.HISTORY_SIZE]
     order = np.argsort(code[item], kind="stable")
     item, row = item[order], row[order]
-    out = np.zeros((len(samples), vectors.shape[1]))
+    out, read = np.zeros((len(samples), vectors.shape[1])), np.zeros(len(samples), dtype=bool)
     start = np.flatnonzero(np.diff(code[item], prepend=-1))
+    read[code[item[start]]] = True
     if len(start):
         w = np.power(0.5, age[item] / K.RECENCY_HALF_LIFE)
         out[code[item[start]]] = np.add.reduceat(w[:, None] * vectors[row], start, axis=0) / np.add.reduceat(w, start)[:, None]
-    return out, (out != 0).any(axis=1)
+    return out, (out != 0).any(axis=1), read
 
 
 def _scored(columns: list[str], skip_unknown: bool, schema: pa.Schema):
@@ -108,7 +109,7 @@ def _scored(columns: list[str], skip_unknown: bool, schema: pa.Schema):
         read = _Articles(articles, np.flatnonzero((use != SHOWN) & filled))
         # rows of read are rows of the table; vectors holds the filled ones only
         read.order = place[read.order]
-        profile, has_profile = _profiles(samples, vectors, read, skip_unknown)
+        profile, has_profile, has_read = _profiles(samples, vectors, read, skip_unknown)
         items, row, cpos = _flat(samples["shown"])
         item, at = _Articles(articles, np.flatnonzero(use != READ)).join(items, keep=True)
         code = _codes(samples)[row[item]]
@@ -125,19 +126,20 @@ def _scored(columns: list[str], skip_unknown: bool, schema: pa.Schema):
         take = pa.array(at, mask=at < 0)
         out = {"sample_id": samples["sample_id"].combine_chunks().take(pa.array(row[item])), "cpos": pa.array(cpos[item], pa.int32()), "article_id": items.take(pa.array(item)),
                **{c: articles[c].combine_chunks().take(take) for c in columns}, "cosine": pa.array(cosine, mask=~scored),
-               "has_vector": pa.array(vec >= 0), "has_profile": pa.array(has_profile[code]), "whole": pa.array(whole[code])}
+               "has_vector": pa.array(vec >= 0), "has_profile": pa.array(has_profile[code]), "whole": pa.array(whole[code]),
+               "has_read": pa.array(has_read[code])}
         return pa.table([out[f.name].cast(f.type) for f in schema], schema=schema)
     return score
 
 
 def scored_candidates(samples: DataFrame, articles: DataFrame, columns: list[str], skip_unknown: bool) -> DataFrame:
-    """(sample_id, cpos, article_id, columns, cosine, has_vector, has_profile, whole), a row for each candidate and article row.
+    """(sample_id, cpos, article_id, columns, cosine, has_vector, has_profile, whole, has_read), a row for each candidate and article row.
 
     ``articles``: article_id, columns, embedding, _use.  The cosine to the profile of the reads is null where a side is missing;
-    ``whole``: all candidates of the sample have a vector.  ``skip_unknown``: reads without a vector do not count for the age.
+    ``whole``: all candidates of the sample have a vector, ``has_read``: one of its reads has one.  ``skip_unknown``: reads without a vector do not count for the age.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
-    added = T._parse_datatype_string("cosine double, has_vector boolean, has_profile boolean, whole boolean")
+    added = T._parse_datatype_string("cosine double, has_vector boolean, has_profile boolean, whole boolean, has_read boolean")
     own = [samples.schema["sample_id"], T.StructField("cpos", T.IntegerType()), T.StructField("article_id", T.StringType())]
     schema = T.StructType([*own, *[articles.schema[c] for c in columns], *added])
     lists = {"history": F.col("history"), "shown": F.concat(F.array("positive"), "negatives")}
@@ -145,10 +147,10 @@ def scored_candidates(samples: DataFrame, articles: DataFrame, columns: list[str
     return _met(samples, articles.select("article_id", *columns, "embedding", "_use"), lists, _scored(columns, skip_unknown, to_arrow_schema(schema)), schema)
 
 
-def _weighed(schema: pa.Schema):
+def _weighed(schema: pa.Schema, known: bool):
     def weigh(samples: pa.Table, articles: pa.Table) -> pa.Table:
         items, code, age = _reads(samples)
-        item, at = _Articles(articles, np.arange(len(articles))).join(items, keep=True)
+        item, at = _Articles(articles, np.arange(len(articles))).join(items, keep=not known)
         item, at = item[age[item] < K.HISTORY_SIZE], at[age[item] < K.HISTORY_SIZE]
         category = articles["category"].combine_chunks().take(pa.array(at, mask=at < 0)).fill_null("unknown")
         names, of = np.unique(category.to_pandas().to_numpy().astype(str), return_inverse=True)
@@ -161,8 +163,11 @@ def _weighed(schema: pa.Schema):
     return weigh
 
 
-def category_weights(samples: DataFrame, articles: DataFrame) -> DataFrame:
-    """(sample_id, category, weight): sum of 0.5^(age / 5) over the latest 20 reads; ``articles``: article_id, category."""
+def category_weights(samples: DataFrame, articles: DataFrame, known: bool = False) -> DataFrame:
+    """(sample_id, category, weight): sum of 0.5^(age / 5) over the latest 20 reads; ``articles``: article_id, category.
+
+    Reads without an article count as unknown, with ``known`` not at all.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
     schema = T.StructType([T.StructField("sample_id", T.StringType()), T.StructField("category", T.StringType()), T.StructField("weight", T.DoubleType())])
-    return _met(samples, articles.select("article_id", "category"), {"history": F.col("history")}, _weighed(to_arrow_schema(schema)), schema)
+    return _met(samples, articles.select("article_id", "category"), {"history": F.col("history")}, _weighed(to_arrow_schema(schema), known), schema)
